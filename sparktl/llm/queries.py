@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from sparktl.llm import quality, secrets
+from sparktl.llm import bitplane, mixing, packing, quality, secrets
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op4_token_planes": bitplane.op4_token_planes,
+    "op5_packing": packing.op5_packing,
+    "op6_mixing": mixing.op6_mixing,
 }
 
-ORACLES = {"op1_quality_rules": quality.oracle()}
+ORACLES = {
+    "op1_quality_rules": quality.oracle(),
+    "op6_mixing": mixing.oracle(),
+}
