@@ -3,9 +3,9 @@
 A source's expected copies of each document are target / size of the source. Documents of a source
 stand in one order; their expected copies are prefix-summed, one random offset is added, and a
 document is emitted once for each integer that its step crosses. The order goes through buckets of
-about the root of the source's documents (64 at least) by a hash of doc_id, and in a bucket by size,
-up and down in turn, so that every stretch of it holds all sizes and the words taken come near the
-target. Ranks come from counts by (source, bucket) and a row number inside a bucket, so no task sees
+about the root of the source's documents (64 at least; an even number of buckets) by a hash of doc_id,
+and in a bucket by size, up and down in turn: every stretch of it holds all sizes and what the offset
+adds in one bucket the next one takes off, so the words taken come near the target. Ranks come from counts by (source, bucket) and a row number inside a bucket, so no task sees
 a whole source.
 
 Targets: sources in code point order, null last, have the weights in turn; they share ``share`` of all
@@ -61,7 +61,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.select(
         key.alias("source_key"), "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("step"),
         (_hash(F.concat_ws("|", F.lit(str(seed)), key), 13) / F.lit(2.0**52)).alias("offset"),
-        F.ceil(F.col("n") / F.greatest(F.lit(LEAST_BUCKET), F.floor(F.sqrt(F.col("n").cast("double"))))).cast("long").alias("buckets"),
+        (F.ceil(F.col("n") / (F.greatest(F.lit(LEAST_BUCKET), F.floor(F.sqrt(F.col("n").cast("double")))) * 2)) * 2).cast("long").alias("buckets"),
     )
 
 
@@ -114,7 +114,7 @@ l AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - {MOST} * coalesce(
   WINDOW p AS (ORDER BY source_size / weight, k = 'n', source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT k, n, source_size, least(max(one) OVER () * weight, {MOST}::DOUBLE * source_size) AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step, {hashed("'" + str(SEED) + "|' || k", 13)} / pow(2, 52) AS off,
-  ceil(n / greatest({LEAST_BUCKET}, floor(sqrt(n))))::BIGINT AS buckets FROM t),
+  (ceil(n / (greatest({LEAST_BUCKET}, floor(sqrt(n))) * 2)) * 2)::BIGINT AS buckets FROM t),
 b AS (SELECT d.*, g.* EXCLUDE (k), {hashed("coalesce(doc_id::VARCHAR, '')", 8)} % buckets AS bucket FROM d JOIN g USING (k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, doc_id) AS rank FROM b)
 SELECT doc_id, size, source_size, target, ((floor(step * rank + off) - floor(step * (rank - 1) + off))::BIGINT * size)::BIGINT AS taken FROM r"""
