@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from sparktl.llm import bitplane, mixing, packing, quality, secrets
+from sparktl.llm import bitplane, minhash, mixing, packing, quality, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
-    "op2_secret_scans": secrets.op2_secret_scans,
+    "op2_secret_scans": secret_scan.op2_secret_scans,
     "op4_token_planes": bitplane.op4_token_planes,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
+    "op8_minhash": minhash.op8_minhash,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.oracle(),
     "op6_mixing": mixing.oracle(),
+    "op8_minhash": minhash.oracle(),
 }
