@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from sparktl.llm import bitplane, minhash, mixing, packing, quality, secret_scan
+from sparktl.llm import bitplane, minhash, mixing, nearest, packing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_secret_scans": secret_scan.op2_secret_scans,
+    "op3_nearest": nearest.op3_nearest,
     "op4_token_planes": bitplane.op4_token_planes,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
+    "op7_url_filters": url_filter.op7_url_filters,
     "op8_minhash": minhash.op8_minhash,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.oracle(),
     "op6_mixing": mixing.oracle(),
+    "op7_url_filters": url_filter.oracle(),
     "op8_minhash": minhash.oracle(),
 }
