@@ -20,10 +20,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-MAX_PIECES = 500_000
+MAX_PIECES = 800_000
 #: White space that the libraries may class differently from the four plain blanks.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: Punctuation that can follow a word; a run of it is one unit of either vocabulary's pattern.
+TAIL = '.,!?;:%&$#*|()[]"'
+#: How byte-level vocabularies write the bytes that are not printable: in order, from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+UNIT_MARK = chr(BYTES[2])
+LATIN = {c: "".join(chr(BYTES.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+LETTERS = frozenset(map(chr, [*range(128), *LATIN]))
 MIXED = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 
 
@@ -31,7 +41,6 @@ MIXED = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 def tokenizer(file: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(public_tokenizers.path(file))
     out.encode_special_tokens = True
@@ -42,31 +51,72 @@ class Pieces(dict):
     """Ids, as little-endian 32-bit integers, of each piece that was asked for; emptied when full.
 
     New pieces go to the library many at a time, with a mark between them that makes one token of its
-    own and stands in none of them; the ids are cut at the mark.
+    own and stands in none of them; the ids are cut at the mark. A word of Latin letters, with or
+    without punctuation behind it, needs no splitting by the library: its letters are one unit of the
+    vocabulary's pattern and the punctuation another, so the library's model takes the units directly.
     """
 
-    def __init__(self, file: str, lead: str, mark: str):
-        self.library, self.lead, self.mark = tokenizer(file), lead, mark
-        self.cut = self.ids(mark.strip(" "))
-        assert len(self.cut) == 1
+    def __init__(self, file: str, blanks: bool):
+        self.library, self.blanks, self.mark = tokenizer(file), blanks, "\n" if blanks else " \x02 "
+        self.units = Tokenizer(self.library.model)
+        self.units.pre_tokenizer = CharDelimiterSplit("\n")
+        self.cuts = self.ids(self.mark.strip(" "))[0], self.units.encode(UNIT_MARK, add_special_tokens=False).ids[0]
+        self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def raw(self, text: str) -> bytes:
+        return array("I", self.ids(text)).tobytes()
+
+    def put(self, keys: list[str], ids: list[int], cut: int) -> None:
+        ids = np.array(ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == cut), len(ids)).tolist()
+        raw, at = ids.tobytes(), 0
+        assert len(ends) == len(keys)
+        for x, end in zip(keys, ends):
+            self[x] = raw[4 * at : 4 * end]
+            at = end + 1
+
+    def add_words(self, words: list[str]) -> None:
+        """Words of Latin letters, which follow a blank where blanks count."""
+        lead = "\u0120" if self.blanks else ""
+        text = "\n".join(words)
+        text = (text if self.blanks else text.lower()).translate(LATIN)
+        text = lead + text.replace("\n", f"\n{UNIT_MARK}\n{lead}")
+        self.put(words, self.units.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.cuts[1])
+
     def add(self, pieces: list[str]) -> None:
+        """Pieces: words, which follow a blank where blanks count, or words behind a line's end."""
         pieces = list(dict.fromkeys(pieces))
-        apart = [x for x in pieces if not x or x[0] == "\n" or self.mark.strip(" ") in x]
-        for x in apart:
-            self[x] = array("I", self.ids(x if x[:1] == "\n" else self.lead + x) if x else []).tobytes()
-        left = [x for x in pieces if x not in self] if apart else pieces
-        if left:
-            ids = np.array(self.ids(self.mark.join([self.lead + x for x in left])), "<u4")
-            ends = np.append(np.flatnonzero(ids == self.cut[0]), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            assert len(ends) == len(left)
-            for x, end in zip(left, ends):
-                self[x] = raw[4 * at : 4 * end]
-                at = end + 1
+        words = [x for x in pieces if x.isalpha()]
+        others = [x for x in pieces if not x.isalpha()]
+        tailed, rest = [], []
+        if not LETTERS.issuperset("".join(words)):
+            rest = [x for x in words if not LETTERS.issuperset(x)]
+            words = [x for x in words if LETTERS.issuperset(x)]
+        for x in others:
+            body = x.rstrip(TAIL)
+            if body.isalpha() and LETTERS.issuperset(body):
+                tailed.append((x, body))
+            else:
+                rest.append(x)
+        words += list({body for _, body in tailed if body not in self}.difference(words))
+        if words:
+            self.add_words(words)
+        joint = []
+        for x in rest:
+            if not x or x[0] == "\n" or self.mark.strip(" ") in x:
+                self[x] = self.raw(x if x[:1] == "\n" or not self.blanks else " " + x) if x else b""
+            else:
+                joint.append(x)
+        if joint:
+            self.put(joint, self.ids(self.mark.join([" " + x for x in joint] if self.blanks else joint)), self.cuts[0])
+        for x, body in tailed:
+            tail = x[len(body) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.raw(tail)
+            self[x] = self[body] + self.tails[tail]
 
     def joined(self, pieces: list[str]) -> bytes:
         try:
@@ -74,31 +124,33 @@ class Pieces(dict):
         except KeyError:
             if len(self) >= MAX_PIECES:
                 self.clear()
+                self.tails.clear()
             self.add([x for x in pieces if x not in self])
-            return b"".join([self[x] for x in pieces])
+            return b"".join(map(self.__getitem__, pieces))
 
 
 class Encoder:
-    """encode(text) gives the bytes of all its ids. blanks: whether the vocabulary keeps white space."""
+    """encode(text) gives the bytes of all its ids. blanks: whether the vocabulary keeps white space.
 
-    def __init__(self, file: str, blanks: bool):
-        self.blanks, self.library = blanks, tokenizer(file)
-        self.pieces = Pieces(file, " ", "\n") if blanks else Pieces(file, "", " \x02 ")
+    A vocabulary that drops blanks is taken to lower the case as well.
+    """
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+    def __init__(self, file: str, blanks: bool):
+        self.blanks, self.pieces = blanks, Pieces(file, blanks)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if ODD.search(text):
-            return self.whole(text)
+            return self.pieces.raw(text)
         if not self.blanks:
+            if text.isascii() or max(text) < "\u0100":
+                text = text.lower()
             return self.pieces.joined(text.replace("\n", " ").split(" "))
         if any(x in text for x in MIXED) or text[0] in " \n" or text[-1] in " \n":
-            return self.whole(text)
+            return self.pieces.raw(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.whole(first) + self.pieces.joined(rest)
+        return self.pieces.raw(first) + self.pieces.joined(rest)
 
 
 @lru_cache(maxsize=2)
