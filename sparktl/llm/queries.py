@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktl.llm import bitplane, language, minhash, mixing, nearest, packing, quality, secret_scan, url_filter
+from sparktl.llm import bitplane, language, minhash, mixing, nearest, packing, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filters": url_filter.op7_url_filters,
     "op8_minhash": minhash.op8_minhash,
     "op9_language": language.op9_language,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
