@@ -1,8 +1,294 @@
-"""The temporal-logic queries registered with the driver, and their DuckDB counterparts."""
+"""The temporal-logic queries registered with the driver, and their DuckDB counterparts.
+
+Every query reads whole driver tables. Infinite robustness is written as +-1e308 so that it survives
+any comparison of results.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparktl.functions import margins as m
+from sparktl.operators import resample as rs
+from sparktl.operators import temporal
+from sparktl.operators.formula import INF, Formula, atom
+from sparktl.sources.traces import daily, events
+from sparktl.stats import checks
+from sparktl.stats.noise import Noise, fit_gaussian, residuals
+
+HOUR, DAY = 3600.0, 86400.0
+USER = ["user_id"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+EV = "ev AS (SELECT user_id, event_id, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE AS t, value FROM events)"
+
+
+def finite(x: Column | str) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(x == INF, F.lit(1e308)).when(x == -INF, F.lit(-1e308)).otherwise(x) + F.lit(0.0)
+
+
+def sql_finite(x: str) -> str:
+    return f"(CASE WHEN {x} = 'inf'::DOUBLE THEN 1e308::DOUBLE WHEN {x} = '-inf'::DOUBLE THEN -1e308::DOUBLE ELSE {x} END + 0.0::DOUBLE)"
+
+
+def low_value() -> Formula:
+    return atom(m.lt("value", 400))
+
+
+def high_value() -> Formula:
+    return atom(m.gt("value", 100))
+
+
+def register(name: str, formula: Callable[[], Formula], sql: str, chunk: float | None = None) -> None:
+    """A formula over events, by user; sql: SELECT user_id, event_id, t, rho over ev."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = temporal.robustness(events(spark, sf_dir), formula(), USER, chunk=chunk)
+        return out.select("user_id", "event_id", "t", finite("rho").alias("rho"))
+
+    QUERIES[name] = query
+    ORACLES[name] = f"WITH {EV}, x AS ({sql}) SELECT user_id, event_id, t, {sql_finite('rho')} AS rho FROM x"
+
+
+def plain(name: str, formula: Callable[[], Formula], expression: str) -> None:
+    register(name, formula, f"SELECT user_id, event_id, t, ({expression})::DOUBLE AS rho FROM ev")
+
+
+plain("pred_gt", high_value, "value - 100")
+plain("pred_le", low_value, "400 - value")
+plain("pred_eq", lambda: atom(m.eq("value", 250)), "-abs(value - 250)")
+plain("pred_ne", lambda: atom(m.ne("value", 250)), "abs(value - 250)")
+plain("pred_arith", lambda: atom(m.gt(m.absolute(F.col("value") - 200) + F.col("value") % 7.0 * 2.0 - m.minimum(F.col("value"), 50), 10)), "abs(value - 200) + (value % 7.0::DOUBLE) * 2 - least(value, 50) - 10")
+plain("pred_rounding", lambda: atom(m.gt(m.floor("value") + m.ceil(F.col("value") / 3.0) + m.sqrt("value"), 90)), "floor(value) + ceil(value / 3.0::DOUBLE) + sqrt(value) - 90")
+plain("pred_maximum", lambda: atom(m.le(m.maximum("value", 30), 320)), "320 - greatest(value, 30)")
+plain("bool_not", lambda: ~high_value(), "-(value - 100)")
+plain("bool_and", lambda: high_value() & low_value(), "least(value - 100, 400 - value)")
+plain("bool_or", lambda: high_value() | ~low_value(), "greatest(value - 100, value - 400)")
+plain("bool_implies", lambda: high_value() >> low_value(), "greatest(100 - value, 400 - value)")
+
+P = "PARTITION BY user_id"
+
+
+def frame(low: str, high: str, order: str = "t") -> str:
+    return f"OVER ({P} ORDER BY {order} RANGE BETWEEN {low} AND {high})"
+
+
+def ahead(a: float, b: float) -> str:
+    return frame("1e-9::DOUBLE PRECEDING" if a == 0 else f"{a - 1e-9!r}::DOUBLE FOLLOWING", f"{b + 1e-9!r}::DOUBLE FOLLOWING")
+
+
+def behind(a: float, b: float) -> str:
+    return frame(f"{b + 1e-9!r}::DOUBLE PRECEDING", "1e-9::DOUBLE FOLLOWING" if a == 0 else f"{a - 1e-9!r}::DOUBLE PRECEDING")
+
+
+def window(name: str, make: Callable[[Formula], Formula], call: str, over: str, empty: str, chunk: float | None = None) -> None:
+    register(name, lambda: make(low_value()), f"SELECT user_id, event_id, t, coalesce({call}(400 - value) {over}, '{empty}'::DOUBLE) AS rho FROM ev", chunk)
+
+
+window("always_bounded", lambda f: f.always(0, DAY), "min", ahead(0, DAY), "inf")
+window("always_offset", lambda f: f.always(HOUR, DAY), "min", ahead(HOUR, DAY), "inf")
+window("always_unbounded", lambda f: f.always(), "min", frame("1e-9::DOUBLE PRECEDING", "UNBOUNDED FOLLOWING"), "inf")
+window("eventually_bounded", lambda f: f.eventually(0, DAY), "max", ahead(0, DAY), "-inf")
+window("eventually_offset", lambda f: f.eventually(HOUR, 2 * DAY), "max", ahead(HOUR, 2 * DAY), "-inf")
+window("eventually_unbounded", lambda f: f.eventually(DAY), "max", frame(f"{DAY - 1e-9!r}::DOUBLE FOLLOWING", "UNBOUNDED FOLLOWING"), "-inf")
+window("historically_bounded", lambda f: f.historically(0, DAY), "min", behind(0, DAY), "inf")
+window("historically_offset", lambda f: f.historically(HOUR, DAY), "min", behind(HOUR, DAY), "inf")
+window("historically_unbounded", lambda f: f.historically(), "min", frame("UNBOUNDED PRECEDING", "1e-9::DOUBLE FOLLOWING"), "inf")
+window("once_bounded", lambda f: f.once(0, DAY), "max", behind(0, DAY), "-inf")
+window("once_offset", lambda f: f.once(HOUR, 2 * DAY), "max", behind(HOUR, 2 * DAY), "-inf")
+window("once_unbounded", lambda f: f.once(), "max", frame("UNBOUNDED PRECEDING", "1e-9::DOUBLE FOLLOWING"), "-inf")
+window("always_chunked", lambda f: f.always(0, DAY), "min", ahead(0, DAY), "inf", chunk=5 * DAY)
+register("next_op", lambda: low_value().next(), f"SELECT user_id, event_id, t, coalesce(lead(400 - value) OVER ({P} ORDER BY t), '-inf'::DOUBLE) AS rho FROM ev")
+
+
+def nested(inner: str, inner_over: str, inner_empty: str, outer: str, outer_over: str, outer_empty: str, margin: str) -> str:
+    return f"""SELECT user_id, event_id, t, coalesce({outer}(y) {outer_over}, '{outer_empty}'::DOUBLE) AS rho
+  FROM (SELECT *, coalesce({inner}({margin}) {inner_over}, '{inner_empty}'::DOUBLE) AS y FROM ev)"""
+
+
+register("always_eventually", lambda: high_value().eventually(0, DAY).always(0, 5 * DAY), nested("max", ahead(0, DAY), "-inf", "min", ahead(0, 5 * DAY), "inf", "value - 100"))
+register("eventually_always", lambda: low_value().always(0, DAY).eventually(0, 5 * DAY), nested("min", ahead(0, DAY), "inf", "max", ahead(0, 5 * DAY), "-inf", "400 - value"))
+register("response", lambda: (atom(m.gt("value", 300)) >> atom(m.lt("value", 100)).eventually(0, DAY)).always(0, 3 * DAY), f"""
+  SELECT user_id, event_id, t, coalesce(min(greatest(300 - value, y)) {ahead(0, 3 * DAY)}, 'inf'::DOUBLE) AS rho
+  FROM (SELECT *, coalesce(max(100 - value) {ahead(0, DAY)}, '-inf'::DOUBLE) AS y FROM ev)""")
+
+
+def pairwise(low: float, high: float, forward: bool) -> str:
+    """until or since from the definition: for each pair of samples the least phi on the way."""
+    order = "s.t >= i.t" if forward else "s.t <= i.t"
+    gap = "s.t - i.t" if forward else "i.t - s.t"
+    way = f"w.t >= i.t AND w.t < s.t" if forward else "w.t <= i.t AND w.t > s.t"  # noqa: F541
+    top = "" if high == INF else f" AND {gap} <= {high + 1e-9!r}"
+    return f"""
+  SELECT i.user_id, i.event_id, i.t, coalesce(max(least(p.psi, p.way)), '-inf'::DOUBLE) AS rho FROM ev i LEFT JOIN (
+    SELECT i.user_id, i.t, s.t AS st, s.value - 100 AS psi, coalesce(min(400 - w.value), 'inf'::DOUBLE) AS way
+    FROM ev i JOIN ev s ON i.user_id = s.user_id AND {order} AND {gap} >= {low - 1e-9!r}{top}
+    LEFT JOIN ev w ON w.user_id = i.user_id AND {way} GROUP BY i.user_id, i.t, s.t, s.value) p ON p.user_id = i.user_id AND p.t = i.t
+  GROUP BY i.user_id, i.event_id, i.t"""
+
+
+for _name, _low, _high in (("unbounded", 0, INF), ("bounded", 0, 2 * DAY), ("offset", HOUR, 3 * DAY)):
+    register(f"until_{_name}", lambda a=_low, b=_high: low_value().until(high_value(), a, b), pairwise(_low, _high, True))
+    register(f"since_{_name}", lambda a=_low, b=_high: low_value().since(high_value(), a, b), pairwise(_low, _high, False))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@query("robustness_at_start", f"""
+WITH {EV}, x AS (SELECT *, coalesce(max(value - 300) {ahead(0, 2 * DAY)}, '-inf'::DOUBLE) AS rho, row_number() OVER ({P} ORDER BY t) AS k FROM ev)
+SELECT user_id, t, {sql_finite("rho")} AS rho, rho >= 0 AS holds FROM x WHERE k = 1""")
+def robustness_at_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temporal.at_start(events(spark, sf_dir), atom(m.gt("value", 300)).eventually(0, 2 * DAY), USER)
+    return out.select("user_id", "t", finite("rho").alias("rho"), (F.col("rho") >= 0).alias("holds"))
+
+
+@query("violations", f"""
+WITH {EV}, x AS (SELECT *, min(300 - value) {behind(0, DAY)} AS rho FROM ev),
+y AS (SELECT *, rho < 0 AS bad, coalesce(lag(rho < 0) OVER ({P} ORDER BY t), false) AS was FROM x),
+z AS (SELECT *, sum((bad AND NOT was)::INT) OVER ({P} ORDER BY t) AS run FROM y)
+SELECT user_id, min(t) AS "start", max(t) AS "end", min(rho) AS lowest FROM z WHERE bad GROUP BY user_id, run""")
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.violations(temporal.robustness(events(spark, sf_dir), atom(m.lt("value", 300)).historically(0, DAY), USER), USER)
+
+
+@query("bank_multi", f"""
+WITH {EV} SELECT user_id, event_id, t, min(400 - value) {ahead(0, DAY)} AS calm, max(-(min_)) {ahead(0, DAY)} AS storm, least(min_, value - 100) AS steady
+FROM (SELECT *, min(400 - value) {behind(0, HOUR)} AS min_ FROM ev)""")
+def bank_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = low_value()
+    recent = low.historically(0, HOUR)
+    return temporal.bank(events(spark, sf_dir), {"calm": low.always(0, DAY), "storm": (~recent).eventually(0, DAY), "steady": recent & high_value()}, USER).select("user_id", "event_id", "t", "calm", "storm", "steady")
+
+
+GRID = "g AS (SELECT user_id, unnest(range(0, 30)) * 86400.0::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM ev))"
+
+
+def grid(ev: DataFrame) -> DataFrame:
+    return ev.select("user_id").distinct().withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: k * F.lit(DAY))))
+
+
+@query("resample_linear", f"""
+WITH {EV}, {GRID}, b AS (SELECT g.user_id, g.t, e.t AS t0, e.value AS v0 FROM g ASOF LEFT JOIN ev e ON g.user_id = e.user_id AND g.t >= e.t),
+c AS (SELECT b.*, e.t AS t1, e.value AS v1 FROM b ASOF LEFT JOIN ev e ON b.user_id = e.user_id AND b.t <= e.t)
+SELECT user_id, t, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS value FROM c""")
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rs.resample(ev, grid(ev), USER, ["value"])
+
+
+@query("resample_hold", f"""
+WITH {EV}, {GRID}, b AS (SELECT g.user_id, g.t, e.value AS v0 FROM g ASOF LEFT JOIN ev e ON g.user_id = e.user_id AND g.t >= e.t)
+SELECT user_id, t, coalesce(v0, first) AS value FROM b JOIN (SELECT user_id, arg_min(value, t) AS first FROM ev GROUP BY user_id) USING (user_id)""")
+def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rs.resample(ev, grid(ev), USER, ["value"], method="hold")
+
+
+@query("buffer_stats", f"""
+WITH {EV} SELECT user_id, event_id, t, count(value) OVER w AS recent_n, round(avg(value) OVER w, 6) AS recent_mean, round(var_samp(value) OVER w, 6) AS recent_var,
+min(value) OVER w AS recent_min, max(value) OVER w AS recent_max FROM ev WINDOW w AS ({P} ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def buffer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rs.recent(events(spark, sf_dir), USER, "value", 10)
+    return out.select("user_id", "event_id", "t", "recent_n", F.round("recent_mean", 6).alias("recent_mean"), F.round("recent_var", 6).alias("recent_var"), "recent_min", "recent_max")
+
+
+@query("buffer_closest", f"""
+WITH {EV} SELECT user_id, event_id, t, value FROM (SELECT *, row_number() OVER ({P} ORDER BY abs(t - 1e6), t) AS k FROM ev) WHERE k = 1""")
+def buffer_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.closest(events(spark, sf_dir), USER, 1e6).select("user_id", "event_id", "t", "value")
+
+
+@query("buffer_latest", f"WITH {EV} SELECT user_id, event_id, t, value FROM (SELECT *, row_number() OVER ({P} ORDER BY t DESC) AS k FROM ev) WHERE k <= 5")
+def buffer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.latest(events(spark, sf_dir), USER, 5).select("user_id", "event_id", "t", "value")
+
+
+MEMBERS, SPREAD = 20, 80.0
+RUNS = f"""{EV}, n AS (SELECT ev.*, k AS member FROM ev, range({MEMBERS}) r(k) WHERE t <= (SELECT min(t) FROM ev e WHERE e.user_id = ev.user_id) + {DAY + 1e-9!r}),
+u AS (SELECT *, (('0x' || substr(md5('42|' || user_id || '|' || member || '|' || round(t * 1e6)::BIGINT || '|value|0'), 1, 13))::BIGINT::DOUBLE + 0.5) / pow(2, 52) AS u FROM n),
+r AS (SELECT user_id, member, min(400 - (value + ({-SPREAD!r}::DOUBLE + {2 * SPREAD!r}::DOUBLE * u))) AS rho FROM u GROUP BY user_id, member)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.realisations(events(spark, sf_dir), low_value().always(0, DAY), {"value": Noise("uniform", (-SPREAD, SPREAD))}, MEMBERS, USER)
+
+
+Z = checks.z_of(0.95)
+WILSON = f"""greatest(0.0, (p + {Z!r} * {Z!r} / (n * 2) - {Z!r} * sqrt(p * (1 - p) / n + {Z!r} * {Z!r} / (n * n * 4))) / (1 + {Z!r} * {Z!r} / n)) AS low,
+least(1.0, (p + {Z!r} * {Z!r} / (n * 2) + {Z!r} * sqrt(p * (1 - p) / n + {Z!r} * {Z!r} / (n * n * 4))) / (1 + {Z!r} * {Z!r} / n)) AS high"""
+
+
+@query("smc_check", f"""
+WITH {RUNS}, c AS (SELECT user_id, count(*) AS samples, count(CASE WHEN rho >= 0 THEN 1 END) AS satisfied, count(*)::DOUBLE AS n, count(CASE WHEN rho >= 0 THEN 1 END)::DOUBLE / count(*) AS p FROM r GROUP BY user_id),
+w AS (SELECT *, {WILSON} FROM c)
+SELECT user_id, samples, satisfied, p AS probability, round(low, 9) AS low, round(high, 9) AS high, p >= 0.9 AS holds FROM w""")
+def smc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = checks.check(runs(spark, sf_dir), USER, 0.9)
+    return out.withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+
+
+@query("smc_distribution", f"WITH {RUNS} SELECT user_id, count(*) AS samples, round(avg(rho), 6) AS mean, round(var_pop(rho), 4) AS variance, min(rho) AS least, max(rho) AS greatest FROM r GROUP BY user_id")
+def smc_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.distribution(runs(spark, sf_dir), USER).withColumns({"mean": F.round("mean", 6), "variance": F.round("variance", 4)})
+
+
+@query("smc_sequential", f"""
+WITH {RUNS}, s AS (SELECT user_id, count(*) OVER w AS n, count(CASE WHEN rho >= 0 THEN 1 END) OVER w AS k FROM r WINDOW w AS ({P} ORDER BY member)),
+v AS (SELECT *, k * ln(0.95 / 0.85) + (n - k) * ln((1 - 0.95) / (1 - 0.85)) AS ratio FROM s),
+d AS (SELECT *, CASE WHEN ratio >= ln(0.9 / 0.1) THEN 'accept_h1' WHEN ratio <= ln(0.1 / 0.9) THEN 'accept_h0' END AS decision FROM v)
+SELECT user_id, coalesce(arg_min(decision, n) FILTER (decision IS NOT NULL), 'inconclusive') AS decision, coalesce(min(n) FILTER (decision IS NOT NULL), max(n)) AS members FROM d GROUP BY user_id""")
+def smc_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.sequential(runs(spark, sf_dir), USER, 0.85, 0.95, 0.1, 0.1)
+
+
+@query("intervals", f"""
+WITH c AS (SELECT user_id, count(*)::DOUBLE AS n, count(CASE WHEN value < 50 THEN 1 END)::DOUBLE AS k FROM events GROUP BY user_id),
+a AS (SELECT user_id, n, k / n AS p, n + {Z!r} * {Z!r} AS m, (k + {Z!r} * {Z!r} / 2) / (n + {Z!r} * {Z!r}) AS q FROM c), w AS (SELECT *, {WILSON} FROM a)
+SELECT user_id, round(low, 9) AS wilson_low, round(high, 9) AS wilson_high, round(greatest(0.0, q - {Z!r} * sqrt(q * (1 - q) / m)), 9) AS agresti_low, round(least(1.0, q + {Z!r} * sqrt(q * (1 - q) / m)), 9) AS agresti_high FROM w""")
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("value") < 50).cast("double").alias("k"))
+    (wl, wh), (al, ah) = checks.wilson(F.col("k"), F.col("n")), checks.agresti_coull(F.col("k"), F.col("n"))
+    return counts.select("user_id", F.round(wl, 9).alias("wilson_low"), F.round(wh, 9).alias("wilson_high"), F.round(al, 9).alias("agresti_low"), F.round(ah, 9).alias("agresti_high"))
+
+
+@query("fit_gaussian", "SELECT round(avg(l_extendedprice / l_quantity - p_retailprice), 6) AS mean, round(stddev_samp(l_extendedprice / l_quantity - p_retailprice), 6) AS deviation FROM lineitem JOIN part ON l_partkey = p_partkey")
+def fit_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit")).join(part, "l_partkey")
+    found = fit_gaussian(residuals(items, "unit", "p_retailprice"))
+    return spark.range(1).select(F.round(F.lit(found.params[0]), 6).alias("mean"), F.round(F.lit(found.params[1]), 6).alias("deviation"))
+
+
+def days(table: str, key: str, date: str, value: str) -> str:
+    return f"d AS (SELECT {key}, (epoch_us({date}) / 86400000000)::DOUBLE AS t, {value} AS x FROM {table} GROUP BY ALL)"
+
+
+@query("recurrence_orders", f"""
+WITH {days("orders", "o_custkey", "o_orderdate", "max(o_totalprice)")},
+y AS (SELECT *, max(x - 250000) OVER (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN 1e-9::DOUBLE PRECEDING AND 365.000000001::DOUBLE FOLLOWING) AS e FROM d)
+SELECT o_custkey, t, min(e) OVER (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN 1e-9::DOUBLE PRECEDING AND 730.000000001::DOUBLE FOLLOWING) AS rho FROM y""")
+def recurrence_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = daily(spark, sf_dir, "orders", "o_custkey", "o_orderdate", F.max("o_totalprice"))
+    return temporal.robustness(d, atom(m.gt("x", 250000)).eventually(0, 365).always(0, 730), ["o_custkey"]).select("o_custkey", "t", "rho")
+
+
+@query("drawdown_shipments", f"""
+WITH {days("lineitem", "l_suppkey", "l_shipdate", "max(l_quantity)")}
+SELECT l_suppkey, t, greatest(10 - x, max(x - 30) OVER (PARTITION BY l_suppkey ORDER BY t RANGE BETWEEN 1e-9::DOUBLE PRECEDING AND 30.000000001::DOUBLE FOLLOWING)) + 0.0::DOUBLE AS rho FROM d""")
+def drawdown_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = daily(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", F.max("l_quantity"))
+    f = atom(m.gt("x", 10)) >> atom(m.gt("x", 30)).eventually(0, 30)
+    return temporal.robustness(d, f, ["l_suppkey"]).select("l_suppkey", "t", finite("rho").alias("rho"))
