@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktl.llm.common import LOWER, UPPER, table
+from sparktl.llm.common import LOWER, UPPER, table, written
 
 DEPTH = 3
 MANY = 8
@@ -99,9 +99,11 @@ def leaves(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 def merged(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     """tree with the segments as merged, t1..t<depth>: alike branches of one parent share a wildcard.
 
-    Level by level from the root: branch totals, then a comparison with the parent's totals.
+    Level by level from the root: branch totals, then a comparison with the parent's totals. The tree
+    has one row for each distinct path of templates and is written after each level, so that plans
+    stay small.
     """
-    out, done = tree, ["host"]
+    out, done = written(tree, "url-tree"), ["host"]
     for k in range(1, depth + 1):
         branches = out.groupBy(*done, f"s{k}").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
         parents = branches.groupBy(*done).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.countDistinct(F.when(F.col(f"s{k}") != "", F.col(f"s{k}"))).alias("branches"))
@@ -110,6 +112,7 @@ def merged(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
         alike = branches.join(parents, done).groupBy(*done).agg(F.max("branches").alias("branches"), F.max(far.cast("int")).alias("differ"))
         wild = alike.select(*done, ((F.col("branches") >= MANY) & (F.col("differ") == 0)).alias(f"w{k}"))
         out = out.join(wild, done).withColumn(f"t{k}", F.when(F.col(f"w{k}") & (F.col(f"s{k}") != ""), F.lit("*")).otherwise(F.col(f"s{k}"))).drop(f"w{k}")
+        out = written(out, "url-tree")
         done = [*done, f"t{k}"]
     return out
 
@@ -128,7 +131,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH
     """pages (with url) and host, path, rule, template, purity and verdict."""
     keys = ["host", *[f"s{k}" for k in range(1, depth + 1)]]
     ruled = segmented(by_rule(pages, rules), depth)
-    found = purities(merged(leaves(ruled, depth), depth), depth)
+    found = written(purities(merged(leaves(ruled, depth), depth), depth), "url-purities")
     out = ruled.join(found, keys)
     method = F.when(F.col("purity") > REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict", *keys[1:])
