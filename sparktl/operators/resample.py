@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list[str], time: str = "t", method: str = "linear") -> DataFrame:
+def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list[str], time: str = "t", method: str = "linear", carry: tuple[str, ...] = ()) -> DataFrame:
     """The signals at the grid's times (series and t columns), by "linear" interpolation or sample and "hold".
 
     Grid rows and samples share one sorted window, so there is one shuffle and no join. Outside the
     samples the nearest end is held; before the first sample "hold" gives the first. Null samples are
-    passed over; a series without samples gives nulls.
+    passed over; a series without samples gives nulls. carry: columns of the grid to keep.
     """
     if method not in ("linear", "hold"):
         raise ValueError(f"no such method: {method}")
-    samples = trace.select(*series, time, *signals, F.lit(False).alias("_grid"))
-    wanted = grid.select(*series, time, *[F.lit(None).cast("double").alias(s) for s in signals], F.lit(True).alias("_grid"))
+    samples = trace.select(*series, time, *signals, *[F.lit(None).cast(grid.schema[c].dataType).alias(f"_c_{c}") for c in carry], F.lit(False).alias("_grid"))
+    wanted = grid.select(*series, time, *[F.lit(None).cast("double").alias(s) for s in signals], *[F.col(c).alias(f"_c_{c}") for c in carry], F.lit(True).alias("_grid"))
     rows = samples.unionByName(wanted)
     order = Window.partitionBy(*series).orderBy(time)
     # range frames hold samples at the grid's own time on both sides
@@ -35,7 +35,7 @@ def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list
         else:
             value = F.coalesce(p["v"], n["v"])
         values.append(value.alias(s))
-    return out.filter("_grid").select(*series, time, *values)
+    return out.filter("_grid").select(*series, time, *[F.col(f"_c_{c}").alias(c) for c in carry], *values)
 
 
 def recent(trace: DataFrame, series: list[str], signal: str, capacity: int, time: str = "t") -> DataFrame:

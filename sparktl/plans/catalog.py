@@ -292,3 +292,33 @@ def drawdown_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", F.max("l_quantity"))
     f = atom(m.gt("x", 10)) >> atom(m.gt("x", 30)).eventually(0, 30)
     return temporal.robustness(d, f, ["l_suppkey"]).select("l_suppkey", "t", finite("rho").alias("rho"))
+
+
+def dense(kind: str, call: str, pick: str, low: float, high: float, over: str) -> None:
+    from sparktl.operators import dense as operators
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operators.window(events(spark, sf_dir), m.lt("value", 400), kind, low, high, USER)
+
+    side = 1 if kind in ("always", "eventually") else -1
+    edge = lambda n, by: f"""
+e{n} AS (SELECT b.user_id, b.at, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS x FROM (
+  SELECT a.*, n.t AS t1, n.x AS v1 FROM (SELECT q.user_id, q.at, q.t, p.t AS t0, p.x AS v0 FROM (SELECT user_id, t AS at, t + ({side * by!r}::DOUBLE) AS t FROM d) q ASOF LEFT JOIN d p ON q.user_id = p.user_id AND q.t >= p.t) a
+  ASOF LEFT JOIN d n ON a.user_id = n.user_id AND a.t <= n.t) b)"""
+    QUERIES[f"dense_{kind}"] = run
+    ORACLES[f"dense_{kind}"] = f"""WITH {EV}, d AS (SELECT user_id, t, 400 - value AS x FROM ev), {edge(0, low)}, {edge(1, high)},
+i AS (SELECT user_id, t, {call}(x) {over} AS y FROM d)
+SELECT i.user_id, i.t, {pick}(coalesce(y, e0.x), e0.x, e1.x) AS rho FROM i JOIN e0 ON e0.user_id = i.user_id AND e0.at = i.t JOIN e1 ON e1.user_id = i.user_id AND e1.at = i.t"""
+
+
+dense("always", "min", "least", HOUR, DAY, ahead(HOUR, DAY))
+dense("once", "max", "greatest", 0.0, DAY, behind(0, DAY))
+
+
+@query("mine_threshold")
+def mine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest bound (to 1e-4) that the first ten days of every user stay below."""
+    from sparktl.stats.mining import tightest
+
+    found = tightest(events(spark, sf_dir), lambda theta: atom(m.lt("value", theta)).always(0, 10 * DAY), 1000.0, 0.0, USER)
+    return spark.createDataFrame([(float(found),)], "theta double")

@@ -21,7 +21,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
     ours, theirs = QUERIES[name](spark, SF).toPandas(), db.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)

@@ -133,3 +133,33 @@ def test_formula_values():
     assert f.horizon() == 110 and f.memory() == 0 and f.depth() == 3 and f.has_temporal()
     with pytest.raises(ValueError):
         X().always(3, 2)
+
+
+def test_dense_window(spark):
+    from sparktl.operators import dense
+
+    r = random.Random(8)
+    times = sorted(r.sample(range(60), 20))
+    xs = [r.uniform(-3, 3) for _ in times]
+    data = trace(spark, times, x=xs)
+
+    def at(t):
+        if t <= times[0] or t >= times[-1]:
+            return xs[0] if t <= times[0] else xs[-1]
+        k = max(i for i, v in enumerate(times) if v <= t)
+        return xs[k] if times[k] == t else xs[k] + (xs[k + 1] - xs[k]) * (t - times[k]) / (times[k + 1] - times[k])
+
+    for kind, low, high in (("always", 1.5, 7), ("eventually", 0, 4), ("historically", 2, 9), ("once", 0, 100)):
+        side, pick = (1 if kind in ("always", "eventually") else -1), (min if kind in ("always", "historically") else max)
+        want = []
+        for t in times:
+            a, b = sorted((t + side * low, t + side * high))
+            want.append(pick([at(a), at(b), *[x for s, x in zip(times, xs) if a <= s <= b]]))
+        assert values(dense.window(data, m.gt("x", 0), kind, low, high, ["s"])) == pytest.approx(want)
+
+
+def test_mining(spark):
+    from sparktl.stats.mining import tightest
+
+    data = trace(spark, range(6), x=[1, 4, 2, 7.5, 3, 9])
+    assert tightest(data, lambda c: atom(m.lt("x", c)).always(0, 4), 100.0, 0.0, ["s"]) == pytest.approx(7.5, abs=1e-3)
