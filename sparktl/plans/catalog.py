@@ -322,3 +322,15 @@ def mine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = tightest(events(spark, sf_dir), lambda theta: atom(m.lt("value", theta)).always(0, 10 * DAY), 1000.0, 0.0, USER)
     return spark.createDataFrame([(float(found),)], "theta double")
+
+
+@query("smc_bayesian")
+def smc_bayesian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.bayesian(runs(spark, sf_dir), USER, 0.8, 10.0)
+
+
+@query("smc_chance", f"""
+WITH {RUNS}, c AS (SELECT user_id, count(*)::DOUBLE AS n, count(CASE WHEN rho >= 0 THEN 1 END)::DOUBLE / count(*) AS p FROM r GROUP BY user_id), w AS (SELECT *, {WILSON} FROM c)
+SELECT user_id, p AS probability, low >= {0.65 + 0.05!r} AS holds FROM w""")
+def smc_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.chance(runs(spark, sf_dir), USER, 0.65, 0.05).select("user_id", "probability", "holds")

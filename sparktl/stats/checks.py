@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from sparktl.operators.formula import Formula
 from sparktl.operators.temporal import at_start
@@ -118,3 +120,29 @@ def sequential(runs: DataFrame, series: list[str], p0: float, p1: float, alpha:
     verdict = F.when(F.col("_ratio") >= up, F.lit("accept_h1")).when(F.col("_ratio") <= down, F.lit("accept_h0"))
     first = steps.withColumn("_v", verdict).groupBy(*series).agg(F.min(F.when(F.col("_v").isNotNull(), F.struct("_n", "_v"))).alias("_x"), F.max("_n").alias("_all"))
     return first.select(*series, F.coalesce("_x._v", F.lit("inconclusive")).alias("decision"), F.coalesce("_x._n", "_all").alias("members"))
+
+
+def bayesian(runs: DataFrame, series: list[str], threshold: float, factor: float = 100.0) -> DataFrame:
+    """Sequential test by the posterior of the probability under a uniform prior, members in order.
+
+    Holds once the posterior odds of p >= threshold reach ``factor`` times the prior odds; fails the
+    other way round. Counts run in one window; the posterior is an Arrow function of distinct counts.
+    """
+    w = Window.partitionBy(*series).orderBy("member")
+
+    @pandas_udf("double")
+    def above(k: pd.Series, n: pd.Series) -> pd.Series:
+        pairs = pd.DataFrame({"k": k, "n": n}).drop_duplicates()
+        known = {(a, b): 1 - beta_cdf(threshold, a + 1, b - a + 1) for a, b in pairs.itertuples(index=False)}
+        return pd.Series([known[x] for x in zip(k, n)])
+
+    steps = runs.withColumns({"_k": F.count_if(F.col("rho") >= 0).over(w), "_n": F.count(F.lit(1)).over(w)}).withColumn("_p", above("_k", "_n"))
+    p, theta = F.col("_p"), F.lit(float(threshold))
+    verdict = F.when(p * theta >= factor * (1 - p) * (1 - theta), F.lit("holds")).when((1 - p) * (1 - theta) >= factor * p * theta, F.lit("fails"))
+    first = steps.withColumn("_v", verdict).groupBy(*series).agg(F.min(F.when(F.col("_v").isNotNull(), F.struct("_n", "_v"))).alias("_x"), F.max("_n").alias("_all"))
+    return first.select(*series, F.coalesce("_x._v", F.lit("inconclusive")).alias("decision"), F.coalesce("_x._n", "_all").alias("members"))
+
+
+def chance(runs: DataFrame, series: list[str], probability: float, tightening: float = 0.0, level: float = 0.95) -> DataFrame:
+    """check(), with holds where the interval's lower end reaches the probability and its tightening."""
+    return check(runs, series, probability, level).withColumn("holds", F.col("low") >= probability + tightening)

@@ -94,3 +94,12 @@ def test_fits(spark):
     two = spark.range(4000).select((F.when(F.col("id") % 4 == 0, -5.0).otherwise(5.0) + noise.uniform("u", F.col("id")) - 0.5).alias("residual"))
     parts = sorted(noise.fit_mixture(two, 2), key=lambda p: p[1])
     assert parts[0][0] == pytest.approx(0.25, abs=0.02) and parts[0][1] == pytest.approx(-5, abs=0.1) and parts[1][1] == pytest.approx(5, abs=0.1)
+
+
+def test_bayesian_and_chance(spark):
+    runs = spark.range(300).select(F.lit(1).alias("s"), F.col("id").alias("member"), F.when(F.col("id") % 10 == 0, -1.0).otherwise(1.0).alias("rho"))
+    assert checks.bayesian(runs, ["s"], 0.7).first()["decision"] == "holds" and checks.bayesian(runs, ["s"], 0.97).first()["decision"] == "fails"
+    # a uniform prior with k of n: P(p >= x) is a binomial sum
+    tail = sum(math.comb(11, j) * 0.3**j * 0.7 ** (11 - j) for j in range(5))
+    assert 1 - checks.beta_cdf(0.3, 5, 7) == pytest.approx(tail, rel=1e-9)
+    assert checks.chance(runs, ["s"], 0.85).first()["holds"] and not checks.chance(runs, ["s"], 0.85, tightening=0.1).first()["holds"]
