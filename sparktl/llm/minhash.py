@@ -5,13 +5,13 @@
 2. The forest has TREES orders. In each, a class is placed by the values of DEPTH hashes (its region)
    and, inside the region, by the next values (its path). A region of up to SMALL classes is compared
    in full. A larger one is followed deeper: neighbours along the path, which share the longest
-   prefixes, and the region's first class. Sizes and a one-bit sketch of the hashes leave out what
+   prefixes, and the region's hub, the class nearest to the bits that most of its classes have. Sizes and a one-bit sketch of the hashes leave out what
    cannot reach the similarity.
-3. Links are confirmed on the full sets: first the smallest candidate of every class, then all
-   candidates that the components found so far do not join already.
+3. Links are confirmed on the full sets: first the closest candidate of every class and the hubs, then
+   all candidates that the components found so far do not join already.
 4. The exact way for large regions: where a region still holds more than one component, every class
-   outside its largest component is held against all classes of the region in other components.
-   A region of one component has nothing left to find.
+   outside the largest one is held against all others on the full sets, in blocks. A region of one
+   component has nothing left to find.
 
 At similarity 0.8 a pair misses all of 40 trees of depth 5 about once in ten million times.
 
@@ -38,6 +38,7 @@ SIMILARITY = 80
 #: Bits of 128 that may differ: 1 - (1 + 0.8) / 2 of them are expected to, with five standard deviations.
 SKETCH = 30
 CHUNK = 1 << 15
+BLOCK = 512
 _random = np.random.default_rng(8191)
 FACTORS = (_random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -115,21 +116,23 @@ def placed(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "signature").mapInArrow(run, PLACES)
 
 
-def alike(n: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches let the pairs reach the similarity."""
-    sizes = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-    return sizes & (np.bitwise_count(s[i] ^ s[j]).sum(axis=1) <= SKETCH)
+def hub(s: np.ndarray) -> int:
+    """The class whose sketch is nearest to the bits that most classes have: the text that the others vary."""
+    bits = np.unpackbits(s.view(np.uint8), axis=1)
+    most = np.packbits((2 * bits.sum(0) >= len(bits)).astype(np.uint8)).view(np.uint64)
+    return int(np.bitwise_count(s ^ most).sum(axis=1).argmin())
 
 
 def candidates(places: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs to confirm, and (a, null, key, n, s1, s2) for each class of a large region.
+    """(a, b, close) pairs to confirm, and (a, null, null, key) for each class of a large region.
 
-    Regions are runs of sorted rows; a run longer than a batch of rows is taken in stretches that all
-    hold its first class, so memory stays bounded.
+    close is the number of sketch bits that differ, or -1 for a pair with its region's hub. Regions are
+    runs of sorted rows; a run longer than CHUNK is taken in stretches that all hold its hub, so
+    memory stays bounded.
     """
     triangle = {m: np.triu_indices(m, 1) for m in range(2, SMALL + 1)}
-    names = ["a", "b", "key", "n", "s1", "s2"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["a", "b", "close", "key"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, follows = None, False
@@ -140,31 +143,40 @@ def candidates(places: DataFrame, percent: int) -> DataFrame:
             key = rows[:, 0]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             ends = np.append(starts[1:], len(key))
-            a, b, large = [], [], []
+            pairs, large = [], []
+            first = rows[[starts[-1]]]
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                goes_on = e == len(key) and not last
-                if goes_on and e - s <= CHUNK:
+                if e == len(key) and not last and e - s <= CHUNK:
                     continue
-                mine, m = rows[s:e], e - s
-                if m <= SMALL and not (follows and s == 0):
-                    i, j = triangle[m]
+                mine, m, goes_on = rows[s:e], e - s, follows and s == 0
+                sketch = np.ascontiguousarray(mine[:, 4:6]).view(np.uint64)
+                if m <= SMALL and not goes_on:
+                    (i, j), at = triangle[m], None
                 else:
-                    i = np.concatenate([np.arange(m - d) for d in range(1, NEAR + 1)] + [np.zeros(m - 1, int)])
-                    j = np.concatenate([np.arange(d, m) for d in range(1, NEAR + 1)] + [np.arange(1, m)])
-                    large.append(mine[1:] if follows and s == 0 else mine)
-                fits = alike(mine[:, 3], mine[:, 4:6].view(np.uint64), i, j, percent)
-                a.append(mine[i[fits], 2])
-                b.append(mine[j[fits], 2])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    at = 0 if goes_on else hub(sketch)
+                    others = np.delete(np.arange(m), at)
+                    i = np.concatenate([np.full(m - 1, at)] + [np.arange(m - d) for d in range(1, NEAR + 1)])
+                    j = np.concatenate([others] + [np.arange(d, m) for d in range(1, NEAR + 1)])
+                    large.append(mine[1:] if goes_on else mine)
+                    if e == len(key):
+                        first = mine[[at]]
+                bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype="<i8")
+                n = mine[:, 3]
+                fits = (bits <= SKETCH) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                if at is not None:
+                    bits[: m - 1] = -1
+                x, y = mine[i[fits], 2], mine[j[fits], 2]
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), bits[fits]], 1))
+            if pairs:
+                pairs = np.unique(np.concatenate(pairs), axis=0)
                 none = lambda k: pa.nulls(len(pairs), k)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *map(none, kinds[2:])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype("<i4")), *map(none, kinds[3:])], names)
             for mine in large:
-                yield pa.RecordBatch.from_arrays([pa.array(mine[:, 2]), pa.nulls(len(mine), pa.int64()), pa.array(mine[:, 0]), pa.array(mine[:, 3].astype("<i4")), pa.array(mine[:, 4]), pa.array(mine[:, 5])], names)
+                none = [pa.nulls(len(mine), k) for k in kinds[1:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(mine[:, 2]), *none, pa.array(mine[:, 0])], names)
             tail = rows[starts[-1] :]
             if len(tail) > CHUNK:
-                held, follows = tail[[0]], True
+                held, follows = first, True
             else:
                 held, follows = tail, follows and starts[-1] == 0
 
@@ -176,7 +188,15 @@ def candidates(places: DataFrame, percent: int) -> DataFrame:
             yield from flush(held, True)
 
     ordered = places.repartition("key").sortWithinPartitions("key", "path", "id")
-    return ordered.mapInArrow(run, "a bigint, b bigint, key bigint, n int, s1 bigint, s2 bigint")
+    return ordered.mapInArrow(run, "a bigint, b bigint, close int, key bigint")
+
+
+def first_choice(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, close): every class's closest partner, and all pairs with a hub."""
+    ends = pairs.select("a", "b", "close").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "close"))
+    best = ends.groupBy("a").agg(F.min(F.struct("close", "b")).alias("x")).select("a", "x.b")
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return best.unionByName(pairs.filter("close = -1").select("a", "b")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,18 +215,54 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def left_over(regions: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs in large regions between a class outside the region's largest component and any other."""
-    marked = regions.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    parts = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    split = parts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-    marked = marked.join(split, "key")
-    x = marked.filter("c != main").select("key", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "s1", "s2")])
-    bits = F.bit_count(F.col("x_s1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("x_s2").bitwiseXOR(F.col("s2")))
-    sizes = 100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n")
-    fits = (F.col("x_c") != F.col("c")) & sizes & (bits <= SKETCH)
-    out = x.join(marked, (x["key"] == marked["key"]) & fits)
-    return out.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
+def settled(regions: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) in large regions that no candidate pair has shown, from full sets.
+
+    Regions that hold more than one component are joined into clusters where they share a class. In a
+    cluster, every class outside its largest component is held against all classes of the cluster:
+    blocks of the former meet blocks of the latter, intersections are counted, and only links come out.
+    """
+    named = regions.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    split = named.groupBy("key").agg(F.min("c").alias("one"), F.max("c").alias("other"), F.min("id").alias("first")).filter("one < other").select("key", "first")
+    mixed = written(named.join(split, "key").select("id", "c", "first").distinct(), "minhash-mixed")
+    clusters = components(mixed.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
+    members = written(mixed.select("id", "c").distinct().join(clusters, "id"), "minhash-members")
+    parts = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("m"))
+    sizes = parts.groupBy("cluster").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"))
+    sizes = sizes.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    full = written(members.join(sizes, "cluster").join(sets, "id"), "minhash-full")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["cluster", "id", "c", "shingles"]
+    left = full.filter("c != main").select(*fields, mine("rows").alias("x"), each("columns").alias("y"))
+    right = full.select(*[F.col(f).alias(f) for f in fields], mine("columns").alias("y"), each("rows").alias("x"))
+
+    def meet(some: pa.Table, every: pa.Table) -> pa.Table:
+        found = []
+        if some.num_rows and every.num_rows:
+            sets_of = lambda t: t.column("shingles").combine_chunks()
+            ours, theirs = sets_of(some), sets_of(every)
+            n, m = np.diff(ours.offsets.to_numpy()), np.diff(theirs.offsets.to_numpy())
+            flat = ours.flatten().to_numpy()
+            order = np.argsort(flat, kind="stable")
+            owner, keys = np.repeat(np.arange(len(n)), n)[order], flat[order]
+            ids, others = some.column("id").to_numpy(), every.column("id").to_numpy()
+            c, d = some.column("c").to_numpy(), every.column("c").to_numpy()
+            for at in range(0, len(m), 32):
+                part = theirs.slice(at, 32)
+                want, who = part.flatten().to_numpy(), np.repeat(np.arange(len(part)), m[at : at + 32])
+                low = np.searchsorted(keys, want, "left")
+                hits = np.searchsorted(keys, want, "right") - low
+                place = np.repeat(low - np.append(0, np.cumsum(hits)[:-1]), hits) + np.arange(hits.sum())
+                common = np.bincount(owner[place] * len(part) + np.repeat(who, hits), minlength=len(n) * len(part)).reshape(len(n), len(part))
+                link = (100 * common >= percent * (n[:, None] + m[None, at : at + 32] - common)) & (c[:, None] != d[None, at : at + 32])
+                i, j = np.nonzero(link)
+                found.append(np.stack([ids[i], others[at + j]], 1))
+        pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), "<i8")
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    keys = ["cluster", "x", "y"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -218,16 +274,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     filled = prints.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "minhash-classes")
     found = written(candidates(placed(classes), percent), "minhash-candidates")
-    pairs = written(found.filter("b IS NOT NULL").select("a", "b").distinct(), "minhash-pairs")
-    regions = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"), "n", "s1", "s2")
+    pairs = written(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("close").alias("close")), "minhash-pairs")
+    regions = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(regions.select(F.col("id").alias("doc_id"))).distinct()
     sets = written(with_shingles(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "minhash-sets")
 
-    links = written(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, percent), "minhash-links")
+    links = written(confirmed(first_choice(pairs), sets, percent), "minhash-links")
+    groups = components(links)
+    links = written(links.unionByName(confirmed(apart(pairs, groups), sets, percent)), "minhash-links")
+    groups = components(links)
+    links = written(links.unionByName(settled(regions, groups, sets, percent)), "minhash-links")
     groups = components(links)
-    for more in (lambda g: apart(pairs, g), lambda g: apart(left_over(regions, g, percent), g)):
-        links = written(links.unionByName(confirmed(more(groups), sets, percent)), "minhash-links")
-        groups = components(links)
     named = classes.join(groups, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = prints.join(named, ["f1", "f2", "n"], "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
