@@ -47,13 +47,15 @@ def tokenizer(file: str):
     return out
 
 
-class Pieces(dict):
+class Pieces:
     """Ids, as little-endian 32-bit integers, of each piece that was asked for; emptied when full.
 
     New pieces go to the library many at a time, with a mark between them that makes one token of its
     own and stands in none of them; the ids are cut at the mark. A word of Latin letters, with or
     without punctuation behind it, needs no splitting by the library: its letters are one unit of the
     vocabulary's pattern and the punctuation another, so the library's model takes the units directly.
+
+    Pieces are words, which follow a blank where blanks count, or words behind a line's end.
     """
 
     def __init__(self, file: str, blanks: bool):
@@ -61,6 +63,7 @@ class Pieces(dict):
         self.units = Tokenizer(self.library.model)
         self.units.pre_tokenizer = CharDelimiterSplit("\n")
         self.cuts = self.ids(self.mark.strip(" "))[0], self.units.encode(UNIT_MARK, add_special_tokens=False).ids[0]
+        self.table: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -71,62 +74,77 @@ class Pieces(dict):
 
     def put(self, keys: list[str], ids: list[int], cut: int) -> None:
         ids = np.array(ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == cut), len(ids)).tolist()
-        raw, at = ids.tobytes(), 0
+        ends = (4 * np.flatnonzero(ids == cut)).tolist()
+        ends.append(4 * len(ids))
         assert len(ends) == len(keys)
+        raw, at = ids.tobytes(), 0
         for x, end in zip(keys, ends):
-            self[x] = raw[4 * at : 4 * end]
-            at = end + 1
+            self.table[x] = raw[at:end]
+            at = end + 4
 
-    def add_words(self, words: list[str]) -> None:
-        """Words of Latin letters, which follow a blank where blanks count."""
-        lead = "\u0120" if self.blanks else ""
+    def add_words(self, words: list[str], lead: str) -> None:
+        """Words of Latin letters; lead stands before each in the vocabulary's writing."""
         text = "\n".join(words)
-        text = (text if self.blanks else text.lower()).translate(LATIN)
+        if not self.blanks:
+            text = text.lower()
+        if not text.isascii():
+            text = text.translate(LATIN)
         text = lead + text.replace("\n", f"\n{UNIT_MARK}\n{lead}")
         self.put(words, self.units.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.cuts[1])
 
-    def add(self, pieces: list[str]) -> None:
-        """Pieces: words, which follow a blank where blanks count, or words behind a line's end."""
-        pieces = list(dict.fromkeys(pieces))
-        words = [x for x in pieces if x.isalpha()]
-        others = [x for x in pieces if not x.isalpha()]
-        tailed, rest = [], []
-        if not LETTERS.issuperset("".join(words)):
-            rest = [x for x in words if not LETTERS.issuperset(x)]
-            words = [x for x in words if LETTERS.issuperset(x)]
-        for x in others:
-            body = x.rstrip(TAIL)
-            if body.isalpha() and LETTERS.issuperset(body):
-                tailed.append((x, body))
-            else:
+    def add(self, pieces: set[str]) -> None:
+        table, words, lines, tailed, rest = self.table, set(), set(), [], []
+        for x in pieces:
+            word = body = x if x.isalpha() else x.rstrip(TAIL)
+            if body[:1] == "\n" and self.blanks:
+                word = body[1:]
+            if not word.isalpha() or not (word.isascii() or LETTERS.issuperset(word)):
                 rest.append(x)
-        words += list({body for _, body in tailed if body not in self}.difference(words))
+                continue
+            if body is not x:
+                tailed.append((x, body))
+            if word is not body:
+                lines.add(word)
+            elif body is x or body not in table:
+                words.add(word)
         if words:
-            self.add_words(words)
+            self.add_words(list(words), "\u0120" if self.blanks else "")
+        if lines:
+            # without their line's end they are other pieces than the words that follow a blank
+            after = {x: table.get(x) for x in lines}
+            self.add_words(list(lines), "")
+            for x, known in after.items():
+                table["\n" + x] = self.line + table.pop(x)
+                if known is not None:
+                    table[x] = known
+        for x, body in tailed:
+            tail = x[len(body) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.raw(tail)
+            table[x] = table[body] + self.tails[tail]
         joint = []
         for x in rest:
             if not x or x[0] == "\n" or self.mark.strip(" ") in x:
-                self[x] = self.raw(x if x[:1] == "\n" or not self.blanks else " " + x) if x else b""
+                table[x] = self.raw(x if x[:1] == "\n" or not self.blanks else " " + x) if x else b""
             else:
                 joint.append(x)
         if joint:
             self.put(joint, self.ids(self.mark.join([" " + x for x in joint] if self.blanks else joint)), self.cuts[0])
-        for x, body in tailed:
-            tail = x[len(body) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.raw(tail)
-            self[x] = self[body] + self.tails[tail]
+
+    @property
+    def line(self) -> bytes:
+        if "\n" not in self.tails:
+            self.tails["\n"] = self.raw("\n")
+        return self.tails["\n"]
 
     def joined(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, pieces))
-        except KeyError:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-                self.tails.clear()
-            self.add([x for x in pieces if x not in self])
-            return b"".join(map(self.__getitem__, pieces))
+        new = set(pieces).difference(self.table)
+        if new:
+            if len(self.table) >= MAX_PIECES:
+                self.table.clear()
+                new = set(pieces)
+            self.add(new)
+        return b"".join(map(self.table.__getitem__, pieces))
 
 
 class Encoder:
@@ -149,8 +167,8 @@ class Encoder:
             return self.pieces.joined(text.replace("\n", " ").split(" "))
         if any(x in text for x in MIXED) or text[0] in " \n" or text[-1] in " \n":
             return self.pieces.raw(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.pieces.raw(first) + self.pieces.joined(rest)
+        # the first word is taken as one behind a line's end, whose id is then dropped
+        return self.pieces.joined(("\n" + text.replace("\n", " \n")).split(" "))[len(self.pieces.line) :]
 
 
 @lru_cache(maxsize=2)
