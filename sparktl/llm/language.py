@@ -147,9 +147,12 @@ def trained(texts: dict[str, list[str]]) -> Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Train on docs (doc_id, text, lang), at most per_language of each; null langs and texts are left out."""
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_place", place).filter(F.col("_place") <= per_language)
+    some = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    # the ids are chosen without their texts; per_language rows a language are broadcast
+    chosen = some.select("doc_id", "lang").withColumn("_place", place).filter(F.col("_place") <= per_language).select("doc_id").distinct()
+    rows = some.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     texts: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").toLocalIterator():
+    for r in rows.select("lang", "text").collect():
         texts.setdefault(r[0], []).append(r[1])
     return trained(texts)
 
