@@ -1,10 +1,10 @@
 """Secret scans: three fixed patterns plus a token-efficiency test under a tiktoken vocabulary.
 
-Random strings split into many short tokens. A candidate is a run of 20 or more characters of
-``[A-Za-z0-9+/_=-]`` that mixes digits with letters of both cases or has at least 10 digits; known
-digests (whole runs of 32, 40, 56, 64, 96 or 128 hexadecimal digits), UUIDs and hyphen- or
-slash-separated identifiers of short parts are left out; what is left is a finding when it has fewer
-than MAX_RATIO characters a token.
+Random strings split into many short tokens. A candidate is a run of SHORT or more characters of
+``[A-Za-z0-9+/_=-]``; known digests (whole runs of 32, 40, 56, 64, 96 or 128 hexadecimal digits), UUIDs
+and hyphen- or slash-separated identifiers of words and numbers are left out; what is left is a finding
+when it has fewer than MAX_RATIO characters a token. Runs under LONG characters are held to a stricter
+ratio, the strictest where letters and digits are not mixed, as rare words are short runs of letters.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; texts
 are scanned whole; repeated rows are scanned one by one.
@@ -27,7 +27,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORT, LONG = 8, 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}")
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
 ONLY_HEX = re.compile(r"[0-9a-fA-F]+")
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
@@ -46,19 +47,30 @@ def encoding(vocabulary: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, and paths or slugs whose parts are words or short numbers."""
+    """Digests, UUIDs, paths or slugs whose parts are words or numbers, and runs of signs alone."""
     if UUID.fullmatch(run) or (ONLY_HEX.fullmatch(run) and len(run) in DIGESTS):
         return True
     parts = [p for p in re.split(r"[-/_=+]", run) if p]
-    return len(parts) > 1 and all(p.isalpha() and (p.islower() or p.istitle() or p.isupper()) or p.isdigit() for p in parts)
+    return len(parts) != 1 and all(p.isalpha() and (p.islower() or p.istitle() or p.isupper()) or p.isdigit() for p in parts)
+
+
+def ratio_limit(run: str, max_ratio: float = MAX_RATIO) -> float:
+    """The characters a token that a run must stay under: max_ratio from LONG characters on, less for shorter runs."""
+    if len(run) >= LONG:
+        return max_ratio
+    if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+        return 0.9 * max_ratio
+    return (0.5 + len(run) / 64) * max_ratio
 
 
 def is_random(run: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
-    digits = sum(c.isdigit() for c in run)
-    mixed = any(c.islower() for c in run) and any(c.isupper() for c in run) and digits >= 2
-    if not (mixed or 10 <= digits < len(run)) or is_identifier(run):
+    if len(run) < SHORT or is_identifier(run):
         return False
-    return len(run) < max_ratio * len(encoding(vocabulary).encode_ordinary(run))
+    return len(run) < ratio_limit(run, max_ratio) * len(encoding(vocabulary).encode_ordinary(run))
+
+
+#: Short runs are mostly words that come again.
+short_is_random = lru_cache(maxsize=1 << 16)(is_random)
 
 
 def spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
@@ -69,7 +81,7 @@ def spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO)
     for m in CANDIDATE.finditer(text):
         # Every run of 24 hexadecimal digits lies in a candidate.
         found += [(m.start() + h.start(), 2, m.start() + h.end()) for h in HEX.finditer(m[0])]
-        if is_random(m[0], vocabulary, max_ratio):
+        if (is_random if m.end() - m.start() >= LONG else short_is_random)(m[0], vocabulary, max_ratio):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
