@@ -5,9 +5,12 @@ prefix of segments:
 
 * Generalising: segments that vary by their look (numbers, long digit or hexadecimal runs, dates,
   ids with digits, file names with a number) become wildcards that keep the extension.
-* Merging: under one host and prefix, a segment with many values is a wildcard as well, where the
-  branches are statistically alike: no branch's labelled block rate differs from the pooled rate of
-  its siblings by more than Z standard errors, and there are at least MANY of them.
+* Merging: under one host and prefix, labelled branches that are statistically alike share a wildcard.
+  They start as one group; a branch whose block rate differs from that of the rest of its group leaves
+  it, downwards or upwards. A group without such a branch that varies more than chance allows is split
+  at its rate. The parts are tested again until all are alike, and groups of at least MANY branches are
+  merged. The bound is Z standard errors for one branch and grows with the number of branches tested.
+  A branch without labels keeps its own template.
 * Labels are the urls that a rule decides. A template's purity is its share of blocked labels, smoothed
   towards its host, the host's towards its registered domain and language-like first segment, and
   that towards the prior; templates above REJECT are blocked.
@@ -96,22 +99,44 @@ def leaves(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
 
 
+def alike(branches: DataFrame, done: list[str]) -> DataFrame:
+    """(*done, n, b, wild): the wildcard of the branches with n labels, b of them blocked; only where merged.
+
+    branches: *done, n, b. The test depends on n and b alone, so it works on one row for each pair of them,
+    however many branches a parent has. Each round splits groups, and the last one splits none.
+    """
+    pairs = branches.filter("n > 0").groupBy(*done, "n", "b").agg(F.count(F.lit(1)).alias("same")).withColumn("g", F.lit(""))
+    n, b, gn, gb, m, same = map(F.col, ("n", "b", "gn", "gb", "m", "same"))
+    rate = (gb + PRIOR * WEIGHT) / (gn + WEIGHT)
+    noise = rate * (1 - rate)
+    # a normal tail shrinks by the factor m where the square of the bound grows by 2 ln m
+    bound = F.sqrt(Z * Z + 2 * F.log("m"))
+    apart, least = b - n * (gb - b) / (gn - n), bound * F.sqrt(n * noise * (1 + n / (gn - n))) + 0.5
+    side = F.when(apart > least, "+").when(apart < -least, "-").otherwise("=")
+    # Pearson's statistic and the variance of its terms under one rate
+    square, spread = (b - n * rate) * (b - n * rate) / (n * noise), 2 + (1 / noise - 6) / n
+    varies = (F.max((F.col("side") != "=").cast("int")) == 0) & (F.sum(square * same) - F.max("m") + 1 > F.max(bound) * F.sqrt(F.sum(spread * same)))
+    while True:
+        groups = pairs.groupBy(*done, "g").agg(F.sum("same").alias("m"), F.sum(n * same).alias("gn"), F.sum(b * same).alias("gb"))
+        tested = written(pairs.join(groups.filter(m >= MANY), [*done, "g"]).withColumn("side", side), "url-alike")
+        tested = tested.join(tested.groupBy(*done, "g").agg(varies.alias("varies")), [*done, "g"])
+        split = F.when(~F.col("varies"), F.col("side")).when(b * gn < n * gb, "-").otherwise("+")
+        pairs = written(tested.select(*done, "n", "b", "same", F.concat("g", split).alias("g")), "url-alike")
+        if pairs.filter(~F.col("g").endswith("=")).isEmpty():
+            return pairs.select(*done, "n", "b", F.concat(F.lit("*~"), F.regexp_replace("g", "=+$", "")).alias("wild"))
+
+
 def merged(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     """tree with the segments as merged, t1..t<depth>: alike branches of one parent share a wildcard.
 
-    Level by level from the root: branch totals, then a comparison with the parent's totals. The tree
-    has one row for each distinct path of templates and is written after each level, so that plans
-    stay small.
+    Level by level from the root. The tree has one row for each distinct path of templates and is written
+    after each level, so that plans stay small.
     """
     out, done = written(tree, "url-tree"), ["host"]
     for k in range(1, depth + 1):
-        branches = out.groupBy(*done, f"s{k}").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-        parents = branches.groupBy(*done).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.countDistinct(F.when(F.col(f"s{k}") != "", F.col(f"s{k}"))).alias("branches"))
-        rate = (F.col("pb") + PRIOR * WEIGHT) / (F.col("pn") + WEIGHT)
-        far = F.abs(F.col("b") - F.col("n") * rate) > Z * F.sqrt(F.col("n") * rate * (1 - rate)) + 0.5
-        alike = branches.join(parents, done).groupBy(*done).agg(F.max("branches").alias("branches"), F.max(far.cast("int")).alias("differ"))
-        wild = alike.select(*done, ((F.col("branches") >= MANY) & (F.col("differ") == 0)).alias(f"w{k}"))
-        out = out.join(wild, done).withColumn(f"t{k}", F.when(F.col(f"w{k}") & (F.col(f"s{k}") != ""), F.lit("*")).otherwise(F.col(f"s{k}"))).drop(f"w{k}")
+        branches = out.filter(F.col(f"s{k}") != "").groupBy(*done, f"s{k}").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+        wild = branches.join(alike(branches, done), [*done, "n", "b"]).select(*done, f"s{k}", "wild")
+        out = out.join(wild, [*done, f"s{k}"], "left").withColumn(f"t{k}", F.coalesce("wild", f"s{k}")).drop("wild")
         out = written(out, "url-tree")
         done = [*done, f"t{k}"]
     return out

@@ -6,7 +6,7 @@ import string
 
 import pytest
 
-from sparktl.llm import secret_scan
+from sparktl.llm import secret_scan, url_filter
 
 LOWER_DIGITS = string.ascii_lowercase + string.digits
 
@@ -28,3 +28,41 @@ def test_words_and_identifiers_are_not_random():
     assert secret_scan.redacted(f"before {key} after", secret_scan.spans(f"before {key} after")) == "before [SECRET] after"
     plain = "internationalisation Donaudampfschifffahrtsgesellschaft anticonstitutionnellement 2024-01-05 some-long-slug 1234567890 ==================== -=-=-=-=-=-=-=-=-=-= README_FILE https://example.com/en/news/2024 STRENGTHS rhythms"
     assert not secret_scan.spans(plain)
+
+
+def url_verdicts(spark, urls, rules=url_filter.RULES):
+    """(verdict, template, purity) by url."""
+    rows = url_filter.judged(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()
+    return {r["url"]: (r["verdict"], r["template"], r["purity"]) for r in rows}
+
+
+def test_unlabelled_branches_stay_out_of_wildcards(spark):
+    others = ["en", "fr", "es", "it", "nl", "pt", "sv", "fi", "da"]
+    urls = [f"http://x.example.com/de/{k}" for k in range(100)] + [f"http://x.example.com/{o}/{k}" for o in others for k in range(3)]
+    got = url_verdicts(spark, urls)
+    assert all(got[u][0] == ("block" if "/de/" in u else "allow") for u in urls)
+    assert all(got[f"http://x.example.com/{o}/1"][2] == pytest.approx(0.2) for o in others)
+
+
+def test_alike_branches_merge_in_groups(spark):
+    """Twenty clean, twenty blocked branches and one without labels: two wildcards, and one on its own."""
+    rules, urls = [], []
+    for k in range(41):
+        name = "".join(chr(97 + int(d)) for d in f"{k:02}")
+        urls += [f"http://h.org/{name}/{j}" for j in range(30)]
+        if k < 40:
+            rules.append(url_filter.Rule("block" if k < 20 else "allow", "h.org", f"/{name}/1"))
+    got = url_verdicts(spark, urls, tuple(rules))
+    first = {}
+    for u, (_, template, _) in got.items():
+        first.setdefault(template.split("/")[1], set()).add(u.split("/")[3])
+    assert sorted(map(len, first.values())) == [1, 20, 20]
+    assert {got[u][0] for u in urls if u.split("/")[3] == "ae"} == {"block"} and got["http://h.org/ea/5"] == ("allow", "/ea/*", pytest.approx(0.2))
+
+
+def test_truly_alike_branches_merge(spark):
+    r = random.Random(3)
+    rows = [(h, sum(r.random() < p for _ in range(n)), n) for h in range(100) for p in [r.uniform(0.2, 0.8)] for n in [r.randrange(5, 60)] for _ in range(50)]
+    branches = spark.createDataFrame(rows, "host int, b int, n int")
+    found = branches.join(url_filter.alike(branches, ["host"]), ["host", "n", "b"]).groupBy("host", "wild").count().collect()
+    assert sum(x["count"] == 50 for x in found) >= 95
