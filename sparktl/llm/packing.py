@@ -7,8 +7,8 @@ Pieces of one length are interchangeable, so the packing is decided on counts by
 2. The driver fills sequences of a histogram. The incumbent is best-fit decreasing on groups of equal
    sequences. Bin completion takes the largest length left, enumerates fillings of the room beside it
    (longer first, so a filling that is dominated by one already seen never replaces it), and branches
-   over the best few; a branch ends when its waste so far passes what the incumbent allows. It stops
-   at the lower bound or after NODES nodes, and the better plan is kept.
+   over the best three, at any depth; a branch ends when its waste so far passes what the incumbent
+   allows. It stops at the lower bound or after NODES nodes, and the better plan is kept.
 3. A plan is a list of (filling, times). The pieces of a length are ranked (bucket offset plus row
    number inside the bucket) and take the places of that length in the order of the plan.
 
@@ -123,47 +123,53 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, waste: int, tr
 def bin_completion(histogram: dict[int, int], size: int, most: int, nodes: int, tries: int) -> Plan | None:
     """A plan of at most ``most`` sequences, or None if the search ends without one."""
     spare = most * size - sum(k * n for k, n in histogram.items())
-
-    def search(left: dict[int, int], lengths: list[int], spare: int) -> Plan | None:
-        nonlocal nodes
-        plan: Plan = []
-        while lengths:
-            nodes -= 1
-            if nodes < 0 or spare < 0:
-                return None
-            longest = lengths[-1]
-            left[longest] -= 1
-            if not left[longest]:
-                lengths.pop()
-            options = fillings(lengths, left, size - longest, spare, tries)
-            left[longest] += 1
-            if left[longest] == 1:
-                lengths.append(longest)
-            if not options:
+    left, lengths = dict(histogram), sorted(histogram)
+    # the steps taken, each with the fillings still to try in its place: a stack, as plans have thousands of steps
+    trail: list[tuple[Counter, int, int, int, list]] = []
+
+    def take(longest: int, options: list[tuple[int, tuple[int, ...]]]) -> None:
+        nonlocal spare
+        (waste, taken), *rest = options
+        need = Counter(taken)
+        need[longest] += 1
+        times = min(left[x] // n for x, n in need.items())
+        if waste:
+            times = min(times, spare // waste)
+        for x, n in need.items():
+            left[x] -= n * times
+            if not left[x]:
+                del left[x], lengths[bisect_left(lengths, x)]
+        spare -= waste * times
+        trail.append((need, times, waste, longest, rest if waste else []))
+
+    def undo() -> tuple[int, list]:
+        nonlocal spare
+        need, times, waste, longest, rest = trail.pop()
+        for x, n in need.items():
+            if x not in left:
+                insort(lengths, x)
+            left[x] = left.get(x, 0) + n * times
+        spare += waste * times
+        return longest, rest
+
+    while lengths:
+        nodes -= 1
+        if nodes < 0 or spare < 0:
+            return None
+        longest = lengths[-1]
+        left[longest] -= 1
+        if not left[longest]:
+            lengths.pop()
+        options = fillings(lengths, left, size - longest, spare, tries)
+        left[longest] += 1
+        if left[longest] == 1:
+            lengths.append(longest)
+        while not options:
+            if not trail:
                 return None
-            for k, (waste, taken) in enumerate(options):
-                need = Counter(taken)
-                need[longest] += 1
-                times = min(left[x] // n for x, n in need.items())
-                if waste:
-                    times = min(times, spare // waste)
-                last = k == len(options) - 1 or not waste
-                now, rest = (left, lengths) if last else (dict(left), list(lengths))
-                for x, n in need.items():
-                    now[x] -= n * times
-                    if not now[x]:
-                        del now[x]
-                        rest.remove(x)
-                step = (tuple(sorted(need.items(), reverse=True)), times)
-                if last:
-                    plan.append(step)
-                    spare -= waste * times
-                    break
-                if len(plan) < 200 and (found := search(now, rest, spare - waste * times)) is not None:
-                    return [*plan, step, *found]
-        return plan
-
-    return search(dict(histogram), sorted(histogram), spare)
+            longest, options = undo()
+        take(longest, options)
+    return [(tuple(sorted(need.items(), reverse=True)), times) for need, times, *_ in trail]
 
 
 def planned(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES, tries: int = TRIES) -> Plan:

@@ -6,7 +6,7 @@ import string
 
 import pytest
 
-from sparktl.llm import secret_scan, url_filter
+from sparktl.llm import packing, secret_scan, url_filter
 
 LOWER_DIGITS = string.ascii_lowercase + string.digits
 
@@ -66,3 +66,18 @@ def test_truly_alike_branches_merge(spark):
     branches = spark.createDataFrame(rows, "host int, b int, n int")
     found = branches.join(url_filter.alike(branches, ["host"]), ["host", "n", "b"]).groupBy("host", "wild").count().collect()
     assert sum(x["count"] == 50 for x in found) >= 95
+
+
+def test_long_plans_branch_too():
+    """Plans of well over 200 steps."""
+    for size, m, draw, most in ((600, 20_000, lambda r: int(r.lognormvariate(6.5, 1)), 15_793), (4096, 3_000, lambda r: r.randint(1024, 2048), 1_199)):
+        r, histogram = random.Random(1), {}
+        for _ in range(m):
+            k = max(1, min(draw(r), size))
+            histogram[k] = histogram.get(k, 0) + 1
+        plan, used = packing.planned(dict(histogram), size), {}
+        for filling, times in plan:
+            assert sum(k * n for k, n in filling) <= size
+            for k, n in filling:
+                used[k] = used.get(k, 0) + n * times
+        assert used == histogram and sum(n for _, n in plan) <= most
