@@ -147,9 +147,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
     if lengths is None:
         return spark.createDataFrame([], result)
     rows, asked = (x.filter(F.size("vector") == lengths["length"]) for x in (rows, asked))
-    # the smallest ids of each distinct vector; the limit acts before the shuffle
+    # the smallest ids of each distinct vector, each once; the limit acts before the shuffle
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    classes = written(rows.withColumn("place", place).filter(F.col("place") <= 2 * k + 2).groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("id"))), 1, k + 1).alias("ids")).withColumn("id", F.get("ids", F.lit(0))), "nearest-classes")
+    smallest = rows.dropDuplicates(["vector", "id"]).withColumn("place", place).filter(F.col("place") <= k + 1)
+    classes = written(smallest.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.get("ids", F.lit(0))), "nearest-classes")
     asked = asked.select("id", "vector")
     wanted = asked.groupBy("vector").agg(F.min("id").alias("query"))
 

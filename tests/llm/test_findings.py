@@ -6,7 +6,7 @@ import string
 
 import pytest
 
-from sparktl.llm import packing, secret_scan, url_filter
+from sparktl.llm import nearest, packing, secret_scan, url_filter
 
 LOWER_DIGITS = string.ascii_lowercase + string.digits
 
@@ -81,3 +81,13 @@ def test_long_plans_branch_too():
             for k, n in filling:
                 used[k] = used.get(k, 0) + n * times
         assert used == histogram and sum(n for _, n in plan) <= most
+
+
+def test_repeated_rows_do_not_push_ids_out(spark):
+    rows = [(1, [1.0, 2.0])] * 60 + [(k, [1.0, 2.0]) for k in range(2, 31)] + [(k, [-1.0, float(k)]) for k in range(40, 50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = nearest.nearest(df, df.filter("vec_id = 5"), k=3).collect()
+    top = sorted((r["rank"], r["id"]) for r in out)
+    assert [i for _, i in top] == [49, 48, 47]
+    out = nearest.nearest(df.filter("vec_id < 40"), df.filter("vec_id = 5"), k=20).collect()
+    assert [i for _, i in sorted((r["rank"], r["id"]) for r in out)] == [k for k in range(1, 22) if k != 5]
