@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,34 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, used: Iterable[str], without: Iterable[str] = ()) -> DataFrame:
+    """The used columns under their own names, and all columns but those without under reserved ones.
+
+    What an operator adds then clashes with no column of its input; restored() gives the names back.
+    """
+    return df.select(*[F.col(quoted(c)) for c in used], *[F.col(quoted(c)).alias(f"_carried_{k}") for k, c in enumerate(df.columns) if c not in without])
+
+
+def restored(df: DataFrame, **new: Column) -> list[Column]:
+    """The columns of df, an input of carried(), to select afterwards; new: those with new values."""
+    return [new[c].alias(c) if c in new else F.col(f"_carried_{k}").alias(c) for k, c in enumerate(df.columns)]
+
+
+_held: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by this worker until it is asked for another: it holds one vocabulary at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, spark.checkpoint.dir; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktl.llm.common import table, written
-from sparktl.llm.tokens import encoded
+from sparktl.llm.tokens import binaries, id_runs
 
 SIZE = 4096
 NODES = 20_000
@@ -40,19 +40,19 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def pieces(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int = 1, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids, cut only where longer than size."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
-        for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = ids.as_buffer().to_pybytes()
-                for k, at in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[at : at + 4 * size]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-
-    return encoded(docs, file, end_id, blanks=False).mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
+    def cut(ids: np.ndarray, rows: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        parts = -(-counts // size)
+        piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = piece * size
+        length = np.minimum(np.repeat(counts, parts) - start, size)
+        ends = 4 * np.cumsum(length)
+        raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip((ends - 4 * length).tolist(), ends.tolist())]
+        columns = [rows.take(pa.array(np.repeat(np.arange(len(counts)), parts))), pa.array(piece.astype("<i4")), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        return pa.RecordBatch.from_arrays(columns + [binaries(ids, length)] * keep_ids, names + ["ids"] * keep_ids)
+
+    return id_runs(docs, file, end_id, False, cut, PIECES + ", ids binary" * keep_ids)
 
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]

@@ -7,7 +7,8 @@ when it has fewer than MAX_RATIO characters a token. Runs under LONG characters
 ratio, the strictest where letters and digits are not mixed, as rare words are short runs of letters.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; texts
-are scanned whole; repeated rows are scanned one by one.
+are scanned whole, however long; repeated rows are scanned one by one; other columns are kept as they
+are, but for one named secret_spans, which scan() replaces (the pipeline's stage keeps that one too).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktl.llm.common import table
+from sparktl.llm.common import carried, held, restored, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -36,14 +37,16 @@ MAX_RATIO = 2.0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
-@lru_cache(maxsize=1)
 def encoding(vocabulary: str):
-    import public_tokenizers
-    import tiktoken
+    def make():
+        import public_tokenizers
+        import tiktoken
 
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(vocabulary), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held((vocabulary, "tiktoken"), make)
 
 
 def is_identifier(run: str) -> bool:
@@ -142,8 +145,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays; its secrets are masked and n_chars follows."""
-    out = scan(docs, mask=True).drop("secret_spans")
+    """Pipeline stage: every document stays; its secrets are masked and n_chars follows. Other columns stay as they are."""
+    out = scan(carried(docs, ["text"], without=["text"]), mask=True)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        old = F.col(f"_carried_{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    return out.select(*restored(docs, **new))
