@@ -15,7 +15,8 @@ Documents run on from block to block; the index gives where each block is and wh
 document has, so one document can be read from its blocks alone.
 
 Defined results: no rows make a table of no files, which reads back empty; a null doc_id is stored as
-the smallest long and read as null; repeated ids stay in the order in which they were written.
+the smallest long and read as null; rows that share an id stay apart, in the order of a hash of their
+texts; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -223,11 +224,12 @@ class BitPlaneSource(DataSource):
 def write_tokens(spark: SparkSession, docs: DataFrame, path: str, file: str, end_id: int, blanks: bool) -> None:
     """Encode docs (doc_id, text) in ascending doc_id order and write the token files.
 
-    One range shuffle of the texts by doc_id gives the order; encoding and writing follow in the
-    same tasks, so ids are never shuffled.
+    One range shuffle of the texts by doc_id, and by a hash of the text where many rows share an id (or
+    have none), gives the order; encoding and writing follow in the same tasks, so ids are never shuffled.
     """
     spark.dataSource.register(BitPlaneSource)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
     encoded(ordered, file, end_id, blanks).write.format("bitplane").mode("append").save(path)
 
 
