@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktl.llm.common import WORD, table, words
+from sparktl.llm.common import WORD, carried, quoted, restored, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: Common function words of the languages in the corpus (lower case).
@@ -26,6 +26,7 @@ STOP_WORDS = (
     "el la los las de del y es un una en que por para con se no lo su al"
 )
 WINDOW = 5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_marks", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,12 @@ def measures(df: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the measures, one boolean for each rule (fails_<name>), base_failed and kept."""
+    results = [*MEASURES, *[f"fails_{r.name}" for r in rules], "base_failed", "kept"]
+    left = df.select(*[F.col(quoted(c)) for c in df.columns if c not in results])
+    return _judged(carried(left, ["text"], without=["text"]), rules).select(*restored(left, text=F.col("text")), *results)
+
+
+def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     out = measures(df).withColumns({f"fails_{r.name}": failed(r) for r in rules})
     some = lambda names: F.greatest(*[F.col(f"fails_{n}") for n in names], F.lit(False), F.lit(False))
     return out.withColumns({"base_failed": some([r.name for r in rules if r.basic]), "kept": ~some([r.name for r in rules])})
@@ -114,13 +121,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that pass every rule.
+    """Pipeline stage: documents that pass every rule, with all their columns as they are.
 
     The row number keeps the optimizer from moving the filter below the measures, where it would
     repeat every one of them in the condition.
     """
-    marked = judged(docs).withColumn("_row", F.monotonically_increasing_id())
-    return marked.filter("kept AND _row >= 0").select(*docs.columns)
+    marked = _judged(carried(docs, ["text"], without=["text"]), RULES).withColumn("_row", F.monotonically_increasing_id())
+    return marked.filter("kept AND _row >= 0").select(*restored(docs, text=F.col("text")))
 
 
 def _sql_rule(r: Rule) -> str:
