@@ -5,19 +5,21 @@
 2. The forest has TREES orders. In each, a class is placed by the values of DEPTH hashes (its region)
    and, inside the region, by the next values (its path). A region of up to SMALL classes is compared
    in full. A larger one is followed deeper: neighbours along the path, which share the longest
-   prefixes, and the region's hub, the class nearest to the bits that most of its classes have. Sizes and a one-bit sketch of the hashes leave out what
-   cannot reach the similarity.
+   prefixes, and the region's hub, the class nearest to the bits that most of its classes have. Sizes and
+   a one-bit sketch of the hashes leave out what cannot reach the similarity.
 3. Links are confirmed on the full sets: first the closest candidate of every class and the hubs, then
    all candidates that the components found so far do not join already.
 4. The exact way for large regions: where a region still holds more than one component, every class
    outside the largest one is held against all others on the full sets, in blocks. A region of one
    component has nothing left to find.
 
-At similarity 0.8 a pair misses all of 40 trees of depth 5 about once in ten million times.
+At similarity 0.8 a pair misses all of 40 trees of depth 5 about once in ten million times, and differs in
+more than SKETCH of the 128 bits (12.8 are expected) about three times in a million.
 
 Defined results: texts without words have empty sets, are linked with nothing and are kept; a text
 with fewer words than a shingle is one shingle; a row without doc_id has a null component and is kept;
-rows that share a doc_id are one document in the groups.
+rows that share a doc_id are grouped by their own texts; texts are read whole, however long; no columns
+but doc_id and text are read, and the stage keeps all others as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktl.llm.common import ascii_lower, table, words, written
+from sparktl.llm.common import ascii_lower, carried, restored, table, words, written
 from sparktl.llm.components import components
 
 HASHES, TREES, DEPTH, DEEP = 128, 40, 5, 8
@@ -46,23 +48,24 @@ ORDERS = np.stack([_random.permutation(HASHES)[: DEPTH + DEEP] for _ in range(TR
 
 
 def with_shingles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): the distinct hashes of each text's k-word shingles."""
-    ws = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("ws"))
+    """docs (text and any others) with the distinct hashes of each text's k-word shingles in text's place."""
+    others = [c for c in docs.columns if c != "text"]
+    ws = docs.select(*others, words(ascii_lower(F.col("text"))).alias("ws"))
     n = F.size("ws")
     starts = F.slice("ws", 1, F.greatest(n - (k - 1), F.lit(0)))
     several = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(F.col("ws"), i + j) for j in range(1, k)]))
     one = F.array(F.xxhash64(F.array_join("ws", " ")))
-    return ws.select("doc_id", F.when(n >= k, F.array_distinct(several)).when(n > 0, one).otherwise(F.array().cast("array<bigint>")).alias("shingles"))
+    return ws.select(*others, F.when(n >= k, F.array_distinct(several)).when(n > 0, one).otherwise(F.array().cast("array<bigint>")).alias("shingles"))
 
 
 def signed(sets: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, signature) from (doc_id, shingles); the fingerprint does not depend on order."""
+    """(doc_id, h, n, f1, f2, signature) from (doc_id, h, shingles); the fingerprint does not depend on order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sizes = np.diff(part.column(1).offsets.to_numpy())
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64)
+                sizes = np.diff(part.column(2).offsets.to_numpy())
+                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64)
                 out = np.zeros((len(sizes), HASHES), "<u4")
                 prints = np.zeros((2, len(sizes)), np.uint64)
                 full = np.flatnonzero(sizes)
@@ -80,11 +83,11 @@ def signed(sets: DataFrame) -> DataFrame:
                         for h in range(HASHES):
                             out[full[a:b], h] = np.minimum.reduceat(x * FACTORS[h] + SHIFTS[h], starts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes.astype("<i4")), pa.array(prints[0].view("<i8")), pa.array(prints[1].view("<i8")), pa.array([r.tobytes() for r in out], pa.binary())],
-                    ["doc_id", "n", "f1", "f2", "signature"],
+                    [part.column(0), part.column(1), pa.array(sizes.astype("<i4")), pa.array(prints[0].view("<i8")), pa.array(prints[1].view("<i8")), pa.array([r.tobytes() for r in out], pa.binary())],
+                    ["doc_id", "h", "n", "f1", "f2", "signature"],
                 )
 
-    return sets.mapInArrow(run, "doc_id bigint, n int, f1 bigint, f2 bigint, signature binary")
+    return sets.mapInArrow(run, "doc_id bigint, h bigint, n int, f1 bigint, f2 bigint, signature binary")
 
 
 def mixed_key(values: np.ndarray, tree: int) -> np.ndarray:
@@ -128,7 +131,8 @@ def candidates(places: DataFrame, percent: int) -> DataFrame:
 
     close is the number of sketch bits that differ, or -1 for a pair with its region's hub. Regions are
     runs of sorted rows; a run longer than CHUNK is taken in stretches that all hold its hub, so
-    memory stays bounded.
+    memory stays bounded. A region that is dealt over several tasks has a hub in each. places is read
+    more than once: give it written to storage.
     """
     triangle = {m: np.triu_indices(m, 1) for m in range(2, SMALL + 1)}
     names = ["a", "b", "close", "key"]
@@ -187,7 +191,8 @@ def candidates(places: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from flush(held, True)
 
-    ordered = places.repartition("key").sortWithinPartitions("key", "path", "id")
+    # a region that holds many of the classes is dealt by ranges of its paths over as many tasks as it takes
+    ordered = places.repartitionByRange("key", "path", "id").sortWithinPartitions("key", "path", "id")
     return ordered.mapInArrow(run, "a bigint, b bigint, close int, key bigint")
 
 
@@ -265,19 +270,22 @@ def settled(regions: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for docs (doc_id, text).
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, h, n, least): every row's set size and the least (doc_id, h) of its group; h is the text's hash.
 
     docs is read twice: once for the signatures, once for the full sets of the classes in candidates.
     """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     prints = written(signed(with_shingles(docs, k)), "minhash-signatures")
     filled = prints.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "minhash-classes")
-    found = written(candidates(placed(classes), percent), "minhash-candidates")
+    classes = filled.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
+    found = written(candidates(written(placed(classes), "minhash-places"), percent), "minhash-candidates")
     pairs = written(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("close").alias("close")), "minhash-pairs")
     regions = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(regions.select(F.col("id").alias("doc_id"))).distinct()
-    sets = written(with_shingles(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "minhash-sets")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(regions.select("id")).distinct()
+    needed = classes.join(needed, "id").select("id", "least.*")
+    sets = written(with_shingles(docs.join(needed, ["doc_id", "h"]).select("id", "text"), k).dropDuplicates(["id"]), "minhash-sets")
 
     links = written(confirmed(first_choice(pairs), sets, percent), "minhash-links")
     groups = components(links)
@@ -285,9 +293,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     groups = components(links)
     links = written(links.unionByName(settled(regions, groups, sets, percent)), "minhash-links")
     groups = components(links)
-    named = classes.join(groups, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
+    joined = written(groups.join(classes.select("id", "least"), "id"), "minhash-groups")
+    joined = joined.drop("least").join(joined.groupBy("component").agg(F.min("least").alias("of_all")), "component").select("id", "of_all")
+    named = classes.join(joined, "id", "left").select("f1", "f2", "n", F.coalesce("of_all", "least").alias("least"))
     out = prints.join(named, ["f1", "f2", "n"], "left")
-    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", F.struct("doc_id", "h"))).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for docs (doc_id, text); docs is read twice."""
+    group = F.col("least.doc_id")
+    out = grouped(docs, k, percent)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
@@ -296,16 +312,21 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every near-duplicate group (five-word shingles) the smallest doc_id stays.
+    """Pipeline stage: of every near-duplicate group (five-word shingles) the row of the least doc_id stays.
 
-    Rows that share a doc_id are one document; one of them stays.
+    Rows that share a doc_id stay apart where their texts are not near copies. Of rows that repeat doc_id
+    and text, one stays. Texts without words are near copies of none; rows without doc_id all stay. All columns stay as they are.
     """
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    if ids["rows"] == ids["ids"]:
-        return out
-    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+    rows = written(grouped(docs.select("doc_id", "text"), 5, SIMILARITY).filter("doc_id IS NOT NULL"), "minhash-rows")
+    best = (F.col("least.doc_id") == F.col("doc_id")) & F.col("least.h").eqNullSafe(F.col("h"))
+    work = carried(docs, ["doc_id", "text"], without=["doc_id", "text"]).withColumn("h", F.xxhash64("text"))
+    out = work.join(rows.filter(~best).select("doc_id", "h").distinct(), ["doc_id", "h"], "left_anti")
+    again = rows.filter(best).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id", "h")
+    if not again.isEmpty():
+        one = F.min_by(F.struct(*out.columns), F.to_json(F.struct(*out.columns)))
+        repeated = out.join(again, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(one.alias("x")).select("x.*")
+        out = out.join(again, ["doc_id", "h"], "left_anti").unionByName(repeated)
+    return out.select(*restored(docs, doc_id=F.col("doc_id"), text=F.col("text")))
 
 
 def oracle(k: int = 2, percent: int = SIMILARITY) -> str:

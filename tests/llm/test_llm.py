@@ -229,6 +229,18 @@ def test_near_duplicates_edges(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows of one id: each text counts, whichever comes first, and texts alike to none are never lost."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(1, " ".join(base)), (1, "something else altogether here today"), (2, near), (2, near), (2, "a third text with words of its own"), (3, "something else altogether here today")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (2, 2), (3, 1)]
+    kept = sorted(map(tuple, minhash.distinct_documents(spark, df, SF).collect()))
+    assert kept == sorted({rows[0], rows[1], rows[4]})
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 101), (105, 101), (7, 7), (101, 100)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
@@ -339,11 +351,16 @@ def test_toxicity_gradients():
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    clashes = "kept n_words _ws secret_spans rank bucket source_key offset _copy target size copies step before component h n ids a.b".split()
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = odd.select(*names).unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(*names).filter("doc_id > 11 AND doc_id < 60"))
+    docs = docs.select(*names, *[F.lit(f"own {c}").alias(c) for c in clashes])
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         if name != "packing":
             assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert rows and all(r[c] == f"own {c}" for r in rows for c in clashes), name
         assert stage(spark, docs.limit(0), SF).count() == 0
     whole = corpus_pipeline.run(spark, SF).collect()
     assert packed_well(whole) > 0
