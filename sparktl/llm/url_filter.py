@@ -1,6 +1,6 @@
 """URL filters: domain rules first, then a tree of path templates, with DataFrame functions alone.
 
-The tree is a table. Every url is a host and the segments of its path, and each node is a host and a
+The tree is a table. Every url is a host and all segments of its path, and each node is a host and a
 prefix of segments:
 
 * Generalising: segments that vary by their look (numbers, long digit or hexadecimal runs, dates,
@@ -20,7 +20,7 @@ template), a join whose large partitions Spark splits (adaptive skew join).
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, no rule, and the
 verdict of the method for the host "" (allow, without labels); repeated rows are judged one by one;
-extra columns are kept by ``judged`` unless a result has their name.
+paths are taken whole, however deep; extra columns are kept by ``judged`` unless a result has their name.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktl.llm.common import LOWER, UPPER, table, written
+from sparktl.llm.common import LOWER, UPPER, carried, quoted, restored, table, written
 
-DEPTH = 3
 MANY = 8
 Z = 2.0
 WEIGHT = 4.0
@@ -82,19 +81,15 @@ def generalised(segment: Column) -> Column:
     return F.when(varies, F.concat(F.lit("*"), F.lower(kind))).otherwise(segment)
 
 
-def segmented(df: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """df (with path) and the segments s1..s<depth>, the rest of the path counting as one; "" for none."""
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    out = df.withColumn("_parts", parts)
-    one = {f"s{k}": F.coalesce(generalised(F.get("_parts", F.lit(k - 1))), F.lit("")) for k in range(1, depth)}
-    more = F.when(F.size("_parts") > depth, F.lit("**")).otherwise(F.coalesce(generalised(F.get("_parts", F.lit(depth - 1))), F.lit("")))
-    return out.withColumns({**one, f"s{depth}": more}).drop("_parts")
+def segmented(df: DataFrame) -> DataFrame:
+    """df (with path) and parts, the generalised segments of the whole path."""
+    return df.withColumn("parts", F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), generalised))
 
 
-def leaves(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Counts by (host, segments): urls, labelled, blocked. pages: with host, s1.. and rule_verdict."""
+def leaves(pages: DataFrame) -> DataFrame:
+    """Counts by (host, parts): urls, labelled, blocked. pages: with host, parts and rule_verdict."""
     labelled, blocked = F.col("rule_verdict").isNotNull(), F.col("rule_verdict") == "block"
-    return pages.groupBy("host", *[f"s{k}" for k in range(1, depth + 1)]).agg(
+    return pages.groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("urls"), F.sum(labelled.cast("long")).alias("labelled"), F.sum(F.coalesce(blocked, F.lit(False)).cast("long")).alias("blocked")
     )
 
@@ -126,40 +121,59 @@ def alike(branches: DataFrame, done: list[str]) -> DataFrame:
             return pairs.select(*done, "n", "b", F.concat(F.lit("*~"), F.regexp_replace("g", "=+$", "")).alias("wild"))
 
 
-def merged(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """tree with the segments as merged, t1..t<depth>: alike branches of one parent share a wildcard.
+def merged(tree: DataFrame) -> DataFrame:
+    """tree with each path's template: alike branches of one parent share a wildcard.
 
-    Level by level from the root. The tree has one row for each distinct path of templates and is written
-    after each level, so that plans stay small.
+    Level by level from the root, however deep the paths are. Under a prefix with fewer than MANY labelled
+    paths nothing can merge: these leave the loop with the rest of their segments as they are. The tree
+    has one row for each distinct path and is written after each level, so that plans stay small.
     """
-    out, done = written(tree, "url-tree"), ["host"]
-    for k in range(1, depth + 1):
-        branches = out.filter(F.col(f"s{k}") != "").groupBy(*done, f"s{k}").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-        wild = branches.join(alike(branches, done), [*done, "n", "b"]).select(*done, f"s{k}", "wild")
-        out = out.join(wild, [*done, f"s{k}"], "left").withColumn(f"t{k}", F.coalesce("wild", f"s{k}")).drop("wild")
-        out = written(out, "url-tree")
-        done = [*done, f"t{k}"]
+    level, done = 0, []
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """rows, with go: whether the level below their prefix may merge."""
+        below = rows.filter(F.size("parts") > level)
+        many = below.filter("labelled > 0").groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MANY).select("host", "prefix", F.lit(True).alias("go"))
+        return written(rows.join(many, ["host", "prefix"], "left").withColumn("go", F.coalesce(F.col("go") & (F.size("parts") > level), F.lit(False))), "url-tree")
+
+    rows = parted(tree.withColumn("prefix", F.lit("")))
+    while True:
+        rest = F.slice("parts", level + 1, F.greatest(F.size("parts") - level, F.lit(0)))
+        template = F.concat_ws("/", F.col("prefix"), rest)
+        done.append(rows.filter(~F.col("go")).select("host", "parts", "labelled", "blocked", template.alias("template")))
+        rows = rows.filter("go").drop("go")
+        if rows.isEmpty():
+            break
+        rows = rows.withColumn("segment", F.get("parts", F.lit(level)))
+        branches = rows.groupBy("host", "prefix", "segment").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+        wild = branches.join(alike(branches, ["host", "prefix"]), ["host", "prefix", "n", "b"]).select("host", "prefix", "segment", "wild")
+        rows = rows.join(wild, ["host", "prefix", "segment"], "left").withColumn("prefix", F.concat_ws("/", "prefix", F.coalesce("wild", "segment"))).drop("wild", "segment")
+        level += 1
+        rows = parted(rows)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def purities(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, s1..): template and its smoothed purity."""
-    template = F.concat_ws("/", F.lit(""), *[F.when(F.col(f"t{k}") != "", F.col(f"t{k}")) for k in range(1, depth + 1)])
-    tree = tree.withColumns({"template": template, "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), "first": F.col("t1")})
+def purities(tree: DataFrame) -> DataFrame:
+    """(host, parts, template, purity): the smoothed purity of each path's template."""
+    tree = tree.withColumns({"domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), "first": F.regexp_extract("template", r"(?s)^/([^/]*)", 1)})
     total = lambda keys, to: tree.groupBy(*keys).agg(F.sum("labelled").alias(f"n{to}"), F.sum("blocked").alias(f"b{to}"))
     smooth = lambda to, towards: (F.col(f"b{to}") + WEIGHT * towards) / (F.col(f"n{to}") + WEIGHT)
     out = tree.join(total(["domain", "first"], 1), ["domain", "first"]).join(total(["host", "first"], 2), ["host", "first"]).join(total(["host", "template"], 3), ["host", "template"])
-    return out.select("host", *[f"s{k}" for k in range(1, depth + 1)], "template", smooth(3, smooth(2, smooth(1, F.lit(PRIOR)))).alias("purity"))
+    return out.select("host", "parts", "template", smooth(3, smooth(2, smooth(1, F.lit(PRIOR)))).alias("purity"))
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """pages (with url) and host, path, rule, template, purity and verdict."""
-    keys = ["host", *[f"s{k}" for k in range(1, depth + 1)]]
-    ruled = segmented(by_rule(pages, rules), depth)
-    found = written(purities(merged(leaves(ruled, depth), depth), depth), "url-purities")
-    out = ruled.join(found, keys)
+    results = ["host", "path", "rule", "template", "purity", "verdict"]
+    left = pages.select(*[F.col(quoted(c)) for c in pages.columns if c not in results])
+    ruled = segmented(by_rule(carried(left, ["url"], without=["url"]), rules))
+    found = written(purities(merged(leaves(ruled))), "url-purities")
     method = F.when(F.col("purity") > REJECT, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict", *keys[1:])
+    out = ruled.join(found, ["host", "parts"]).withColumn("verdict", F.coalesce("rule_verdict", method))
+    return out.select(*restored(left, url=F.col("url")), *results)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,40 +181,22 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
-def oracle(depth: int = DEPTH) -> str:
-    seg = [f"s{k}" for k in range(1, depth + 1)]
+def oracle() -> str:
+    """Without merging, which SQL cannot express: no parent in the given tables has MANY labelled branches."""
     stem = r"'^(.*?)(\.[A-Za-z]{2,5})?$'"
-
-    def general(x: str) -> str:
-        s, e = f"regexp_extract({x}, {stem}, 1, 's')", f"regexp_extract({x}, {stem}, 2, 's')"
-        looks = " OR ".join(f"regexp_matches({s}, '{p}')" for p in (r"^\d+$", r"^[0-9A-Fa-f-]{12,}$", r"\d{3,}", r"^\d+[-_.]\d+"))
-        return f"CASE WHEN {looks} OR length({s}) > 24 THEN '*' || lower({e}) ELSE {x} END"
-
+    s, e = f"regexp_extract(x, {stem}, 1, 's')", f"regexp_extract(x, {stem}, 2, 's')"
+    looks = " OR ".join(f"regexp_matches({s}, '{p}')" for p in (r"^\d+$", r"^[0-9A-Fa-f-]{12,}$", r"\d{3,}", r"^\d+[-_.]\d+"))
+    general = f"CASE WHEN {looks} OR length({s}) > 24 THEN '*' || lower({e}) ELSE x END"
     rules = sorted(RULES, key=lambda r: -len(r.name))
     fit = [f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in rules]
     case = lambda what: "CASE " + " ".join(f"WHEN {f} THEN '{what(r)}'" for f, r in zip(fit, rules)) + " END"
-    cuts = [f"coalesce({general(f'parts[{k}]')}, '') AS s{k}" for k in range(1, depth)] + [f"CASE WHEN len(parts) > {depth} THEN '**' ELSE coalesce({general(f'parts[{depth}]')}, '') END AS s{depth}"]
-    levels, last = [], "leaves"
-    for k in range(1, depth + 1):
-        done = ", ".join(["host", *[f"t{j}" for j in range(1, k)]])
-        levels.append(f"""
-b{k} AS (SELECT {done}, s{k}, sum(labelled) AS n, sum(blocked) AS b FROM {last} GROUP BY ALL),
-p{k} AS (SELECT {done}, sum(n) AS pn, sum(b) AS pb, count(DISTINCT CASE WHEN s{k} <> '' THEN s{k} END) AS branches FROM b{k} GROUP BY ALL),
-w{k} AS (SELECT {done}, max(branches) >= {MANY} AND NOT bool_or(abs(b - n * rate) > {Z} * sqrt(n * rate * (1 - rate)) + 0.5) AS w
-  FROM (SELECT *, (pb + {PRIOR}::DOUBLE * {WEIGHT}) / (pn + {WEIGHT}::DOUBLE) AS rate FROM b{k} JOIN p{k} USING ({done})) GROUP BY {done}),
-m{k} AS (SELECT {last}.*, CASE WHEN w AND s{k} <> '' THEN '*' ELSE s{k} END AS t{k} FROM {last} JOIN w{k} USING ({done})),""")
-        last = f"m{k}"
     smooth = lambda to, towards: f"((b{to} + {WEIGHT}::DOUBLE * {towards}) / (n{to} + {WEIGHT}::DOUBLE))"
-    totals = ", ".join(f"sum(labelled) OVER (PARTITION BY {keys}) AS n{to}, sum(blocked) OVER (PARTITION BY {keys}) AS b{to}" for to, keys in ((1, "domain, t1"), (2, "host, t1"), (3, "host, template")))
-    template = "||".join(f"CASE WHEN t{k} <> '' THEN '/' || t{k} ELSE '' END" for k in range(1, depth + 1))
+    totals = ", ".join(f"count(rv) OVER (PARTITION BY {keys}) AS n{to}, count(CASE WHEN rv = 'block' THEN 1 END) OVER (PARTITION BY {keys}) AS b{to}" for to, keys in ((1, "domain, first"), (2, "host, first"), (3, "host, template")))
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
-g AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS rv, [x FOR x IN string_split(path, '/') IF x <> ''] AS parts FROM u),
-r AS (SELECT *, {", ".join(cuts)} FROM g),
-leaves AS (SELECT host, {", ".join(seg)}, count(*) AS urls, count(rv) AS labelled, count(CASE WHEN rv = 'block' THEN 1 END) AS blocked FROM r GROUP BY ALL),
-{"".join(levels).strip()}
-t AS (SELECT *, {template} AS template, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain FROM {last}),
+g AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS rv, [{general} FOR x IN string_split(path, '/') IF x <> ''] AS parts FROM u),
+t AS (SELECT *, CASE WHEN len(parts) > 0 THEN '/' || array_to_string(parts, '/') ELSE '' END AS template, coalesce(parts[1], '') AS first, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain FROM g),
 q AS (SELECT *, {totals} FROM t),
-f AS (SELECT host, {", ".join(seg)}, template, {smooth(3, smooth(2, smooth(1, PRIOR)))} AS purity FROM q)
-SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM r JOIN f USING (host, {", ".join(seg)})"""
+f AS (SELECT *, {smooth(3, smooth(2, smooth(1, PRIOR)))} AS purity FROM q)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM f"""

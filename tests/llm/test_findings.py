@@ -5,6 +5,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparktl.llm import nearest, packing, secret_scan, url_filter
 
@@ -60,6 +61,28 @@ def test_alike_branches_merge_in_groups(spark):
     assert {got[u][0] for u in urls if u.split("/")[3] == "ae"} == {"block"} and got["http://h.org/ea/5"] == ("allow", "/ea/*", pytest.approx(0.2))
 
 
+def test_deep_paths(spark):
+    """A blocked and a clean template that part at the fifth segment, below a wildcard of merged branches."""
+    names = ["".join(chr(97 + int(d)) for d in f"{k:02}") for k in range(20)]
+    urls, rules = [], []
+    for k, n in enumerate(names):
+        for last in ("ads", "news"):
+            urls += [f"http://d.org/a/b/{n}/c/{last}/{j}" for j in (100, 101, 102, 103, 200)]
+            rules.append(url_filter.Rule("block" if last == "ads" else "allow", "d.org", f"/a/b/{n}/c/{last}/1"))
+    urls.append("http://d.org/" + "/".join(["x"] * 300))
+    got = url_verdicts(spark, urls, tuple(rules))
+    one = {u: v for u, (v, _, _) in got.items() if u.endswith("/200")}
+    assert len(one) == 40 and all(v == ("block" if "/ads/" in u else "allow") for u, v in one.items())
+    assert {t for u, (_, t, _) in got.items() if u.endswith("/200")} == {"/a/b/*~/c/ads/*", "/a/b/*~/c/news/*"}
+    assert got[urls[-1]][:2] == ("allow", "/" + "/".join(["x"] * 300))
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([("http://x.net/a", "own")], "url string, prefix string").withColumns({c: F.lit("own") for c in ("parts", "segment", "s1", "first", "domain", "n", "b", "go")})
+    row = url_filter.judged(df).first()
+    assert all(row[c] == "own" for c in df.columns if c != "url") and row["verdict"] == "block"
+
+
 def test_truly_alike_branches_merge(spark):
     r = random.Random(3)
     rows = [(h, sum(r.random() < p for _ in range(n)), n) for h in range(100) for p in [r.uniform(0.2, 0.8)] for n in [r.randrange(5, 60)] for _ in range(50)]
