@@ -3,20 +3,22 @@
 A word's input has three parts: its evidence (how many standard errors its share of toxic training
 documents is from even, by hashed word), a learned vector of the hashed word (if FAMILIAR documents have it), and the mean of learned
 vectors of its hashed character trigrams. Two recurrent networks read a window of WINDOW words in both
-directions, attention pools their states, and a linear layer gives the window's logit. Every window
-(one starts at every STRIDE-th word, so windows overlap by half) of a whole text is scored; the text's
-score is that of its most toxic window, calibrated on the training documents.
+directions, attention pools their states, and a linear layer gives the window's logit. Windows of a whole
+text are scored in two passes: one starts at every STRIDE-th word, so these overlap by half, then one at
+every word beside the best of them. The text's score is that of its most toxic window, calibrated on the
+training documents.
 
 Labels are of documents, not of windows: windows of toxic documents start as those with the strongest
 evidence and are chosen anew by the network's own scores between rounds. Evidence for one half of the
 training documents comes from the other half, so that no document vouches for its own words.
 
-Bounds: at most PER_CLASS training documents of each class (those with the smallest hashes of doc_id)
-come to the driver. All documents are scored.
+Bounds: at most per_class training documents of each class (those with the smallest hashes of doc_id), none
+over longest bytes, come to the driver. All documents are scored, whole.
 
 Defined results: null text and text without words have the score of an empty window, below 0.7 by
 construction; words are lower-cased and stripped of punctuation at both ends; without labels of both
-kinds every score is 0.
+kinds every score is 0; ids with both labels are not trained on; rows that repeat an id are scored one by
+one; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +30,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktl.llm.common import table
-from sparktl.llm.language import held_out
+from sparktl.llm.language import few_of_each, held_out
 
 WINDOW, STRIDE = 16, 8
 WORDS, GRAMS = 1 << 15, 1 << 12
 VECTOR, LETTERS, HIDDEN = 4, 4, 8
-PER_CLASS = 800
+PER_CLASS, LONGEST = 800, 1 << 17
+#: Training texts that share more than this part of their words with an earlier one vouch for nothing new.
+NEAR_COPIES = 0.5
 STEPS, BATCH, RATE, DECAY = 900, 64, 0.01, 1.0
 MOST_EPOCHS = 30
 #: Training documents in which a hashed word must stand to have a vector of its own.
@@ -180,7 +184,7 @@ def evidence_of(docs: list[set[int]], labels: np.ndarray) -> np.ndarray:
     return np.where(count.sum(0) > 0, np.clip(z, -3, 6) / 3, 0).astype(np.float32)
 
 
-def originals(sets: list[set[int]], fold: int = 1 << 14, most: float = 0.5) -> np.ndarray:
+def originals(sets: list[set[int]], most: float, fold: int = 1 << 14) -> np.ndarray:
     """Numbers of the sets that are not near copies of an earlier one; copies would vouch for each other."""
     b = np.zeros((len(sets), fold), np.float32)
     for row, words in zip(b, sets):
@@ -191,8 +195,12 @@ def originals(sets: list[set[int]], fold: int = 1 << 14, most: float = 0.5) -> n
     return np.flatnonzero(~near.any(1))
 
 
-def trained(texts: list[str], labels: np.ndarray, seed: int = 5, rate: float | None = None) -> Network | None:
-    """Fit on labelled texts; None without both labels. rate: the share of toxic texts to calibrate for."""
+def trained(texts: list[str], labels: np.ndarray, seed: int = 5, rate: float | None = None, near_copies: float | None = NEAR_COPIES) -> Network | None:
+    """Fit on labelled texts; None without both labels.
+
+    rate: the share of toxic texts to calibrate for. near_copies: texts that share more than this part of
+    their hashed words with an earlier one are left out of the training; None keeps them all.
+    """
     labels = np.asarray(labels, float)
     if len(set(labels.tolist())) < 2:
         return None
@@ -203,7 +211,7 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 5, rate: float | N
     tokens = [np.array([number[w] for w in ws], np.int64) for ws in split]
     bucket, grams, starts = features(names) if names else (np.zeros(0, int),) * 3
     sets = [set(bucket[t].tolist()) for t in tokens]
-    kept = originals(sets)
+    kept = np.arange(len(sets)) if near_copies is None else originals(sets, near_copies)
     if len(set(labels[kept].tolist())) == 2:
         texts, tokens, sets, labels = [texts[i] for i in kept], [tokens[i] for i in kept], [sets[i] for i in kept], labels[kept]
     order = r.permutation(len(texts))
@@ -316,6 +324,9 @@ class Scorer:
             x[len(self.number) : end] = m
         self.number.update(zip(new, range(len(self.number), end)))
 
+    def logits(self, steps: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.net.run(self.x, steps[i : i + 8192]) for i in range(0, len(steps), 8192)])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if len(self.number) > MAX_CACHE:
             self.clear()
@@ -330,19 +341,38 @@ class Scorer:
         flat = np.array([k for t in tokens for k in t] + [-1], np.int64)
         steps = np.concatenate([np.where(w >= 0, w + b, -1) for w, b in zip(grid, base)])
         steps = flat[steps]
-        logit = np.concatenate([self.net.run(self.x, steps[i : i + 8192]) for i in range(0, len(steps), 8192)])
-        best = np.maximum.reduceat(logit, np.append(0, np.cumsum([len(w) for w in grid])[:-1]))
+        logit = self.logits(steps)
+        first = np.append(0, np.cumsum([len(w) for w in grid])[:-1])
+        best = np.maximum.reduceat(logit, first)
+        # every start beside a text's best window, up to the next ones of the coarse pass
+        counts = np.array([len(t) for t in tokens])
+        place = np.arange(len(logit)) - np.repeat(first, [len(w) for w in grid])
+        at = np.where(logit == np.repeat(best, [len(w) for w in grid]), place, len(logit))
+        centre = np.minimum.reduceat(at, first) * STRIDE
+        starts = centre[:, None] + np.append(np.arange(1 - STRIDE, 0), np.arange(1, STRIDE))
+        text, k = np.nonzero((starts >= 0) & (starts < np.maximum(counts - 1, 1)[:, None]) & (counts > 1)[:, None])
+        if len(text):
+            w = starts[text, k][:, None] + np.arange(WINDOW)
+            fine = self.logits(flat[np.where(w < counts[text][:, None], w + base[text][:, None], -1)])
+            np.maximum.at(best, text, fine)
         score = sigmoid(self.net.slope * best + self.net.shift)
         empty = np.array([not t for t in tokens])
         return np.where(empty, np.minimum(score, THRESHOLD / 2), score)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
-    """Train on docs (doc_id, text) with labels (doc_id, toxic), at most per_class documents of a class."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").dropDuplicates(["doc_id"])
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("place", place).filter(F.col("place") <= per_class).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").orderBy("doc_id").collect()
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Network | None:
+    """Train on docs (doc_id, text) with labels (doc_id, toxic), at most per_class documents of a class.
+
+    Ids with both labels are left out, as are texts that are null or over longest bytes; of several texts
+    of one id the one with the smallest hash is taken.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("doc_id", "toxic")
+    some = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest)
+    mine = known.join(some.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_hash", F.xxhash64("doc_id"))
+    # per_class rows of each of two classes are broadcast
+    chosen = few_of_each(mine, "toxic", "_hash", per_class).select("doc_id", "toxic")
+    rows = some.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").collect()
     rate = known.agg(F.avg("toxic")).first()[0]
     return trained([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), rate=rate)
 

@@ -288,13 +288,13 @@ def test_code_lengths():
     model = language.trained({"a": ["abracadabra"], "b": ["bonobo bonobo"]})
     text = b"abrabo zz"
     for tree, total in zip(model.trees, model.totals([text])[0]):
-        code = language.codes(model.symbol[np.frombuffer(text, np.uint8)], np.array([0]))
+        code = language.codes(np.frombuffer(text, np.uint8), np.array([0]))
         bits = 0.0
         for c in code.tolist():
             for k in range(language.ORDER, -1, -1):
-                gram = c & ((1 << 6 * (k + 1)) - 1)
+                gram = c & ((1 << 8 * (k + 1)) - 1)
                 seen = dict(zip(tree.grams[k][0].tolist(), tree.grams[k][1].tolist()))
-                here = {g: n for g, n in seen.items() if g >> 6 == gram >> 6}
+                here = {g: n for g, n in seen.items() if g >> 8 == gram >> 8}
                 if not here:
                     continue
                 n, q = sum(here.values()), len(here)
@@ -303,8 +303,74 @@ def test_code_lengths():
                     break
                 bits -= np.log2(q / (n + q))
             else:
-                bits += 6
-        assert total == pytest.approx(bits, rel=1e-5)
+                bits += 8
+        assert total == pytest.approx(bits, rel=1e-12)
+
+
+def test_code_lengths_of_a_full_cache(monkeypatch):
+    r, text = random.Random(1), []
+    model = language.trained({"a": ["abracadabra " * 9], "b": ["".join(r.choice("abcdé日本") for _ in range(400))]})
+    text = [("".join(r.choice("abcdefé日本語 ") for _ in range(r.randrange(1, 90)))).encode() for _ in range(60)]
+    whole = model.frozen().totals(text)
+    monkeypatch.setattr(language, "CACHE", 40)
+    monkeypatch.setattr(language, "PIECE", 200)
+    assert (model.frozen().totals(text) == whole).all()
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(k % 3 + 1, f"text number {k}", "en" if k % 10 else "de", 0, "x") for k in range(2000)]
+    df = spark.createDataFrame(rows, COLUMNS.replace("source string, n_chars long", "n_chars long, source string")).unionByName(spark.createDataFrame(rows, COLUMNS.replace("source string, n_chars long", "n_chars long, source string")))
+    some = df.select("lang", "text", F.xxhash64("doc_id", "text").alias("_hash"))
+    got = language.few_of_each(some, "lang", "_hash", 20).collect()
+    assert {x: sum(r["lang"] == x for r in got) for x in ("en", "de")} == {"en": 20, "de": 20} and len({r["text"] for r in got}) == 40
+
+
+def plain_logit(net, vectors):
+    """The network on one window, word by word and unit by unit."""
+    h, sig = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    states = [[0.0] * (2 * h) for _ in vectors]
+    for d, order in (("f", range(len(vectors))), ("b", range(len(vectors) - 1, -1, -1))):
+        a, u, bias, s = (net.p[f"{d}_in"].astype(float), net.p[f"{d}_state"].astype(float), net.p[f"{d}_bias"].astype(float), [0.0] * h)
+        for t in order:
+            pre = [sum(vectors[t][i] * a[i, j] for i in range(len(vectors[t]))) + bias[j] for j in range(3 * h)]
+            z = [sig(pre[j] + sum(s[i] * u[i, j] for i in range(h))) for j in range(h)]
+            r = [sig(pre[h + j] + sum(s[i] * u[i, h + j] for i in range(h))) for j in range(h)]
+            c = [np.tanh(pre[2 * h + j] + sum(r[i] * s[i] * u[i, 2 * h + j] for i in range(h))) for j in range(h)]
+            s = [s[j] + z[j] * (c[j] - s[j]) for j in range(h)]
+            for j in range(h):
+                states[t][(h if d == "b" else 0) + j] = s[j]
+    weight = [np.exp(sum(np.tanh(v) * q for v, q in zip(state, net.p["query"]))) for state in states]
+    pooled = [sum(w * state[j] for w, state in zip(weight, states)) / sum(weight) for j in range(2 * h)]
+    return sum(v * o for v, o in zip(pooled, net.p["out"])) + net.p["bias"][0]
+
+
+def test_toxicity_against_a_plain_network():
+    """Scores of whole texts: the best of the windows, each worked out word by word."""
+    r = random.Random(3)
+    net = toxicity.Network.new(np.random.default_rng(3).normal(0, 1, toxicity.WORDS).astype(np.float32), np.ones(toxicity.WORDS, np.float32))
+    for count in (1, 5, 16, 17, 40):
+        text = " ".join(f"w{r.randrange(50)}" for _ in range(count))
+        ws = text.split()
+        vectors = net.inputs([toxicity.plain(w) for w in ws])[:-1].astype(float).tolist()
+        logit = lambda a: plain_logit(net, vectors[a : a + toxicity.WINDOW])
+        coarse = {a: logit(a) for a in range(0, max(1, count - toxicity.STRIDE), toxicity.STRIDE)}
+        best = max(coarse, key=coarse.get)
+        near = [logit(a) for a in range(max(0, best - toxicity.STRIDE + 1), min(best + toxicity.STRIDE, max(count - 1, 1)))]
+        assert toxicity.Scorer(net).scores([text])[0] == pytest.approx(1 / (1 + np.exp(-max(near))), abs=1e-5)
+
+
+def test_conflicting_labels_and_repeated_ids(spark):
+    rows = [(k, f"{'vile' if k % 2 else 'fine'} words {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows + rows + [(5, "another text of the same id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    seen = []
+    toxicity_trained, toxicity.trained = toxicity.trained, lambda texts, y, **_: seen.append((texts, y.tolist()))
+    try:
+        toxicity.fit(docs, labels)
+        toxicity.fit(docs, labels, per_class=10)
+    finally:
+        toxicity.trained = toxicity_trained
+    assert [len(t) for t, _ in seen] == [59, 20] and sum(seen[0][1]) == 29 and sum(seen[1][1]) == 10
 
 
 def test_toxicity_learns(spark, odd):
