@@ -30,7 +30,6 @@ def window(trace: DataFrame, margin: Column, kind: str, low: float, high: float,
     pick = F.min if least else F.max
     ends = resample(data, grid, series, [name], time, carry=("_at",)).groupBy(*series, F.col("_at").alias(time)).agg(pick(name).alias("_ends"))
     lowering = Lowering(data, series, time)
-    call = f"{'min' if least else 'max'}(`{name}`)"
-    inside = lowering.add((lowering.future if ahead else lowering.past)(call, low, high))
+    inside = lowering.add((lowering.future if ahead else lowering.past)("min" if least else "max", name, low, high))
     both = lowering.df.select(*series, time, F.col(inside).alias("_in")).join(ends, [*series, time])
     return both.select(*series, time, (F.least if least else F.greatest)("_in", "_ends").alias(name))

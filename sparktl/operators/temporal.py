@@ -2,11 +2,13 @@
 
 A trace is a DataFrame with one row for each sample of a series: the columns that name the series, a
 double time ``t`` that increases strictly within it, and signals. A formula of any size needs one
-shuffle by series; bounded operators are range frames, unbounded ones running frames (the future read
-in descending time), until and since an associative scan by doubling.
+shuffle by series; bounded operators are running frames over blocks as long as their windows, unbounded
+ones running frames (the future read in descending time), until and since an associative scan by
+doubling. No frame's cost grows with the samples in a window.
 
 Discrete semantics: an empty window is +Infinity for always and historically and -Infinity for the
-others; window edges have a slack of 1e-9; next at the last sample is -Infinity.
+others; window edges have a slack of 1e-9; next at the last sample is -Infinity. NaN is passed over by
+every minimum and maximum; where there is nothing else, or gives NaN and a window is as if empty.
 
 ``robustness(..., chunk=...)`` splits long series into chunks of time that carry the rows their windows
 reach into, so one huge series is many tasks; it needs a bounded formula.
@@ -19,9 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktl.operators.formula import INF, Formula
+from sparktl.functions.margins import maximum
+from sparktl.operators.formula import INF, UNARY, Formula
 
 SLACK = 1e-9
+#: Windows narrower than this hold few samples and are read sample by sample.
+NARROW = 1e-3
+NAN = "CAST('NaN' AS DOUBLE)"
 
 
 def _d(x: float) -> str:
@@ -55,14 +61,44 @@ class Lowering:
         side = ahead == (x >= 0)
         return f"{_d(abs(x))} {'FOLLOWING' if side else 'PRECEDING'}"
 
-    def future(self, call: str, low: float, high: float) -> Column:
+    def future(self, pick: str, x: str, low: float, high: float) -> Column:
+        """pick (min or max) of column x over [t + low, t + high], null where no value is."""
         if high == INF:
-            return self.over(call, f"UNBOUNDED PRECEDING AND {self.edge(low - SLACK, False)}", True)
-        return self.over(call, f"{self.edge(low - SLACK, True)} AND {self.edge(high + SLACK, True)}")
+            return self.over(f"{pick}({self.plain(x)})", f"UNBOUNDED PRECEDING AND {self.edge(low - SLACK, False)}", True)
+        if high - low < NARROW:
+            return self.over(f"{pick}({self.plain(x)})", f"{self.edge(low - SLACK, True)} AND {self.edge(high + SLACK, True)}")
+        return self.window(pick, x, low - SLACK, high + SLACK)
 
-    def past(self, call: str, low: float, high: float) -> Column:
-        start = "UNBOUNDED PRECEDING" if high == INF else self.edge(high + SLACK, False)
-        return self.over(call, f"{start} AND {self.edge(low - SLACK, False)}")
+    def past(self, pick: str, x: str, low: float, high: float) -> Column:
+        if high == INF:
+            return self.over(f"{pick}({self.plain(x)})", f"UNBOUNDED PRECEDING AND {self.edge(low - SLACK, False)}")
+        if high - low < NARROW:
+            return self.over(f"{pick}({self.plain(x)})", f"{self.edge(high + SLACK, False)} AND {self.edge(low - SLACK, False)}")
+        return self.window(pick, x, -(high + SLACK), -(low - SLACK))
+
+    @staticmethod
+    def plain(x: str) -> str:
+        """The column without NaN, which no minimum or maximum of this library picks."""
+        return f"nullif(`{x}`, {NAN})"
+
+    def window(self, pick: str, x: str, low: float, high: float) -> Column:
+        """pick over [t + low, t + high] in time that does not depend on how many samples lie in it.
+
+        Time is cut into blocks as long as the window, which therefore begins in one block and ends in the
+        next: it is the end of the one from the first sample in the window on, and the start of the other up
+        to the last sample in it. Both are running frames, and so are the reads of the two samples.
+        """
+        width = high - low
+        block = self.add(F.floor(F.col(self.time) / width))
+        part = f"PARTITION BY {_quoted([*self.series, block])} ORDER BY `{self.time}`"
+        rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        head = self.add(F.expr(f"named_struct('b', `{block}`, 'v', {pick}({self.plain(x)}) OVER ({part} {rows}))"))
+        tail = self.add(F.expr(f"named_struct('b', `{block}`, 'v', {pick}({self.plain(x)}) OVER ({part} DESC {rows}))"))
+        last = F.col(self.add(self.over(f"last_value(`{head}`)", f"UNBOUNDED PRECEDING AND {self.edge(high, True)}")))
+        first = F.col(self.add(self.over(f"last_value(`{tail}`)", f"UNBOUNDED PRECEDING AND {self.edge(-low, True)}", True)))
+        begins = F.floor((F.col(self.time) + low) / width)
+        both = F.when(first["b"] == begins, first["v"]), F.when(last["b"] > begins, last["v"])
+        return F.least(*both) if pick == "min" else F.greatest(*both)
 
     def longest(self) -> int:
         if self.rows is None:
@@ -87,7 +123,7 @@ class Lowering:
         scanned = self.scan(phi, psi, forward)
         if f.low == 0 and f.high == INF:
             return F.col(scanned)
-        best = self.add((self.future if forward else self.past)(f"max(`{psi}`)", f.low, f.high))
+        best = self.add((self.future if forward else self.past)("max", psi, f.low, f.high))
         if low < 0:
             way, first = F.lit(INF), F.col(scanned)
         else:
@@ -108,17 +144,17 @@ class Lowering:
         elif f.kind == "and":
             column = F.least(*x)
         elif f.kind == "or":
-            column = F.greatest(*x)
+            column = maximum(*x)
         elif f.kind == "implies":
-            column = F.greatest(-F.col(x[0]), F.col(x[1]))
+            column = maximum(-F.col(x[0]), x[1])
         elif f.kind == "always":
-            column = F.coalesce(self.future(f"min(`{x[0]}`)", f.low, f.high), F.lit(INF))
+            column = F.coalesce(self.future("min", x[0], f.low, f.high), F.lit(INF))
         elif f.kind == "eventually":
-            column = F.coalesce(self.future(f"max(`{x[0]}`)", f.low, f.high), F.lit(-INF))
+            column = F.coalesce(self.future("max", x[0], f.low, f.high), F.lit(-INF))
         elif f.kind == "historically":
-            column = F.coalesce(self.past(f"min(`{x[0]}`)", f.low, f.high), F.lit(INF))
+            column = F.coalesce(self.past("min", x[0], f.low, f.high), F.lit(INF))
         elif f.kind == "once":
-            column = F.coalesce(self.past(f"max(`{x[0]}`)", f.low, f.high), F.lit(-INF))
+            column = F.coalesce(self.past("max", x[0], f.low, f.high), F.lit(-INF))
         elif f.kind == "next":
             column = F.lead(x[0], 1, -INF).over(Window.partitionBy(*self.series).orderBy(self.time))
         elif f.kind in ("until", "since"):
@@ -130,12 +166,19 @@ class Lowering:
         return name
 
 
+def in_blocks(f: Formula) -> bool:
+    """Whether some window of the formula is read in blocks of time."""
+    return (f.kind in (*UNARY, "until", "since") and NARROW <= f.high - f.low < INF) or any(map(in_blocks, f.parts))
+
+
 def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time: str = "t", rows: int | None = None) -> DataFrame:
     """trace with one robustness column for each formula; subformulas that are one object are computed once.
 
     rows: the most samples of a series, for until and since; counted from the trace if not given.
     """
-    lowering = Lowering(trace, series, time, rows)
+    # dealt by series once: the blocks of a series are then already together
+    dealt = trace.repartition(*map(F.col, series)) if series and any(map(in_blocks, formulas.values())) else trace
+    lowering = Lowering(dealt, series, time, rows)
     names = {name: lowering.lower(f) for name, f in formulas.items()}
     return lowering.df.select(*trace.columns, *[F.col(c).alias(n) for n, c in names.items()])
 

@@ -57,8 +57,27 @@ def check(trace: DataFrame, series: list[str], signals: list[str], time: str = "
     return trace
 
 
-def read_trace(spark: SparkSession, path: str, series: list[str] | None = None, kind: str | None = None, **options) -> DataFrame:
-    """A trace from csv, txt, tsv, json (array), ndjson, parquet, arrow or sqlite files, by extension unless given."""
+def numbers(df: DataFrame, series: list[str], time: str) -> DataFrame:
+    """df, after one pass has found no cell of a text column, but for series and time, that is not a number."""
+    texts = [f.name for f in df.schema if f.name not in (*series, time) and isinstance(f.dataType, T.StringType)]
+    if texts:
+        wrong = lambda c: F.min(F.when(F.col(c).try_cast("double").isNull(), F.struct(F.col(time).cast("string"), F.coalesce(c, F.lit("")))))
+        found = df.agg(*[wrong(c).alias(c) for c in texts]).first()
+        for c in texts:
+            if found[c]:
+                raise TraceError(f"column {c}: {found[c][1]!r} at {time} {found[c][0]} is not a number")
+    return df.withColumns({c: F.col(c).cast("double") for c in texts}) if texts else df
+
+
+def read_trace(
+    spark: SparkSession, path: str, series: list[str] | None = None, kind: str | None = None, time: str | None = None, rename: dict[str, str] | None = None, strict: bool = True, **options
+) -> DataFrame:
+    """A trace from csv, txt, tsv, json (array), ndjson, parquet, arrow or sqlite files, by extension unless given.
+
+    strict: text cells that are no numbers, nulls, values that are not finite and repeated times raise
+    TraceError; otherwise columns of text are left out and the rest is read as it is. time and rename
+    (signal name -> column) are those of to_trace.
+    """
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("csv", "txt", "tsv"):
         df = spark.read.csv(path, header=True, inferSchema=True, mode="FAILFAST", sep="\t" if kind == "tsv" else ",")
@@ -74,7 +93,12 @@ def read_trace(spark: SparkSession, path: str, series: list[str] | None = None,
         df = spark.read.format(source.name()).options(**options).load(path)
     else:
         raise TraceError(f"unknown kind of file: {kind}")
-    return to_trace(df, series or [])
+    series = series or []
+    time = time or time_column([c for c in df.columns if c not in series])
+    if not strict:
+        return to_trace(df, series, time, rename)
+    out = to_trace(numbers(df, series, time), series, time, rename)
+    return check(out, series, [c for c in out.columns if c not in (*series, "t")])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

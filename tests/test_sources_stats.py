@@ -103,3 +103,20 @@ def test_bayesian_and_chance(spark):
     tail = sum(math.comb(11, j) * 0.3**j * 0.7 ** (11 - j) for j in range(5))
     assert 1 - checks.beta_cdf(0.3, 5, 7) == pytest.approx(tail, rel=1e-9)
     assert checks.chance(runs, ["s"], 0.85).first()["holds"] and not checks.chance(runs, ["s"], 0.85, tightening=0.1).first()["holds"]
+
+
+@pytest.mark.parametrize(("cells", "says"), [(["1", "oops", "3"], "'oops' at time 1"), (["1", "", "3"], "null"), (["1", "2", "inf"], "finite")])
+def test_bad_cells_are_refused(spark, tmp_path, cells, says):
+    path = tmp_path / "bad.csv"
+    path.write_text("time,x\n" + "".join(f"{k},{c}\n" for k, c in enumerate(cells)))
+    with pytest.raises(traces.TraceError, match=says):
+        traces.read_trace(spark, str(path))
+    assert traces.read_trace(spark, str(path), strict=False).count() == 3
+
+
+def test_repeated_times_are_refused(spark, tmp_path):
+    path = tmp_path / "again.csv"
+    path.write_text("time,x,y\n0,1,2\n0,3,4\n")
+    with pytest.raises(traces.TraceError, match="twice"):
+        traces.read_trace(spark, str(path))
+    assert traces.read_trace(spark, str(path), rename={"speed": "y"}, strict=False).columns == ["t", "x", "speed"]

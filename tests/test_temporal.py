@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparktl.functions import margins as m
 from sparktl.operators import temporal
@@ -163,3 +164,37 @@ def test_mining(spark):
 
     data = trace(spark, range(6), x=[1, 4, 2, 7.5, 3, 9])
     assert tightest(data, lambda c: atom(m.lt("x", c)).always(0, 4), 100.0, 0.0, ["s"]) == pytest.approx(7.5, abs=1e-3)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_nan_is_passed_over(spark, wide):
+    nan, inf = float("nan"), float("inf")
+    step = 1.0 if wide else 1e-5
+    rows = [(0, k * step, v, w) for k, (v, w) in enumerate([(nan, 2.0), (1.0, nan), (nan, nan), (-3.0, 4.0)])]
+    data = spark.createDataFrame(rows, "s int, t double, x double, y double")
+    x, y = atom(F.col("x")), atom(F.col("y"))
+    out = temporal.bank(data, {"e": x.eventually(0, step), "a": x.always(0, step), "o": x.once(0, step), "u": x.eventually(), "or_": x | y, "imp": ~x >> y, "and_": x & y}, ["s"]).orderBy("t").collect()
+    got = lambda c: [r[c] for r in out]
+    assert got("e") == [1.0, 1.0, -3.0, -3.0] and got("a") == [1.0, 1.0, -3.0, -3.0] and got("u") == [1.0, 1.0, -3.0, -3.0]
+    assert got("o") == [-inf, 1.0, 1.0, -3.0]
+    assert got("or_")[:2] == [2.0, 1.0] and got("or_")[3] == 4.0 and got("or_")[2] != got("or_")[2]
+    assert got("imp")[:2] == [2.0, 1.0] and got("and_")[:2] == [2.0, 1.0]
+
+
+def test_wide_windows_against_brute_force(spark):
+    """Irregular times, gaps longer than the windows, and windows of many samples."""
+    r, times, t = random.Random(8), [], 0.0
+    for _ in range(400):
+        t += r.choice([0.001, 0.5, 1.0, 1.0, 1.0, r.random(), 40.0 if r.random() < 0.1 else 1.0])
+        times.append(t)
+    xs = [r.uniform(-9, 9) for _ in times]
+    data = spark.createDataFrame([(0, a, b) for a, b in zip(times, xs)], "s int, t double, x double")
+    x = atom(F.col("x"))
+    spans = [(0, 1), (0, 30), (2.5, 17), (0.25, 0.5), (50, 90)]
+    out = temporal.bank(data, {f"{k}{i}": getattr(x, k)(*span) for i, span in enumerate(spans) for k in ("always", "eventually", "historically", "once")}, ["s"]).orderBy("t").collect()
+    for i, (a, b) in enumerate(spans):
+        for row, now in zip(out, times):
+            later = [v for u, v in zip(times, xs) if now + (a - 1e-9) <= u <= now + (b + 1e-9)]
+            earlier = [v for u, v in zip(times, xs) if now - (b + 1e-9) <= u <= now - (a - 1e-9)]
+            want = (min(later, default=float("inf")), max(later, default=float("-inf")), min(earlier, default=float("inf")), max(earlier, default=float("-inf")))
+            assert tuple(row[f"{k}{i}"] for k in ("always", "eventually", "historically", "once")) == want
