@@ -7,7 +7,7 @@ unlike in discrete time, a window past the last sample has the last value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktl.operators.formula import INF
@@ -15,17 +15,41 @@ from sparktl.operators.resample import resample
 from sparktl.operators.temporal import Lowering
 
 
-def window(trace: DataFrame, margin: Column, kind: str, low: float, high: float, series: list[str], time: str = "t", name: str = "rho") -> DataFrame:
+def combine(trace: DataFrame, kind: str, left: Column, right: Column, series: list[str], time: str = "t", name: str = "rho") -> DataFrame:
+    """(series, t, rho, sample): and, or, implies of two margins as a piecewise-linear signal.
+
+    left and right must be linear in the signals. Where they cross between two samples the signal bends:
+    such times are rows of their own, with sample false. x == c is "and" of x - c and c - x, x != c "or".
+    """
+    if kind not in ("and", "or", "implies"):
+        raise ValueError(f"no such junction: {kind}")
+    pick = F.least if kind == "and" else F.greatest
+    order = Window.partitionBy(*series).orderBy(time)
+    a, b, t = F.col("_a"), F.col("_b"), F.col(time)
+    both = trace.select(*series, time, (-left if kind == "implies" else left).cast("double").alias("_a"), right.cast("double").alias("_b"))
+    both = both.withColumns({f"_next{c}": F.lead(c).over(order) for c in ("_a", "_b", time)})
+    here, there = a - b, F.col("_next_a") - F.col("_next_b")
+    # signs, as a product of small differences may vanish
+    crossed = F.signum(here) * F.signum(there) < 0
+    part = F.when(crossed, here / (here - there))
+    point = lambda at, value, sample: F.struct(at.alias(time), value.alias(name), F.lit(sample).alias("sample"))
+    bend = point(t + (F.col(f"_next{time}") - t) * part, a + (F.col("_next_a") - a) * part, False)
+    points = F.when(crossed, F.array(point(t, pick(a, b), True), bend)).otherwise(F.array(point(t, pick(a, b), True)))
+    return both.select(*series, F.inline(points))
+
+
+def window(trace: DataFrame, margin: Column, kind: str, low: float, high: float, series: list[str], time: str = "t", name: str = "rho", samples: str | None = None) -> DataFrame:
     """(series, t, rho): always, eventually, historically or once of the margin on [low, high], at each sample.
 
-    margin must be linear in the signals. high must be finite.
+    margin must be linear in the signals, or the signal that combine() gives. high must be finite.
+    samples: a boolean column of the trace; only rows where it is true get a value.
     """
     if kind not in ("always", "eventually", "historically", "once") or not 0 <= low <= high < INF:
         raise ValueError("not a bounded window")
     ahead, least = kind in ("always", "eventually"), kind in ("always", "historically")
-    data = trace.select(*series, time, margin.cast("double").alias(name))
+    data = trace.select(*series, time, margin.cast("double").alias(name), (F.col(samples) if samples else F.lit(True)).alias("_sample"))
     side = 1.0 if ahead else -1.0
-    edges = data.select(*series, F.col(time).alias("_at"), F.explode(F.array(F.lit(side * low), F.lit(side * high))).alias("_by"))
+    edges = data.filter("_sample").select(*series, F.col(time).alias("_at"), F.explode(F.array(F.lit(side * low), F.lit(side * high))).alias("_by"))
     grid = edges.select(*series, "_at", (F.col("_at") + F.col("_by")).alias(time))
     pick = F.min if least else F.max
     ends = resample(data, grid, series, [name], time, carry=("_at",)).groupBy(*series, F.col("_at").alias(time)).agg(pick(name).alias("_ends"))

@@ -11,7 +11,9 @@ others; window edges have a slack of 1e-9; next at the last sample is -Infinity.
 every minimum and maximum; where there is nothing else, or gives NaN and a window is as if empty.
 
 ``robustness(..., chunk=...)`` splits long series into chunks of time that carry the rows their windows
-reach into, so one huge series is many tasks; it needs a bounded formula.
+reach into, so one huge series is many tasks; it needs a bounded formula. ``in_chunks`` also takes one unbounded
+operator that looks from 0 on, at the top of bounded ones: its chunks are settled by a second pass over one
+row a chunk.
 """
 
 from __future__ import annotations
@@ -183,11 +185,71 @@ def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time
     return lowering.df.select(*trace.columns, *[F.col(c).alias(n) for n, c in names.items()])
 
 
+def bounded(f: Formula) -> bool:
+    return f.horizon() + f.memory() < INF
+
+
+def splits(f: Formula) -> bool:
+    """Whether a series can be split into chunks of time for the formula."""
+    return bounded(f) or (f.kind in (*UNARY, "until", "since") and (f.low, f.high) == (0, INF) and all(map(bounded, f.parts)))
+
+
+def most(df: DataFrame, keys: list) -> int:
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, time: str = "t", name: str = "rho") -> DataFrame:
+    """robustness() by chunks of any formula that splits(), an unbounded operator at the top included.
+
+    Below such an operator each chunk is evaluated by itself and summed up in one row; a pass over these rows finds what the
+    chunks beyond add, and a join gives it to the samples. Only the summaries of a series meet in one task.
+    """
+    if bounded(f):
+        return robustness(trace, f, series, time, name, chunk)
+    if not splits(f):
+        raise ValueError("chunks need bounded parts below at most one unbounded operator that looks from 0 on")
+    t, keys = F.col(time), [*series, "_chunk"]
+    own = F.floor(t / chunk)
+    ahead, binary = f.kind in ("always", "eventually", "until"), f.kind in ("until", "since")
+    parts = [f"_part{k}" for k in range(len(f.parts))]
+    values = trace
+    for part, column in zip(f.parts, parts):
+        values = robustness(values, part, series, time, column, chunk if part.has_temporal() else None)
+    beyond = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*series).orderBy("_chunk")
+    if binary:
+        rows = most(trace, [*series, own.alias("_chunk")])
+        inner = Lowering(values.withColumn("_chunk", own), keys, time, rows)
+        reached, way = inner.scan(parts[0], parts[1], ahead), inner.add(inner.over(f"min(`{parts[0]}`)", "UNBOUNDED PRECEDING AND CURRENT ROW", ahead))
+        end = F.min_by if ahead else F.max_by
+        sums = inner.df.groupBy(*keys).agg(end(reached, time).alias("_p"), F.min(parts[0]).alias("_q"))
+        outer = Lowering(sums, series, "_chunk", most(trace.select(*series, own.alias("_chunk")).distinct(), series))
+        total = outer.scan("_q", "_p", ahead)
+        carried = outer.df.withColumn("_carry", (F.lead if ahead else F.lag)(total).over(order))
+        value = F.when(F.col("_carry").isNull(), F.col(reached)).otherwise(F.greatest(F.col(reached), F.least(way, "_carry")))
+    else:
+        least = f.kind in ("always", "historically")
+        pick, both, empty = ("min", F.least, INF) if least else ("max", F.greatest, -INF)
+        near = F.explode(F.sequence(F.floor((t - 2 * SLACK) / chunk), F.floor((t + 2 * SLACK) / chunk)))
+        inner = Lowering(values.withColumn("_chunk", near), keys, time)
+        reached = inner.add((inner.future if ahead else inner.past)(pick, parts[0], 0.0, INF))
+        inner.df = inner.df.filter(own == F.col("_chunk"))
+        sums = values.withColumn("_chunk", own).groupBy(*keys).agg(F.expr(f"{pick}({Lowering.plain(parts[0])})").alias("_sum"))
+        carried = sums.withColumn("_carry", F.expr(f"{pick}(_sum)").over(order.rowsBetween(*beyond)))
+        value = F.coalesce(both(F.col(reached), F.col("_carry")), F.lit(empty))
+    sides = carried.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_carry")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return inner.df.join(sides, same, "left").select(*trace.columns, value.alias(name))
+
+
 def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho", chunk: float | None = None, rows: int | None = None) -> DataFrame:
     """trace with the formula's robustness at every sample.
 
     chunk: length in time of the chunks to split each series into; every chunk also gets the rows that
-    its windows reach, and gives only its own. The formula's horizon and memory must be finite.
+    its windows reach, and gives only its own. The formula's horizon and memory must be finite;
+    in_chunks() takes more.
     """
     if chunk is None:
         return bank(trace, {name: formula}, series, time, rows)

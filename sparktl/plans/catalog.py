@@ -50,9 +50,10 @@ def register(name: str, formula: Callable[[], Formula], sql: str, chunk: float |
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = formula()
-        # one user with a third of all events is several tasks where the formula looks a bounded way
-        bounded = f.has_temporal() and f.horizon() + f.memory() < INF
-        out = temporal.robustness(events(spark, sf_dir), f, USER, chunk=chunk or (CHUNK if bounded else None))
+        # one user with a third of all events is several tasks where the formula can be split
+        split = f.has_temporal() and temporal.splits(f)
+        ev = events(spark, sf_dir)
+        out = temporal.in_chunks(ev, f, USER, chunk or CHUNK) if split else temporal.robustness(ev, f, USER)
         return out.select("user_id", "event_id", "t", finite("rho").alias("rho"))
 
     QUERIES[name] = query
@@ -69,6 +70,10 @@ plain("pred_eq", lambda: atom(m.eq("value", 250)), "-abs(value - 250)")
 plain("pred_ne", lambda: atom(m.ne("value", 250)), "abs(value - 250)")
 plain("pred_arith", lambda: atom(m.gt(m.absolute(F.col("value") - 200) + F.col("value") % 7.0 * 2.0 - m.minimum(F.col("value"), 50), 10)), "abs(value - 200) + (value % 7.0::DOUBLE) * 2 - least(value, 50) - 10")
 plain("pred_rounding", lambda: atom(m.gt(m.floor("value") + m.ceil(F.col("value") / 3.0) + m.sqrt("value"), 90)), "floor(value) + ceil(value / 3.0::DOUBLE) + sqrt(value) - 90")
+plain("pred_power", lambda: atom(m.gt(m.power(F.col("value") / 100.0, 2), 4)), "pow(value / 100.0::DOUBLE, 2) - 4")
+# rounded inside: library functions of two engines may differ in the last place
+plain("pred_logs", lambda: atom(m.gt(F.round(m.ln("value") + m.log("value") * m.exp(F.col("value") / -500.0) + 1e-9, 6), 5)), "round(ln(value) + log10(value) * exp(value / -500.0::DOUBLE) + 1e-9, 6) - 5")
+plain("pred_waves", lambda: atom(m.lt(F.round(m.sin("value") + m.cos("value") + m.tan(F.col("value") / 400.0) + 1e-9, 6), 1)), "1 - round(sin(value) + cos(value) + tan(value / 400.0::DOUBLE) + 1e-9, 6)")
 plain("pred_maximum", lambda: atom(m.le(m.maximum("value", 30), 320)), "320 - greatest(value, 30)")
 plain("bool_not", lambda: ~high_value(), "-(value - 100)")
 plain("bool_and", lambda: high_value() & low_value(), "least(value - 100, 400 - value)")
@@ -243,6 +248,11 @@ def buffer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.latest(events(spark, sf_dir), USER, 5).select("user_id", "event_id", "t", "value")
 
 
+@query("buffer_between", f"WITH {EV} SELECT user_id, event_id, t, value FROM ev WHERE t >= {5 * DAY - 1e-9!r} AND t <= {9 * DAY + 1e-9!r}")
+def buffer_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.between(events(spark, sf_dir), 5 * DAY, 9 * DAY).select("user_id", "event_id", "t", "value")
+
+
 MEMBERS, SPREAD = 20, 80.0
 RUNS = f"""{EV}, n AS (SELECT ev.*, k AS member FROM ev, range({MEMBERS}) r(k) WHERE t <= (SELECT min(t) FROM ev e WHERE e.user_id = ev.user_id) + {DAY + 1e-9!r}),
 u AS (SELECT *, (('0x' || substr(md5('42|' || user_id || '|' || member || '|' || round(t * 1e6)::BIGINT || '|value|0'), 1, 13))::BIGINT::DOUBLE + 0.5) / pow(2, 52) AS u FROM n),
@@ -321,25 +331,38 @@ def drawdown_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.robustness(d, f, ["l_suppkey"]).select("l_suppkey", "t", finite("rho").alias("rho"))
 
 
-def dense(kind: str, call: str, pick: str, low: float, high: float, over: str) -> None:
+# the least of 400 - value and value - 100, which meet at 250, with a breakpoint where they do
+BAND = """SELECT user_id, t, least(400 - value, value - 100) AS x, true AS s FROM ev UNION ALL
+  SELECT user_id, t + (t1 - t) * f, (400 - value) + ((400 - v1) - (400 - value)) * f, false FROM (
+    SELECT *, d0 / (d0 - d1) AS f FROM (SELECT *, (400 - value) - (value - 100) AS d0, (400 - v1) - (v1 - 100) AS d1 FROM (
+      SELECT *, lead(t) OVER w AS t1, lead(value) OVER w AS v1 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t))) WHERE sign(d0) * sign(d1) < 0)"""
+
+
+def dense(name: str, kind: str, call: str, pick: str, low: float, high: float, over: str, band: bool = False) -> None:
     from sparktl.operators import dense as operators
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operators.window(events(spark, sf_dir), m.lt("value", 400), kind, low, high, USER)
+        ev = events(spark, sf_dir)
+        if band:
+            signal = operators.combine(ev, "and", m.lt("value", 400), m.gt("value", 100), USER)
+            return operators.window(signal, F.col("rho"), kind, low, high, USER, samples="sample")
+        return operators.window(ev, m.lt("value", 400), kind, low, high, USER)
 
     side = 1 if kind in ("always", "eventually") else -1
     edge = lambda n, by: f"""
 e{n} AS (SELECT b.user_id, b.at, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS x FROM (
   SELECT a.*, n.t AS t1, n.x AS v1 FROM (SELECT q.user_id, q.at, q.t, p.t AS t0, p.x AS v0 FROM (SELECT user_id, t AS at, t + ({side * by!r}::DOUBLE) AS t FROM d) q ASOF LEFT JOIN d p ON q.user_id = p.user_id AND q.t >= p.t) a
   ASOF LEFT JOIN d n ON a.user_id = n.user_id AND a.t <= n.t) b)"""
-    QUERIES[f"dense_{kind}"] = run
-    ORACLES[f"dense_{kind}"] = f"""WITH {EV}, d AS (SELECT user_id, t, 400 - value AS x FROM ev), {edge(0, low)}, {edge(1, high)},
-i AS (SELECT user_id, t, {call}(x) {over} AS y FROM d)
-SELECT i.user_id, i.t, {pick}(coalesce(y, e0.x), e0.x, e1.x) AS rho FROM i JOIN e0 ON e0.user_id = i.user_id AND e0.at = i.t JOIN e1 ON e1.user_id = i.user_id AND e1.at = i.t"""
+    QUERIES[f"dense_{name}"] = run
+    ORACLES[f"dense_{name}"] = f"""WITH {EV}, d AS ({BAND if band else "SELECT user_id, t, 400 - value AS x, true AS s FROM ev"}), {edge(0, low)}, {edge(1, high)},
+i AS (SELECT user_id, t, s, {call}(x) {over} AS y FROM d)
+SELECT i.user_id, i.t, {pick}(coalesce(y, e0.x), e0.x, e1.x) AS rho FROM i JOIN e0 ON e0.user_id = i.user_id AND e0.at = i.t JOIN e1 ON e1.user_id = i.user_id AND e1.at = i.t WHERE i.s"""
 
 
-dense("always", "min", "least", HOUR, DAY, ahead(HOUR, DAY))
-dense("once", "max", "greatest", 0.0, DAY, behind(0, DAY))
+dense("always", "always", "min", "least", HOUR, DAY, ahead(HOUR, DAY))
+dense("once", "once", "max", "greatest", 0.0, DAY, behind(0, DAY))
+dense("eventually_band", "eventually", "max", "greatest", HOUR, DAY, ahead(HOUR, DAY), band=True)
+dense("historically_band", "historically", "min", "least", 0.0, DAY, behind(0, DAY), band=True)
 
 
 @query("mine_threshold", f"""

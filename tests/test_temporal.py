@@ -198,3 +198,38 @@ def test_wide_windows_against_brute_force(spark):
             earlier = [v for u, v in zip(times, xs) if now - (b + 1e-9) <= u <= now - (a - 1e-9)]
             want = (min(later, default=float("inf")), max(later, default=float("-inf")), min(earlier, default=float("inf")), max(earlier, default=float("-inf")))
             assert tuple(row[f"{k}{i}"] for k in ("always", "eventually", "historically", "once")) == want
+
+
+@pytest.mark.parametrize("kind", ["always", "eventually", "historically", "once", "until", "since"])
+def test_unbounded_in_chunks(spark, kind):
+    """Chunks settled by their summaries give what the whole series gives, for null series and NaN as well."""
+    r = random.Random(11)
+    rows = [(s, k + r.uniform(0, 0.9), r.uniform(-5, 5) if r.random() < 0.95 else math.nan, r.uniform(-5, 5)) for s in (1, 2, None) for k in range(70) if r.random() < 0.8 and not (s == 2 and 20 < k < 45)]
+    df = spark.createDataFrame(rows, "s int, t double, x double, y double")
+    inner = X().eventually(0, 3)
+    f = getattr(inner, kind)(Y()) if kind in ("until", "since") else getattr(inner, kind)()
+    got = {(v["s"], v["t"]): v["rho"] for v in temporal.in_chunks(df, f, ["s"], 7.0).collect()}
+    want = {(v["s"], v["t"]): v["rho"] for v in temporal.robustness(df, f, ["s"]).collect()}
+    assert len(got) == len(rows) and got == want
+
+
+def test_only_the_top_splits(spark):
+    assert temporal.splits(X().always()) and not temporal.splits(X().always(1)) and not temporal.splits(X().always() & Y())
+    with pytest.raises(ValueError):
+        temporal.in_chunks(trace(spark, [0, 1], x=[1, 2]), X().always(1), ["s"], 5.0)
+
+
+def test_dense_junctions(spark):
+    """A junction is evaluated between samples as well: held to a fine grid of times."""
+    from sparktl.operators import dense
+
+    r = random.Random(3)
+    times = [k + r.uniform(0, 0.5) for k in range(12)]
+    x, y = [r.uniform(-3, 3) for _ in times], [r.uniform(-3, 3) for _ in times]
+    df = trace(spark, times, x=x, y=y)
+    line = lambda v, u: v[0] if u <= times[0] else v[-1] if u >= times[-1] else next(v[k] + (v[k + 1] - v[k]) * (u - times[k]) / (times[k + 1] - times[k]) for k in range(len(times) - 1) if times[k] <= u <= times[k + 1])
+    for kind, pick in (("and", min), ("or", max), ("implies", lambda a, b: max(-a, b))):
+        signal = dense.combine(df, kind, F.col("x"), F.col("y"), ["s"])
+        got = values(dense.window(signal, F.col("rho"), "eventually", 0.5, 3.0, ["s"], samples="sample"))
+        want = [max(pick(line(x, t + 0.5 + 2.5 * q / 2000), line(y, t + 0.5 + 2.5 * q / 2000)) for q in range(2001)) for t in times]
+        assert len(got) == len(times) and all(w - 1e-9 <= g <= w + 0.02 for g, w in zip(got, want))
