@@ -194,10 +194,6 @@ def splits(f: Formula) -> bool:
     return bounded(f) or (f.kind in (*UNARY, "until", "since") and (f.low, f.high) == (0, INF) and all(map(bounded, f.parts)))
 
 
-def most(df: DataFrame, keys: list) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, time: str = "t", name: str = "rho") -> DataFrame:
     """robustness() by chunks of any formula that splits(), an unbounded operator at the top included.
 
@@ -218,12 +214,16 @@ def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, tim
     beyond = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
     order = Window.partitionBy(*series).orderBy("_chunk")
     if binary:
-        rows = most(trace, [*series, own.alias("_chunk")])
-        inner = Lowering(values.withColumn("_chunk", own), keys, time, rows)
+        counts = trace.groupBy(*series, own.alias("_chunk")).count().groupBy(*series).agg(F.max("count").alias("rows"), F.count(F.lit(1)).alias("chunks"))
+        rows, chunks = (x or 0 for x in counts.agg(F.max("rows"), F.max("chunks")).first())
+        values = values.withColumn("_chunk", own)
+        inner = Lowering(values, keys, time, rows)
         reached, way = inner.scan(parts[0], parts[1], ahead), inner.add(inner.over(f"min(`{parts[0]}`)", "UNBOUNDED PRECEDING AND CURRENT ROW", ahead))
-        end = F.min_by if ahead else F.max_by
-        sums = inner.df.groupBy(*keys).agg(end(reached, time).alias("_p"), F.min(parts[0]).alias("_q"))
-        outer = Lowering(sums, series, "_chunk", most(trace.select(*series, own.alias("_chunk")).distinct(), series))
+        # a chunk seen from its edge needs no scan: the best psi that phi reaches from there
+        inward = Window.partitionBy(*keys).orderBy(F.col(time) if ahead else F.col(time).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        seen = values.withColumn("_way", F.min(parts[0]).over(inward))
+        sums = seen.groupBy(*keys).agg(F.max(F.least(parts[1], "_way")).alias("_p"), F.min(parts[0]).alias("_q"))
+        outer = Lowering(sums, series, "_chunk", chunks)
         total = outer.scan("_q", "_p", ahead)
         carried = outer.df.withColumn("_carry", (F.lead if ahead else F.lag)(total).over(order))
         value = F.when(F.col("_carry").isNull(), F.col(reached)).otherwise(F.greatest(F.col(reached), F.least(way, "_carry")))
