@@ -146,3 +146,19 @@ def bayesian(runs: DataFrame, series: list[str], threshold: float, factor: float
 def chance(runs: DataFrame, series: list[str], probability: float, tightening: float = 0.0, level: float = 0.95) -> DataFrame:
     """check(), with holds where the interval's lower end reaches the probability and its tightening."""
     return check(runs, series, probability, level).withColumn("holds", F.col("low") >= probability + tightening)
+
+
+def conservative(runs: DataFrame, series: list[str], threshold: float, level: float = 0.95) -> DataFrame:
+    """check() with the exact (Clopper-Pearson) interval, and holds where its lower end reaches the threshold.
+
+    The interval is computed once for each distinct pair of counts, which is joined back.
+    """
+    counts = runs.groupBy(*series).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("rho") >= 0).alias("satisfied"))
+
+    @pandas_udf("low double, high double")
+    def exact(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([clopper_pearson(int(a), int(b), level) for a, b in zip(k, n)], columns=["low", "high"])
+
+    bounds = counts.select("satisfied", "samples").distinct().withColumn("_x", exact("satisfied", "samples")).select("satisfied", "samples", "_x.*")
+    out = counts.join(bounds, ["satisfied", "samples"])
+    return out.select(*series, "samples", "satisfied", (F.col("satisfied") / F.col("samples")).alias("probability"), "low", "high", (F.col("low") >= threshold).alias("holds"))

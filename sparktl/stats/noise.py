@@ -21,14 +21,51 @@ def uniform(*key: Column | str | int) -> Column:
     return (F.conv(hashed, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
+def shares(family: str, p: tuple[float, ...]) -> list[float]:
+    """Probabilities of 0, 1, ... of a counting family: all of them, or up to a tail below 1e-15."""
+    if family == "binomial":
+        n, q = int(p[0]), p[1]
+        logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (k * math.log(q) if k else 0) + ((n - k) * math.log1p(-q) if n > k else 0) for k in range(n + 1)] if 0 < q < 1 else []
+        return [math.exp(x) for x in logs] or [float(k == n * q) for k in range(n + 1)]
+    rate, top = p[0], math.ceil(p[0] + 12 * math.sqrt(p[0]) + 30)
+    return [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(top)] if rate > 0 else [1.0]
+
+
 @dataclass(frozen=True)
 class Noise:
-    """draw(u1, u2) gives the noise from two independent uniforms; additive, or a factor."""
+    """draw(u1, u2) gives the noise from two independent uniforms; additive, or a factor.
+
+    mixture: weight, mean, deviation of each normal part in turn. student: degrees of freedom, place, scale.
+    poisson: rate. binomial: trials, probability; a table of at most MOST_COUNTS counts is looked up.
+    """
+
+    MOST_COUNTS = 4096
 
     family: str
     params: tuple[float, ...]
     additive: bool = True
 
+    def counted(self, u: Column) -> Column:
+        """The count whose cumulative probability is the first above u."""
+        p = shares(self.family, self.params)
+        if len(p) > self.MOST_COUNTS:
+            raise ValueError(f"more than {self.MOST_COUNTS} counts: take a gaussian")
+        ends = [sum(p[: k + 1]) for k in range(len(p) - 1)]
+        return F.size(F.filter(F.array(*map(F.lit, ends)).cast("array<double>"), lambda end: end <= u)).cast("double")
+
+    def mixed(self, u: Column, v: Column) -> Column:
+        """u picks the part, and its place within the part's share is again uniform."""
+        parts = [self.params[k : k + 3] for k in range(0, len(self.params), 3)]
+        whole, start, out = sum(w for w, _, _ in parts), 0.0, None
+        for weight, mean, deviation in parts:
+            share = weight / whole
+            # the ends are kept off, as rounding may reach them
+            place = F.least(F.greatest((u - start) / share, F.lit(2.0**-53)), F.lit(1 - 2.0**-53))
+            here = Noise("gaussian", (mean, deviation)).draw(place, v)
+            start += share
+            out = F.when(u < start, here) if out is None else out.when(u < start, here)
+        return out.otherwise(here)
+
     def draw(self, u: Column, v: Column) -> Column:
         p = [float(x) for x in self.params]
         normal = F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * math.pi) * v)
@@ -43,6 +80,10 @@ class Noise:
             "gumbel": lambda: F.lit(p[0]) - F.lit(p[1]) * F.ln(-F.ln(u)),
             "cauchy": lambda: F.lit(p[0]) + F.lit(p[1]) * F.tan(F.lit(math.pi) * (u - 0.5)),
             "bootstrap": lambda: F.element_at(F.array(*map(F.lit, p)), (F.floor(u * len(p)) + 1).cast("int")),
+            "student": lambda: F.lit(p[1]) + F.lit(p[2]) * F.sqrt(F.lit(p[0]) * (F.pow(u, F.lit(-2 / p[0])) - 1)) * F.cos(F.lit(2 * math.pi) * v),
+            "mixture": lambda: self.mixed(u, v),
+            "poisson": lambda: self.counted(u),
+            "binomial": lambda: self.counted(u),
         }
         if self.family not in draws:
             raise ValueError(f"no such family: {self.family}")
@@ -57,6 +98,7 @@ class Noise:
             "dirac": lambda: p[0], "gaussian": lambda: p[0], "uniform": lambda: (p[0] + p[1]) / 2, "lognormal": lambda: math.exp(p[0] + p[1] ** 2 / 2),
             "exponential": lambda: 1 / p[0], "weibull": lambda: p[1] * math.gamma(1 + 1 / p[0]), "rayleigh": lambda: p[0] * math.sqrt(math.pi / 2),
             "gumbel": lambda: p[0] + 0.5772156649015329 * p[1], "cauchy": lambda: None, "bootstrap": lambda: sum(p) / len(p),
+            "student": lambda: p[1] if p[0] > 1 else None, "mixture": lambda: sum(w * m for w, m in zip(p[::3], p[1::3])) / sum(p[::3]), "poisson": lambda: p[0], "binomial": lambda: p[0] * p[1],
         }[self.family]()
 
     def variance(self) -> float | None:
@@ -65,6 +107,8 @@ class Noise:
             "dirac": lambda: 0.0, "gaussian": lambda: p[1] ** 2, "uniform": lambda: (p[1] - p[0]) ** 2 / 12, "lognormal": lambda: (math.exp(p[1] ** 2) - 1) * math.exp(2 * p[0] + p[1] ** 2),
             "exponential": lambda: 1 / p[0] ** 2, "weibull": lambda: p[1] ** 2 * (math.gamma(1 + 2 / p[0]) - math.gamma(1 + 1 / p[0]) ** 2), "rayleigh": lambda: (2 - math.pi / 2) * p[0] ** 2,
             "gumbel": lambda: math.pi**2 / 6 * p[1] ** 2, "cauchy": lambda: None, "bootstrap": lambda: sum((x - sum(p) / len(p)) ** 2 for x in p) / len(p),
+            "student": lambda: p[2] ** 2 * p[0] / (p[0] - 2) if p[0] > 2 else None, "poisson": lambda: p[0], "binomial": lambda: p[0] * p[1] * (1 - p[1]),
+            "mixture": lambda: sum(w * (d**2 + m**2) for w, m, d in zip(p[::3], p[1::3], p[2::3])) / sum(p[::3]) - self.mean() ** 2,
         }[self.family]()
 
 
@@ -94,6 +138,20 @@ def fit_gaussian(df: DataFrame, column: str = "residual") -> Noise:
     return Noise("gaussian", (mean, deviation))
 
 
+def fit_bootstrap(df: DataFrame, size: int = 1000, column: str = "residual", seed: int = 42) -> Noise:
+    """A sample of ``size`` finite values, each as likely as any other: those with the smallest hashes.
+
+    The sample is the feature; size bounds what reaches the driver. Equal values are told apart by a number.
+    """
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("x").count()
+    drawn = values.select("x", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("k")).orderBy(F.xxhash64(F.lit(seed), "x", "k"), "x", "k").limit(size)
+    found = [r["x"] for r in drawn.collect()]
+    if not found:
+        raise ValueError("a fit needs a value")
+    return Noise("bootstrap", tuple(found))
+
+
 def fit_mixture(df: DataFrame, parts: int, rounds: int = 50, column: str = "residual", least: float = 1e-6) -> list[tuple[float, float, float]]:
     """(weight, mean, variance) of a mixture of normals by expectation maximisation, one aggregate a round."""
     x = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").persist()

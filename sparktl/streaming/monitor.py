@@ -41,9 +41,9 @@ def evaluated(node: tuple, t: np.ndarray, margins: np.ndarray) -> np.ndarray:
     if kind == "not":
         return -x[0]
     if kind in ("and", "or"):
-        return (np.minimum if kind == "and" else np.maximum)(*x)
+        return (np.fmin if kind == "and" else np.fmax)(*x)  # NaN is passed over, as in temporal
     if kind == "implies":
-        return np.maximum(-x[0], x[1])
+        return np.fmax(-x[0], x[1])
     if kind == "next":
         return np.append(x[0][1:], -INF)
     out = np.empty(len(t))
@@ -52,9 +52,9 @@ def evaluated(node: tuple, t: np.ndarray, margins: np.ndarray) -> np.ndarray:
     last = np.searchsorted(t, (t + high + SLACK) if ahead else (t - low + SLACK), "right")
     for i, (a, b) in enumerate(zip(first, last)):
         if kind in ("always", "historically"):
-            out[i] = x[0][a:b].min(initial=INF)
+            out[i] = np.fmin.reduce(x[0][a:b], initial=INF)
         elif kind in ("eventually", "once"):
-            out[i] = x[0][a:b].max(initial=-INF)
+            out[i] = np.fmax.reduce(x[0][a:b], initial=-INF)
         elif kind == "until":
             a = max(a, i)
             way = np.minimum.accumulate(np.append(INF, x[0][i : max(b - 1, i)])) if b > a else np.zeros(0)
@@ -67,16 +67,22 @@ def evaluated(node: tuple, t: np.ndarray, margins: np.ndarray) -> np.ndarray:
 
 
 def monitor(samples: DataFrame, formula: Formula, series: str, time: str = "ts", delay: str = "10 seconds") -> DataFrame:
-    """A streaming DataFrame (series, t, rho) with a verdict for every sample, in seconds since the epoch.
+    """A streaming DataFrame (series, t, rho) with a verdict for every sample, in seconds since the epoch: see monitor_bank()."""
+    return monitor_bank(samples, {"rho": formula}, series, time, delay)
 
-    samples: streaming rows with the series column (string or number), a timestamp and the signals. The
+
+def monitor_bank(samples: DataFrame, formulas: dict[str, Formula], series: str, time: str = "ts", delay: str = "10 seconds") -> DataFrame:
+    """monitor() of several formulas over one state: a column for each, given once all are settled.
+
+    Atoms that are one object are kept once.
+    samples: streaming rows with the series column (string or number), a timestamp and the signals. Every
     formula's horizon and memory must be finite, as nothing else is ever settled.
     """
-    horizon, memory = formula.horizon(), formula.memory()
+    horizon, memory = max(f.horizon() for f in formulas.values()), max(f.memory() for f in formulas.values())
     if INF in (horizon, memory):
         raise ValueError("a live verdict needs a formula that looks a bounded way ahead and back")
     leaves: list[Formula] = []
-    node = shape(formula, leaves)
+    nodes = {name: shape(f, leaves) for name, f in formulas.items()}
     names = [f"m{k}" for k in range(len(leaves))]
     rows = samples.withWatermark(time, delay).select(
         F.col(series).cast("string").alias("series"), F.col(time).alias("_ts"), (F.unix_micros(F.col(time)) / F.lit(1e6)).alias("t"), *[leaf.margin.cast("double").alias(n) for n, leaf in zip(names, leaves)]
@@ -94,8 +100,8 @@ def monitor(samples: DataFrame, formula: Formula, series: str, time: str = "ts",
         times = table[:, 0]
         ready = (times > done) & (times <= settled)
         if ready.any():
-            rho = evaluated(node, times, table[:, 1:])
-            yield pd.DataFrame({"series": key[0], "t": times[ready], "rho": rho[ready]})
+            verdicts = {name: evaluated(node, times, table[:, 1:])[ready] for name, node in nodes.items()}
+            yield pd.DataFrame({"series": key[0], "t": times[ready], **verdicts})
             done = float(times[ready].max())
         table = table[times >= min(done, settled) - memory - horizon - 2 * SLACK]
         waiting = table[table[:, 0] > done]
@@ -104,7 +110,7 @@ def monitor(samples: DataFrame, formula: Formula, series: str, time: str = "ts",
             state.setTimeoutTimestamp(max(int((waiting[0, 0] + horizon + 2 * SLACK) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
     return rows.groupBy("series").applyInPandasWithState(
-        step, "series string, t double, rho double", "t array<double>, margins array<double>, done double", "append", GroupStateTimeout.EventTimeTimeout
+        step, "series string, t double, " + ", ".join(f"`{n}` double" for n in formulas), "t array<double>, margins array<double>, done double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -120,3 +120,26 @@ def test_repeated_times_are_refused(spark, tmp_path):
     with pytest.raises(traces.TraceError, match="twice"):
         traces.read_trace(spark, str(path))
     assert traces.read_trace(spark, str(path), rename={"speed": "y"}, strict=False).columns == ["t", "x", "speed"]
+
+
+@pytest.mark.parametrize("law", [
+    noise.Noise("student", (6.0, 1.0, 2.0)), noise.Noise("mixture", (0.25, -3.0, 0.5, 0.75, 2.0, 1.5)), noise.Noise("poisson", (4.5,)), noise.Noise("binomial", (12, 0.3)), noise.Noise("binomial", (5, 1.0)),
+], ids=lambda n: n.family)
+def test_more_families(spark, law):
+    u, v = noise.uniform("a", F.col("id")), noise.uniform("b", F.col("id"))
+    n, mean, variance = spark.range(40_000).select(law.draw(u, v).alias("x")).agg(F.count("x"), F.avg("x"), F.var_pop("x")).first()
+    assert n == 40_000 and mean == pytest.approx(law.mean(), abs=0.06) and variance == pytest.approx(law.variance(), rel=0.08, abs=1e-12)
+
+
+def test_fit_bootstrap(spark):
+    df = spark.range(5000).select((F.col("id") % 10).cast("double").alias("residual")).union(spark.sql("SELECT double('NaN')"))
+    found = noise.fit_bootstrap(df, 500)
+    assert len(found.params) == 500 and found.params == noise.fit_bootstrap(df.repartition(7), 500).params
+    assert found.mean() == pytest.approx(4.5, abs=0.5) and noise.fit_bootstrap(df, 9000).variance() == pytest.approx(8.25)
+
+
+def test_conservative(spark):
+    runs = spark.createDataFrame([(s, 1.0 if k < good else -1.0) for s, good in ((1, 50), (2, 99), (3, 99)) for k in range(100)], "s int, rho double")
+    out = {r["s"]: r for r in checks.conservative(runs, ["s"], 0.9).collect()}
+    assert (out[1]["low"], out[1]["high"]) == (pytest.approx(0.398321, abs=1e-6), pytest.approx(0.601679, abs=1e-6))
+    assert [out[s]["holds"] for s in (1, 2, 3)] == [False, True, True]

@@ -38,3 +38,21 @@ def test_unbounded_is_refused(spark):
 def test_hold(spark):
     rows = spark.createDataFrame([(1, 0.0, 5.0, None), (1, 1.0, None, 7.0), (1, 2.0, 6.0, None), (1, 2.0, None, 8.0)], "s int, t double, x double, y double")
     assert [tuple(r)[1:] for r in live.hold(rows, ["s"], ["x", "y"]).orderBy("t").collect()] == [(1.0, 5.0, 7.0), (2.0, 6.0, 8.0)]
+
+
+def test_bank_of_formulas_and_nan(spark, tmp_path):
+    """Several formulas share one state, and NaN is passed over as in the whole trace."""
+    r = random.Random(9)
+    rows = [("a", 1_700_000_000 + 2 * k, float("nan") if k % 7 == 3 else r.uniform(-5, 5), r.uniform(-5, 5)) for k in range(60)]
+    x, y = atom(m.gt("x", 0)), atom(m.gt("y", 0))
+    formulas = {"seen": x.once(0, 6) & y, "soon": (x | y).eventually(0, 4), "calm": (x >> y).always(0, 4)}
+    path = str(tmp_path / "in")
+    for k in range(0, 60, 20):
+        spark.createDataFrame(rows[k : k + 20], "s string, e long, x double, y double").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("s string, e long, x double, y double").option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.timestamp_seconds("e"))
+    q = live.monitor_bank(stream, formulas, "s").writeStream.format("memory").queryName("bank").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {v["t"]: (v["seen"], v["soon"], v["calm"]) for v in spark.table("bank").collect()}
+    whole = temporal.bank(spark.createDataFrame([(a, float(b), c, d) for a, b, c, d in rows], "s string, t double, x double, y double"), formulas, ["s"])
+    want = {v["t"]: (v["seen"], v["soon"], v["calm"]) for v in whole.collect()}
+    assert len(got) >= 30 and all(want[k] == v for k, v in got.items())
