@@ -17,7 +17,7 @@ from sparktl.operators import temporal
 from sparktl.operators.formula import INF, Formula, atom
 from sparktl.sources.traces import daily, events
 from sparktl.stats import checks
-from sparktl.stats.noise import Noise, fit_gaussian, residuals
+from sparktl.stats.noise import Noise, fit_gaussian, lift, residuals
 
 HOUR, DAY = 3600.0, 86400.0
 CHUNK = 10 * DAY
@@ -385,6 +385,25 @@ def smc_bayesian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.bayesian(runs(spark, sf_dir), USER, 0.8, 10.0)
 
 
+@query("smc_conservative", f"""
+WITH {RUNS}, c AS (SELECT user_id, count(*) AS samples, count(CASE WHEN rho >= 0 THEN 1 END) AS satisfied FROM r GROUP BY user_id),
+j AS (SELECT *, unnest(range(satisfied, samples + 1)) AS j FROM c)
+SELECT user_id, samples, satisfied, satisfied / samples AS probability, sum(exp(lgamma(samples + 1) - lgamma(j + 1) - lgamma(samples - j + 1) + j * ln(0.8) + (samples - j) * ln(0.2))) <= 0.025 AS holds
+FROM j GROUP BY ALL""")
+def smc_conservative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact interval's lower end reaches 0.8 where so many successes have a chance of 2.5 % at most under 0.8."""
+    return checks.conservative(runs(spark, sf_dir), USER, 0.8).select("user_id", "samples", "satisfied", "probability", "holds")
+
+
+@query("lift_factor", f"""
+WITH {EV}, n AS (SELECT ev.*, k AS member FROM ev, range(3) r(k)),
+u AS (SELECT *, (('0x' || substr(md5('42|' || user_id || '|' || member || '|' || round(t * 1e6)::BIGINT || '|value|0'), 1, 13))::BIGINT::DOUBLE + 0.5) / pow(2, 52) AS u FROM n)
+SELECT user_id, event_id, t, member, value * (0.9::DOUBLE + {1.1 - 0.9!r}::DOUBLE * u) AS value FROM u""")
+def lift_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lift(events(spark, sf_dir), {"value": Noise("uniform", (0.9, 1.1), additive=False)}, 3, USER)
+    return out.select("user_id", "event_id", "t", F.col("member").cast("long").alias("member"), "value")
+
+
 @query("smc_chance", f"""
 WITH {RUNS}, c AS (SELECT user_id, count(*)::DOUBLE AS n, count(CASE WHEN rho >= 0 THEN 1 END)::DOUBLE / count(*) AS p FROM r GROUP BY user_id), w AS (SELECT *, {WILSON} FROM c)
 SELECT user_id, p AS probability, low >= {0.65 + 0.05!r} AS holds FROM w""")

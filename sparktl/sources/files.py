@@ -1,10 +1,8 @@
-"""Spark data sources for Arrow IPC files and SQLite databases on a file system that pyarrow can open."""
+"""A Spark data source for Arrow IPC files on a file system that pyarrow can open."""
 
 from __future__ import annotations
 
 import os
-import sqlite3
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,61 +52,3 @@ class ArrowReader(DataSourceReader):
             file = pa.ipc.open_file(f)
             if partition.number < file.num_record_batches:
                 yield file.get_batch(partition.number)
-
-
-class SqliteSource(DataSource):
-    """The first table by name (or option ``table``); text and blob columns are left out. One partition."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_file"
-
-    def schema(self) -> str:
-        with Database(self.options["path"]) as db:
-            return ", ".join(f"`{c}` double" for c in db.numeric(self.options.get("table")))
-
-    def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options["path"], self.options.get("table"))
-
-
-class Database:
-    """A copy of the database file, opened for reading."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def __enter__(self) -> Database:
-        place, path = opened(self.path)
-        self.copy = tempfile.NamedTemporaryFile(suffix=".db")
-        with place.open_input_stream(path) as f:
-            while part := f.read(1 << 20):
-                self.copy.write(part)
-        self.copy.flush()
-        self.db = sqlite3.connect(self.copy.name)
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.db.close()
-        self.copy.close()
-
-    def table(self, name: str | None) -> str:
-        names = sorted(r[0] for r in self.db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'"))
-        if not names or (name and name not in names):
-            raise ValueError(f"no such table: {name}")
-        return name or names[0]
-
-    def numeric(self, name: str | None) -> list[str]:
-        table = self.table(name)
-        columns = [r[1] for r in self.db.execute(f'PRAGMA table_info("{table}")')]
-        return [c for c in columns if not self.db.execute(f"""SELECT 1 FROM "{table}" WHERE typeof("{c}") IN ('text', 'blob') LIMIT 1""").fetchone()]
-
-
-class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str | None):
-        self.path, self.table = path, table
-
-    def read(self, partition) -> Iterator[tuple]:
-        with Database(self.path) as db:
-            columns = ", ".join(f'"{c}"' for c in db.numeric(self.table))
-            for row in db.db.execute(f'SELECT {columns} FROM "{db.table(self.table)}"'):
-                yield tuple(None if x is None else float(x) for x in row)

@@ -72,7 +72,7 @@ def numbers(df: DataFrame, series: list[str], time: str) -> DataFrame:
 def read_trace(
     spark: SparkSession, path: str, series: list[str] | None = None, kind: str | None = None, time: str | None = None, rename: dict[str, str] | None = None, strict: bool = True, **options
 ) -> DataFrame:
-    """A trace from csv, txt, tsv, json (array), ndjson, parquet, arrow or sqlite files, by extension unless given.
+    """A trace from csv, txt, tsv, json (array), ndjson, parquet or arrow files, by extension unless given.
 
     strict: text cells that are no numbers, nulls, values that are not finite and repeated times raise
     TraceError; otherwise columns of text are left out and the rest is read as it is. time and rename
@@ -85,12 +85,11 @@ def read_trace(
         df = spark.read.parquet(path)
     elif kind in ("json", "ndjson"):
         df = spark.read.json(path, multiLine=kind == "json", mode="FAILFAST")
-    elif kind in ("arrow", "feather", "ipc", "db", "sqlite", "sqlite3"):
-        from sparktl.sources import files
+    elif kind in ("arrow", "feather", "ipc"):
+        from sparktl.sources.files import ArrowSource
 
-        source = files.ArrowSource if kind in ("arrow", "feather", "ipc") else files.SqliteSource
-        spark.dataSource.register(source)
-        df = spark.read.format(source.name()).options(**options).load(path)
+        spark.dataSource.register(ArrowSource)
+        df = spark.read.format(ArrowSource.name()).options(**options).load(path)
     else:
         raise TraceError(f"unknown kind of file: {kind}")
     series = series or []

@@ -1,7 +1,6 @@
 """Reading, validating and resampling traces; noise, intervals and sequential tests."""
 
 import math
-import sqlite3
 
 import pyarrow as pa
 import pytest
@@ -18,7 +17,7 @@ def test_time_names():
     assert traces.time_column(["x", "T", " Time "]) == " Time " and traces.time_column(["a", "b"]) == "a"
 
 
-@pytest.mark.parametrize("kind", ["csv", "tsv", "json", "parquet", "arrow", "db"])
+@pytest.mark.parametrize("kind", ["csv", "tsv", "json", "parquet", "arrow"])
 def test_read(spark, tmp_path, kind):
     path = str(tmp_path / f"x.{kind}")
     rows = [(0.0, 1.5), (1.0, -2.0), (2.5, 4.0)]
@@ -29,15 +28,10 @@ def test_read(spark, tmp_path, kind):
         open(path, "w").write(str([{"time": a, "x": b} for a, b in rows]).replace("'", '"'))
     elif kind == "parquet":
         spark.createDataFrame(rows, "time double, x double").write.parquet(path)
-    elif kind == "arrow":
+    else:
         table = pa.table({"time": [a for a, _ in rows], "x": [b for _, b in rows]})
         with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as out:
             out.write_table(table)
-    else:
-        con = sqlite3.connect(path)
-        con.execute("CREATE TABLE a (time REAL, x REAL, note TEXT)")
-        con.executemany("INSERT INTO a VALUES (?, ?, 'n')", rows)
-        con.commit()
     out = traces.read_trace(spark, path)
     assert sorted(map(tuple, out.select("t", "x").collect())) == rows
 
