@@ -233,3 +233,10 @@ def test_dense_junctions(spark):
         got = values(dense.window(signal, F.col("rho"), "eventually", 0.5, 3.0, ["s"], samples="sample"))
         want = [max(pick(line(x, t + 0.5 + 2.5 * q / 2000), line(y, t + 0.5 + 2.5 * q / 2000)) for q in range(2001)) for t in times]
         assert len(got) == len(times) and all(w - 1e-9 <= g <= w + 0.02 for g, w in zip(got, want))
+
+
+def test_chunks_without_series_and_rows(spark):
+    df = trace(spark, range(40), x=[(k * 7) % 11 - 5 for k in range(40)], y=[(k * 5) % 13 - 6 for k in range(40)])
+    for f in (X().always(), X().since(Y())):
+        assert [r["rho"] for r in temporal.in_chunks(df, f, [], 6.0).orderBy("t").collect()] == values(temporal.robustness(df, f, []))
+        assert temporal.in_chunks(df.filter("t < 0"), f, ["s"], 6.0).count() == 0
