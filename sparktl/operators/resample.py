@@ -2,35 +2,81 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: An end of a spline moves the curvature k samples further by less than 2^-k, below a double's precision from here on.
+REACH = 64
+
+
+def curvature(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Half the second derivative at each sample of the natural cubic spline: one sweep there and one back."""
+    n = len(t)
+    out, ratio, part = np.zeros(n), np.zeros(n), np.zeros(n)
+    h, slope = np.diff(t), np.diff(v) / np.diff(t)
+    for i in range(1, n - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * ratio[i - 1]
+        ratio[i], part[i] = h[i] / pivot, (3 * (slope[i] - slope[i - 1]) - h[i - 1] * part[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        out[i] = part[i] - ratio[i] * out[i + 1]
+    return out
+
+
+def bent(trace: DataFrame, series: list[str], signals: list[str], time: str, run: int = 4096) -> DataFrame:
+    """The samples with a row for each signal that has a value there, and its curvature in a column _m_signal.
+
+    A series is dealt in runs of samples that also get REACH samples on both sides, so no task has a whole one.
+    """
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).cast("double").alias("v")) for k, s in enumerate(signals)]))
+    points = trace.select(*series, F.col(time).cast("double").alias(time), one.alias("_p")).select(*series, time, F.col("_p.k").alias("_k"), F.col("_p.v").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    placed = points.withColumn("_place", F.row_number().over(Window.partitionBy(*series, "_k").orderBy(time)) - 1)
+    first, last = F.greatest(F.col("_place") - REACH, F.lit(0)), F.col("_place") + REACH
+    spread = placed.withColumn("_run", F.explode(F.sequence(F.floor(first / run), F.floor(last / run))))
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_place")
+        rows["_m"] = curvature(rows[time].to_numpy(), rows["_v"].to_numpy())
+        return rows[rows["_place"] // run == rows["_run"]][[*series, time, "_k", "_v", "_m"]]
+
+    # a given number, which small sizes in bytes do not draw together: the work is in Python
+    dealt = spread.repartition(int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions")), *series, "_k", "_run")
+    kept = dealt.groupBy(*series, "_k", "_run").applyInPandas(solved, T.StructType([*points.schema.fields, T.StructField("_m", T.DoubleType())]))
+    return kept.select(*series, time, *[F.when(F.col("_k") == k, F.col(x)).alias(n) for k, s in enumerate(signals) for x, n in (("_v", s), ("_m", f"_m_{s}"))])
 
 
 def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list[str], time: str = "t", method: str = "linear", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The signals at the grid's times (series and t columns), by "linear" interpolation or sample and "hold".
+    """The signals at the grid's times (series and t columns), by "linear" or natural "cubic" interpolation or sample and "hold".
 
     Grid rows and samples share one sorted window, so there is one shuffle and no join. Outside the
     samples the nearest end is held; before the first sample "hold" gives the first. Null samples are
-    passed over; a series without samples gives nulls. carry: columns of the grid to keep.
+    passed over (cubic: NaN too); a series without samples gives nulls, one sample a constant. carry: columns of the grid to keep.
     """
-    if method not in ("linear", "hold"):
+    if method not in ("linear", "hold", "cubic"):
         raise ValueError(f"no such method: {method}")
-    samples = trace.select(*series, time, *signals, *[F.lit(None).cast(grid.schema[c].dataType).alias(f"_c_{c}") for c in carry], F.lit(False).alias("_grid"))
-    wanted = grid.select(*series, time, *[F.lit(None).cast("double").alias(s) for s in signals], *[F.col(c).alias(f"_c_{c}") for c in carry], F.lit(True).alias("_grid"))
+    bends = [f"_m_{s}" for s in signals] if method == "cubic" else []
+    samples = (bent(trace, series, signals, time) if bends else trace).select(*series, time, *signals, *bends, *[F.lit(None).cast(grid.schema[c].dataType).alias(f"_c_{c}") for c in carry], F.lit(False).alias("_grid"))
+    wanted = grid.select(*series, time, *[F.lit(None).cast("double").alias(s) for s in [*signals, *bends]], *[F.col(c).alias(f"_c_{c}") for c in carry], F.lit(True).alias("_grid"))
     rows = samples.unionByName(wanted)
     order = Window.partitionBy(*series).orderBy(time)
     # range frames hold samples at the grid's own time on both sides
     before, after = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*series).orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows
     for s in signals:
-        point = F.when(F.col(s).isNotNull(), F.struct(F.col(time).alias("t"), F.col(s).cast("double").alias("v")))
+        point = F.when(F.col(s).isNotNull(), F.struct(F.col(time).alias("t"), F.col(s).cast("double").alias("v"), *[F.col(f"_m_{s}").alias("m")] * bool(bends)))
         out = out.withColumn(f"_{s}", point)
         out = out.withColumns({f"_p_{s}": F.last(f"_{s}", ignorenulls=True).over(before), f"_n_{s}": F.last(f"_{s}", ignorenulls=True).over(after)})
     values = []
     for s in signals:
         p, n = F.col(f"_p_{s}"), F.col(f"_n_{s}")
-        if method == "linear":
+        if method != "hold":
             line = p["v"] + (n["v"] - p["v"]) * (F.col(time) - p["t"]) / (n["t"] - p["t"])
+            if bends:
+                x, h = F.col(time) - p["t"], n["t"] - p["t"]
+                slope, third = (n["v"] - p["v"]) / h - h * (n["m"] + 2 * p["m"]) / 3, (n["m"] - p["m"]) / (3 * h)
+                line = p["v"] + x * (slope + x * (p["m"] + x * third))
             value = F.when(p.isNull(), n["v"]).when(n.isNull() | (p["t"] == F.col(time)), p["v"]).when(n["t"] == F.col(time), n["v"]).otherwise(line)
         else:
             value = F.coalesce(p["v"], n["v"])

@@ -19,6 +19,7 @@ row a chunk.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,15 +93,23 @@ class Lowering:
         """
         width = high - low
         block = self.add(F.floor(F.col(self.time) / width))
-        part = f"PARTITION BY {_quoted([*self.series, block])} ORDER BY `{self.time}`"
-        rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-        head = self.add(F.expr(f"named_struct('b', `{block}`, 'v', {pick}({self.plain(x)}) OVER ({part} {rows}))"))
-        tail = self.add(F.expr(f"named_struct('b', `{block}`, 'v', {pick}({self.plain(x)}) OVER ({part} DESC {rows}))"))
+        head = self.add(F.struct(F.col(block).alias("b"), self.running(pick, x, block, False).alias("v")))
+        tail = self.add(F.struct(F.col(block).alias("b"), self.running(pick, x, block, True).alias("v")))
         last = F.col(self.add(self.over(f"last_value(`{head}`)", f"UNBOUNDED PRECEDING AND {self.edge(high, True)}")))
         first = F.col(self.add(self.over(f"last_value(`{tail}`)", f"UNBOUNDED PRECEDING AND {self.edge(-low, True)}", True)))
         begins = F.floor((F.col(self.time) + low) / width)
-        both = F.when(first["b"] == begins, first["v"]), F.when(last["b"] > begins, last["v"])
-        return F.least(*both) if pick == "min" else F.greatest(*both)
+        return self.pair(pick, F.when(first["b"] == begins, first["v"]), F.when(last["b"] > begins, last["v"]))
+
+    def running(self, pick: str, x: str, block: str, descending: bool) -> Column:
+        """pick of the block's samples up to (descending: from) each one on."""
+        part = f"PARTITION BY {_quoted([*self.series, block])} ORDER BY `{self.time}`{' DESC' if descending else ''}"
+        return F.expr(f"{pick}({self.plain(x)}) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+    def pair(self, pick: str, a: Column, b: Column) -> Column:
+        """pick of two values; nulls and NaN are passed over."""
+        if pick == "sum":
+            return F.coalesce(a + b, a, b)
+        return F.least(a, b) if pick == "min" else maximum(a, b)
 
     def longest(self) -> int:
         if self.rows is None:
@@ -144,11 +153,11 @@ class Lowering:
         elif f.kind == "not":
             column = -F.col(x[0])
         elif f.kind == "and":
-            column = F.least(*x)
+            column = self.pair("min", *map(F.col, x))
         elif f.kind == "or":
-            column = maximum(*x)
+            column = self.pair("max", *map(F.col, x))
         elif f.kind == "implies":
-            column = maximum(-F.col(x[0]), x[1])
+            column = self.pair("max", -F.col(x[0]), F.col(x[1]))
         elif f.kind == "always":
             column = F.coalesce(self.future("min", x[0], f.low, f.high), F.lit(INF))
         elif f.kind == "eventually":
@@ -173,16 +182,17 @@ def in_blocks(f: Formula) -> bool:
     return (f.kind in (*UNARY, "until", "since") and NARROW <= f.high - f.low < INF) or any(map(in_blocks, f.parts))
 
 
-def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time: str = "t", rows: int | None = None) -> DataFrame:
+def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time: str = "t", rows: int | None = None, lowering: Callable[..., Lowering] = Lowering) -> DataFrame:
     """trace with one robustness column for each formula; subformulas that are one object are computed once.
 
     rows: the most samples of a series, for until and since; counted from the trace if not given.
+    lowering: what evaluates the formulas, see ``smooth`` for others.
     """
     # dealt by series once: the blocks of a series are then already together
     dealt = trace.repartition(*map(F.col, series)) if series and any(map(in_blocks, formulas.values())) else trace
-    lowering = Lowering(dealt, series, time, rows)
-    names = {name: lowering.lower(f) for name, f in formulas.items()}
-    return lowering.df.select(*trace.columns, *[F.col(c).alias(n) for n, c in names.items()])
+    work = lowering(dealt, series, time, rows)
+    names = {name: work.lower(f) for name, f in formulas.items()}
+    return work.df.select(*trace.columns, *[F.col(c).alias(n) for n, c in names.items()])
 
 
 def bounded(f: Formula) -> bool:
@@ -244,7 +254,7 @@ def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, tim
     return inner.df.join(sides, same, "left").select(*trace.columns, value.alias(name))
 
 
-def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho", chunk: float | None = None, rows: int | None = None) -> DataFrame:
+def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho", chunk: float | None = None, rows: int | None = None, lowering: Callable[..., Lowering] = Lowering) -> DataFrame:
     """trace with the formula's robustness at every sample.
 
     chunk: length in time of the chunks to split each series into; every chunk also gets the rows that
@@ -252,14 +262,14 @@ def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str
     in_chunks() takes more.
     """
     if chunk is None:
-        return bank(trace, {name: formula}, series, time, rows)
+        return bank(trace, {name: formula}, series, time, rows, lowering)
     ahead, back = formula.horizon() + SLACK, formula.memory() + SLACK
     if INF in (ahead, back):
         raise ValueError("chunks need a formula that looks a bounded way ahead and back")
     t = F.col(time)
     first, last = F.floor((t - ahead) / chunk), F.floor((t + back) / chunk)
     spread = trace.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    out = bank(spread, {name: formula}, [*series, "_chunk"], time, rows)
+    out = bank(spread, {name: formula}, [*series, "_chunk"], time, rows, lowering)
     return out.filter(F.floor(t / chunk) == F.col("_chunk")).drop("_chunk")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparktl.functions import margins as m
 from sparktl.operators import resample as rs
-from sparktl.operators import temporal
+from sparktl.operators import smooth, temporal
 from sparktl.operators.formula import INF, Formula, atom
 from sparktl.sources.traces import daily, events
 from sparktl.stats import checks
@@ -229,6 +229,30 @@ def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.resample(ev, grid(ev), USER, ["value"], method="hold")
 
 
+@query("resample_cubic")
+def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rs.resample(ev, grid(ev), USER, ["value"], method="cubic")
+
+
+# rounded: sums in another order differ in the last places
+@query("smooth_always", f"""
+WITH {EV} SELECT user_id, event_id, t, round(low - ln(list_sum(list_transform(near, lambda v: exp(-0.05::DOUBLE * (v - low))))) / 0.05::DOUBLE, 6) + 0.0::DOUBLE AS rho
+FROM (SELECT *, min(400 - value) {ahead(0, DAY)} AS low, list(400 - value) {ahead(0, DAY)} AS near FROM ev)""")
+def smooth_always(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temporal.robustness(events(spark, sf_dir), low_value().always(0, DAY), USER, chunk=CHUNK, lowering=smooth.log_sum_exp(0.05))
+    return out.select("user_id", "event_id", "t", (F.round("rho", 6) + F.lit(0.0)).alias("rho"))
+
+
+@query("smooth_once", f"""
+WITH {EV}, y AS (SELECT *, 100 - value AS y FROM ev), w AS (SELECT *, min(y) {behind(0, DAY)} AS least, count(*) {behind(0, DAY)} AS n,
+  sum(CASE WHEN y > 0 THEN ln(y) ELSE 0 END) {behind(0, DAY)} AS logs, sum(CASE WHEN y <= 0 THEN y ELSE 0 END) {behind(0, DAY)} AS low FROM y)
+SELECT user_id, event_id, t, round(-(CASE WHEN least > 0 THEN exp(logs / n) ELSE low / n END), 6) + 0.0::DOUBLE AS rho FROM w""")
+def smooth_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temporal.robustness(events(spark, sf_dir), high_value().once(0, DAY), USER, chunk=CHUNK, lowering=smooth.arithmetic_geometric())
+    return out.select("user_id", "event_id", "t", (F.round("rho", 6) + F.lit(0.0)).alias("rho"))
+
+
 @query("buffer_stats", f"""
 WITH {EV} SELECT user_id, event_id, t, count(value) OVER w AS recent_n, round(avg(value) OVER w, 6) AS recent_mean, round(var_samp(value) OVER w + 3.7e-7, 5) AS recent_var,
 min(value) OVER w AS recent_min, max(value) OVER w AS recent_max FROM ev WINDOW w AS ({P} ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,7 @@ def test_repeated_times_are_refused(spark, tmp_path):
 
 @pytest.mark.parametrize("law", [
     noise.Noise("student", (6.0, 1.0, 2.0)), noise.Noise("mixture", (0.25, -3.0, 0.5, 0.75, 2.0, 1.5)), noise.Noise("poisson", (4.5,)), noise.Noise("binomial", (12, 0.3)), noise.Noise("binomial", (5, 1.0)),
+    noise.Noise("gamma", (2.5, 1.5)), noise.Noise("gamma", (0.4, 2.0)), noise.Noise("beta", (2.0, 5.0)), noise.Noise("beta", (0.5, 0.5)),
 ], ids=lambda n: n.family)
 def test_more_families(spark, law):
     u, v = noise.uniform("a", F.col("id")), noise.uniform("b", F.col("id"))
@@ -137,3 +139,37 @@ def test_conservative(spark):
     out = {r["s"]: r for r in checks.conservative(runs, ["s"], 0.9).collect()}
     assert (out[1]["low"], out[1]["high"]) == (pytest.approx(0.398321, abs=1e-6), pytest.approx(0.601679, abs=1e-6))
     assert [out[s]["holds"] for s in (1, 2, 3)] == [False, True, True]
+
+
+def test_cubic(spark):
+    """Against the spline's whole system of equations: runs shorter than a series, two series, nulls and one sample."""
+    r, rows = np.random.default_rng(3), []
+    for k, n in ((1, 700), (2, 5), (3, 2), (4, 1)):
+        times = np.cumsum(r.choice([0.1, 1.0, 5.0], n))
+        rows += [(k, float(t), float(v), None if i % 3 else float(i)) for i, (t, v) in enumerate(zip(times, r.normal(size=n)))]
+    data = spark.createDataFrame(rows, "s int, t double, x double, y double")
+    grid = spark.createDataFrame([(s, t / 3) for s in (1, 2, 3, 4, 5) for t in range(-6, 4500)], "s int, t double")
+    small = rs.bent(data, ["s"], ["x", "y"], "t", run=100).filter("s = 1 AND x IS NOT NULL").orderBy("t").collect()
+    out = rs.resample(data, grid, ["s"], ["x", "y"], method="cubic").toPandas()
+    assert out[out["s"] == 5]["x"].isna().all() and (out[out["s"] == 4]["x"] == rows[-1][2]).all()
+    for s in (1, 2, 3):
+        for c, place in (("x", 2), ("y", 3)):
+            t, v = (np.array([row[p] for row in rows if row[0] == s and row[place] is not None]) for p in (1, place))
+            n, h = len(t), np.diff(t)
+            a, b = np.eye(n), np.zeros(n)
+            for i in range(1, n - 1):
+                a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+                b[i] = 3 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
+            m = np.linalg.solve(a, b)
+            if (s, c) == (1, "x"):
+                assert [row["_m_x"] for row in small] == pytest.approx(list(m), abs=1e-9)
+            mine = out[out["s"] == s].sort_values("t")
+            for at, got in zip(mine["t"], mine[c]):
+                if n == 1 or at <= t[0] or at >= t[-1]:
+                    want = v[0] if at <= t[0] else v[-1]
+                else:
+                    i = int(np.searchsorted(t, at, "right")) - 1
+                    x = at - t[i]
+                    slope = (v[i + 1] - v[i]) / h[i] - h[i] * (m[i + 1] + 2 * m[i]) / 3
+                    want = v[i] + slope * x + m[i] * x**2 + (m[i + 1] - m[i]) / (3 * h[i]) * x**3
+                assert got == pytest.approx(want, rel=1e-8, abs=1e-8)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktl.functions import margins as m
-from sparktl.operators import temporal
+from sparktl.operators import smooth, temporal
 from sparktl.operators.formula import INF, Formula, atom
 
 E = 1e-9
@@ -240,3 +240,55 @@ def test_chunks_without_series_and_rows(spark):
     for f in (X().always(), X().since(Y())):
         assert [r["rho"] for r in temporal.in_chunks(df, f, [], 6.0).orderBy("t").collect()] == values(temporal.robustness(df, f, []))
         assert temporal.in_chunks(df.filter("t < 0"), f, ["s"], 6.0).count() == 0
+
+
+def soft(kind, beta, values, least):
+    """The smooth minimum (or maximum) of a list, from its definition."""
+    y = [v if least else -v for v in values if not math.isnan(v)]
+    if not y:
+        out = INF
+    elif kind == "lse":
+        low = min(y)
+        out = low - math.log(sum(math.exp(-beta * (v - low)) for v in y)) / beta if math.isfinite(low) else low
+    else:
+        n = sum(v < INF for v in y)
+        out = INF if n == 0 else math.exp(sum(math.log(v) for v in y if v < INF) / n) if min(y) > 0 else sum(v for v in y if v <= 0) / n
+    return out if least else -out
+
+
+@pytest.mark.parametrize("kind", ["lse", "agm"])
+@pytest.mark.parametrize("span", [(0, 3), (2, 11), (0, 1e-4), (0, INF), (4, INF)])
+def test_smooth_against_definition(spark, kind, span):
+    r, times, t = random.Random(5), [], 0.0
+    for _ in range(60):
+        t += r.choice([0.25, 1.0, 9.0])
+        times.append(t)
+    xs = [r.choice([r.uniform(-2, 5), r.uniform(1, 5), 900.0, math.nan, INF]) for _ in times]
+    ys = [r.uniform(-3, 3) for _ in times]
+    data = trace(spark, times, x=xs, y=ys)
+    make = smooth.log_sum_exp(4.0) if kind == "lse" else smooth.arithmetic_geometric()
+    x, y = atom(F.col("x")), atom(F.col("y"))
+    both = {k: getattr(x, k)(*span) for k in ("always", "eventually", "historically", "once")} | {"and": x & y, "or": x | y, "implies": y >> x}
+    out = temporal.bank(data, both, ["s"], lowering=make).orderBy("t").collect()
+    a, b = span
+    for row, now, v, w in zip(out, times, xs, ys):
+        later = [z for u, z in zip(times, xs) if now + (a - E) <= u <= now + (b + E)]
+        earlier = [z for u, z in zip(times, xs) if now - (b + E) <= u <= now - (a - E)]
+        want = {"always": (later, True), "eventually": (later, False), "historically": (earlier, True), "once": (earlier, False), "and": ([v, w], True), "or": ([v, w], False), "implies": ([v, -w], False)}
+        for name, (values, least) in want.items():
+            assert row[name] == pytest.approx(soft(kind, 4.0, values, least), rel=1e-9, abs=1e-9), name
+
+
+def test_smooth_limits(spark):
+    data = trace(spark, range(40), x=[(7 * k) % 11 - 4 for k in range(40)])
+    f = X().eventually(0, 3).always(0, 9)
+    hard, near = values(temporal.robustness(data, f, ["s"])), values(temporal.robustness(data, f, ["s"], lowering=smooth.log_sum_exp(1e4)))
+    assert near == pytest.approx(hard, abs=1e-3)
+    for make in (smooth.log_sum_exp(), smooth.arithmetic_geometric()):
+        whole, parts = (values(temporal.robustness(data, f, ["s"], chunk=c, lowering=make)) for c in (None, 6.0))
+        assert whole == pytest.approx(parts)
+        assert temporal.robustness(data.limit(0), f, ["s"], lowering=make).count() == 0
+        with pytest.raises(ValueError, match="until"):
+            temporal.robustness(data, X().until(X()), ["s"], lowering=make)
+    with pytest.raises(ValueError, match="temperature"):
+        temporal.robustness(data, f, ["s"], lowering=smooth.log_sum_exp(0))
