@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktl.llm import bitplane, language, minhash, mixing, nearest, packing, quality, secret_scan, toxicity, url_filter
+from sparktl.llm import balltree, bitplane, language, minhash, mixing, nearest, packing, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_language": language.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_exact_topk": balltree.op11_exact_topk,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_mixing": mixing.oracle(),
     "op7_url_filters": url_filter.oracle(),
     "op8_minhash": minhash.oracle(),
+    "op11_exact_topk": balltree.oracle(),
 }
