@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktl.llm import balltree, bitplane, language, minhash, mixing, nearest, packing, quality, secret_scan, toxicity, url_filter
+from sparktl.llm import balltree, bitplane, language, lexical, minhash, mixing, nearest, packing, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_exact_topk": balltree.op11_exact_topk,
+    "op12_lexical": lexical.op12_lexical,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_url_filters": url_filter.oracle(),
     "op8_minhash": minhash.oracle(),
     "op11_exact_topk": balltree.oracle(),
+    "op12_lexical": lexical.oracle(),
 }
