@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktl.llm import balltree, bitplane, language, lexical, minhash, mixing, nearest, packing, quality, secret_scan, toxicity, url_filter
+from sparktl.llm import balltree, bitplane, language, lexical, minhash, mixing, nearest, packing, prefix_trie, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_exact_topk": balltree.op11_exact_topk,
     "op12_lexical": lexical.op12_lexical,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_minhash": minhash.oracle(),
     "op11_exact_topk": balltree.oracle(),
     "op12_lexical": lexical.oracle(),
+    "op13_prefix_trie": prefix_trie.oracle(),
 }
