@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktl.operators.formula import INF, Formula
-from sparktl.operators.temporal import NARROW, SLACK, Lowering
+from sparktl.operators.temporal import SLACK, Lowering
 
 
 class Smooth(Lowering):
+    by_blocks = True
+
     def between(self, f: Formula, phi: str, psi: str) -> Column:
         raise ValueError(f"{f.kind} has no smooth robustness here")
 
@@ -29,10 +31,10 @@ class Smooth(Lowering):
 class LogSumExp(Smooth):
     """Windows by running sums over blocks of time, added pairwise by doubling: no shift can overflow or vanish."""
 
-    def __init__(self, df: DataFrame, series: list[str], time: str = "t", rows: int | None = None, temperature: float = 10.0):
+    def __init__(self, df: DataFrame, series: list[str], time: str = "t", rows: int | None = None, crowds: dict[float, float] | None = None, temperature: float = 10.0):
         if not 0 < temperature < INF:
             raise ValueError(f"the temperature is to be finite and above 0, not {temperature}")
-        super().__init__(df, series, time, rows)
+        super().__init__(df, series, time, rows, crowds)
         self.source, self.temperature, self.counts = df, temperature, {}
 
     def pair(self, pick: str, a: Column, b: Column) -> Column:
@@ -57,12 +59,8 @@ class LogSumExp(Smooth):
             self.counts[width] = blocks.agg(F.max("count")).first()[0] or 0
         return self.counts[width]
 
-    def window(self, pick: str, x: str, low: float, high: float) -> Column:
-        self.width = high - low
-        return super().window(pick, x, low, high)
-
-    def running(self, pick: str, x: str, block: str, descending: bool) -> Column:
-        return self.doubled(pick, x, [*self.series, block], descending, self.most(self.width))
+    def running(self, pick: str, x: str, block: Column, length: float, descending: bool) -> Column:
+        return self.doubled(pick, x, [*self.series, self.add(block)], descending, self.most(length))
 
     def framed(self, pick: str, x: str, frame: str) -> Column:
         """For windows of few samples: all of them in a list."""
@@ -75,14 +73,14 @@ class LogSumExp(Smooth):
     def future(self, pick: str, x: str, low: float, high: float) -> Column:
         if high == INF:
             return self.unbounded(pick, x, low, True)
-        if high - low < NARROW:
+        if self.sparse(high - low):
             return self.framed(pick, x, f"{self.edge(low - SLACK, True)} AND {self.edge(high + SLACK, True)}")
         return self.window(pick, x, low - SLACK, high + SLACK)
 
     def past(self, pick: str, x: str, low: float, high: float) -> Column:
         if high == INF:
             return self.unbounded(pick, x, low, False)
-        if high - low < NARROW:
+        if self.sparse(high - low):
             return self.framed(pick, x, f"{self.edge(high + SLACK, False)} AND {self.edge(low - SLACK, False)}")
         return self.window(pick, x, -(high + SLACK), -(low - SLACK))
 
@@ -114,8 +112,11 @@ class ArithmeticGeometric(Smooth):
         least = self.add(read("least", names[0]))
         return self.mean(pick, F.col(least), *[F.col(self.add(read("sum", n))) for n in names[1:]])
 
-    def running(self, pick: str, x: str, block: str, descending: bool) -> Column:
-        return super().running("min" if pick == "least" else pick, x, block, descending)
+    def running(self, pick: str, x: str, block: Column, length: float, descending: bool) -> Column:
+        if pick == "least":
+            return super().running("min", x, block, length, descending)
+        order = Window.partitionBy(*self.series, self.add(block)).orderBy(F.col(self.time).desc() if descending else F.col(self.time))
+        return F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     def over(self, call: str, frame: str, descending: bool = False) -> Column:
         return super().over(call.replace("least(", "min(", 1), frame, descending)

@@ -2,13 +2,14 @@
 
 A trace is a DataFrame with one row for each sample of a series: the columns that name the series, a
 double time ``t`` that increases strictly within it, and signals. A formula of any size needs one
-shuffle by series; bounded operators are running frames over blocks as long as their windows, unbounded
-ones running frames (the future read in descending time), until and since an associative scan by
-doubling. No frame's cost grows with the samples in a window.
+shuffle by series. Bounded operators over few samples are plain frames; over many they are running frames
+over blocks of time, in two sorts whatever the width; unbounded ones are running frames (the future read in
+descending time), until and since an associative scan by doubling.
 
 Discrete semantics: an empty window is +Infinity for always and historically and -Infinity for the
 others; window edges have a slack of 1e-9; next at the last sample is -Infinity. NaN is passed over by
-every minimum and maximum; where there is nothing else, or gives NaN and a window is as if empty.
+every minimum and maximum; where there is nothing else, or gives NaN and a window is as if empty. In until and
+since it bounds nothing: a NaN psi counts as +Infinity, but in an until without bounds as -Infinity.
 
 ``robustness(..., chunk=...)`` splits long series into chunks of time that carry the rows their windows
 reach into, so one huge series is many tasks; it needs a bounded formula. ``in_chunks`` also takes one unbounded
@@ -28,8 +29,12 @@ from sparktl.functions.margins import maximum
 from sparktl.operators.formula import INF, UNARY, Formula
 
 SLACK = 1e-9
-#: Windows narrower than this hold few samples and are read sample by sample.
+#: Windows narrower than this are read sample by sample, whatever they hold: their edges are near a double's step.
 NARROW = 1e-3
+#: Windows with fewer samples than this, as one around a sample has on average, are read sample by sample.
+FEW = 64
+#: A block's share of the window's length: no window lies within a block, however times are rounded.
+SHARE = 0.75
 NAN = "CAST('NaN' AS DOUBLE)"
 
 
@@ -44,8 +49,11 @@ def _quoted(names: list[str]) -> str:
 class Lowering:
     """Adds one column for each distinct subformula to df; equal subformula objects share a column."""
 
-    def __init__(self, df: DataFrame, series: list[str], time: str = "t", rows: int | None = None):
+    by_blocks = False  # whether windows are partitioned by blocks of time
+
+    def __init__(self, df: DataFrame, series: list[str], time: str = "t", rows: int | None = None, crowds: dict[float, float] | None = None):
         self.df, self.series, self.time, self.rows = df, series, time, rows
+        self.crowds = crowds or {}  # samples in a window, by its length
         self.names: dict[int, str] = {}
         self.kept: list[Formula] = []  # keeps ids from being used again
         self.part = f"PARTITION BY {_quoted(series)} " if series else ""
@@ -64,18 +72,22 @@ class Lowering:
         side = ahead == (x >= 0)
         return f"{_d(abs(x))} {'FOLLOWING' if side else 'PRECEDING'}"
 
+    def sparse(self, width: float) -> bool:
+        """Whether a window this long is to be read sample by sample."""
+        return width < NARROW or self.crowds.get(width, INF) < FEW
+
     def future(self, pick: str, x: str, low: float, high: float) -> Column:
         """pick (min or max) of column x over [t + low, t + high], null where no value is."""
         if high == INF:
             return self.over(f"{pick}({self.plain(x)})", f"UNBOUNDED PRECEDING AND {self.edge(low - SLACK, False)}", True)
-        if high - low < NARROW:
+        if self.sparse(high - low):
             return self.over(f"{pick}({self.plain(x)})", f"{self.edge(low - SLACK, True)} AND {self.edge(high + SLACK, True)}")
         return self.window(pick, x, low - SLACK, high + SLACK)
 
     def past(self, pick: str, x: str, low: float, high: float) -> Column:
         if high == INF:
             return self.over(f"{pick}({self.plain(x)})", f"UNBOUNDED PRECEDING AND {self.edge(low - SLACK, False)}")
-        if high - low < NARROW:
+        if self.sparse(high - low):
             return self.over(f"{pick}({self.plain(x)})", f"{self.edge(high + SLACK, False)} AND {self.edge(low - SLACK, False)}")
         return self.window(pick, x, -(high + SLACK), -(low - SLACK))
 
@@ -87,23 +99,36 @@ class Lowering:
     def window(self, pick: str, x: str, low: float, high: float) -> Column:
         """pick over [t + low, t + high] in time that does not depend on how many samples lie in it.
 
-        Time is cut into blocks as long as the window, which therefore begins in one block and ends in the
-        next: it is the end of the one from the first sample in the window on, and the start of the other up
-        to the last sample in it. Both are running frames, and so are the reads of the two samples.
+        Time is cut into blocks of SHARE of the window's length. The window's first and last samples are read by
+        the frames that define it, so its edges are those of a plain frame; each brings the pick of its block
+        from there to the block's end, or from the block's start to there. The last one also brings the whole
+        block before its own, for a window that touches three. In one block, the window has all of it on one side.
         """
-        width = high - low
-        block = self.add(F.floor(F.col(self.time) / width))
-        head = self.add(F.struct(F.col(block).alias("b"), self.running(pick, x, block, False).alias("v")))
-        tail = self.add(F.struct(F.col(block).alias("b"), self.running(pick, x, block, True).alias("v")))
+        length = SHARE * (high - low)
+        at = lambda t: F.floor(t / length)
+        block = F.col(self.add(at(F.col(self.time))))
+        order = Window.partitionBy(*self.series).orderBy(self.time)
+        up = self.add(self.running(pick, x, block, length, False))
+        whole = self.add(F.when(F.lag(block).over(order) != block, F.struct(F.lag(block).over(order).alias("b"), F.lag(up).over(order).alias("v"))))
+        before = F.last(whole, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        head = self.add(F.struct(F.col(self.time).alias("t"), block.alias("b"), F.col(up).alias("v"), before.alias("before")))
         last = F.col(self.add(self.over(f"last_value(`{head}`)", f"UNBOUNDED PRECEDING AND {self.edge(high, True)}")))
+        tail = self.add(F.struct(F.col(self.time).alias("t"), block.alias("b"), self.running(pick, x, block, length, True).alias("v")))
         first = F.col(self.add(self.over(f"last_value(`{tail}`)", f"UNBOUNDED PRECEDING AND {self.edge(-low, True)}", True)))
-        begins = F.floor((F.col(self.time) + low) / width)
-        return self.pair(pick, F.when(first["b"] == begins, first["v"]), F.when(last["b"] > begins, last["v"]))
+        between = F.when(last["before"]["b"] > first["b"], last["before"]["v"])
+        one = F.when(at(F.col(self.time) + low) < first["b"], last["v"]).otherwise(first["v"])
+        several = self.pair(pick, self.pair(pick, first["v"], between), last["v"])
+        return F.when(first["t"] <= last["t"], F.when(first["b"] == last["b"], one).otherwise(several))
 
-    def running(self, pick: str, x: str, block: str, descending: bool) -> Column:
-        """pick of the block's samples up to (descending: from) each one on."""
-        part = f"PARTITION BY {_quoted([*self.series, block])} ORDER BY `{self.time}`{' DESC' if descending else ''}"
-        return F.expr(f"{pick}({self.plain(x)}) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    def running(self, pick: str, x: str, block: Column, length: float, descending: bool) -> Column:
+        """pick of the block's samples up to (descending: from) each one on; null where they are all NaN.
+
+        One running extremum of (block, value) starts anew with every block, and needs no other order than time.
+        """
+        sign = 1 if (pick == "min") == descending else -1
+        key = self.add(F.when(F.expr(self.plain(x)).isNotNull(), F.struct(block.alias("b"), (F.col(x) * sign).alias("v"))))
+        best = F.col(self.add(self.over(f"{'min' if descending else 'max'}(`{key}`)", "UNBOUNDED PRECEDING AND CURRENT ROW", descending)))
+        return F.when(best["b"] == block, best["v"] * sign)
 
     def pair(self, pick: str, a: Column, b: Column) -> Column:
         """pick of two values; nulls and NaN are passed over."""
@@ -131,6 +156,7 @@ class Lowering:
     def between(self, f: Formula, phi: str, psi: str) -> Column:
         """until and since on a window: min(best psi in it, phi on the way to it, the scan from its first sample)."""
         forward, low = f.kind == "until", f.low - SLACK
+        phi, psi = (self.add(c) for c in operands(f, F.col(phi), F.col(psi)))
         scanned = self.scan(phi, psi, forward)
         if f.low == 0 and f.high == INF:
             return F.col(scanned)
@@ -177,20 +203,44 @@ class Lowering:
         return name
 
 
-def in_blocks(f: Formula) -> bool:
-    """Whether some window of the formula is read in blocks of time."""
-    return (f.kind in (*UNARY, "until", "since") and NARROW <= f.high - f.low < INF) or any(map(in_blocks, f.parts))
+def operands(f: Formula, phi: Column, psi: Column) -> tuple[Column, Column]:
+    """Those of until or since without NaN, which bounds nothing."""
+    free = F.lit(-INF if f.kind == "until" and (f.low, f.high) == (0, INF) else INF)
+    return F.when(F.isnan(phi), F.lit(INF)).otherwise(phi), F.when(F.isnan(psi), free).otherwise(psi)
 
 
-def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time: str = "t", rows: int | None = None, lowering: Callable[..., Lowering] = Lowering) -> DataFrame:
+def widths(f: Formula) -> set[float]:
+    """The lengths of the formula's bounded windows, but for those that are always read sample by sample."""
+    own = {f.high - f.low} if f.kind in (*UNARY, "until", "since") and NARROW <= f.high - f.low < INF else set()
+    return own.union(*map(widths, f.parts))
+
+
+def crowds(trace: DataFrame, lengths: set[float], series: list[str], time: str = "t") -> dict[float, float]:
+    """How many samples a window of each length has around a sample, on average: one pass over keys and times.
+
+    Bursts count as often as they have samples. Where it is known, give it to bank() and spare the pass.
+    """
+    if not lengths:
+        return {}
+    ordered = sorted(lengths)
+    cell = F.posexplode(F.array(*[F.floor(F.col(time) / w) for w in ordered]))
+    cells = trace.select(*series, cell.alias("_width", "_cell")).groupBy(*series, "_width", "_cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    found = cells.groupBy("_width").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).collect()
+    return {ordered[r["_width"]]: r["crowd"] for r in found}
+
+
+def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time: str = "t", rows: int | None = None, lowering: Callable[..., Lowering] = Lowering, samples: dict[float, float] | None = None) -> DataFrame:
     """trace with one robustness column for each formula; subformulas that are one object are computed once.
 
     rows: the most samples of a series, for until and since; counted from the trace if not given.
-    lowering: what evaluates the formulas, see ``smooth`` for others.
+    lowering: what evaluates the formulas, see ``smooth`` for others. samples: see crowds().
     """
-    # dealt by series once: the blocks of a series are then already together
-    dealt = trace.repartition(*map(F.col, series)) if series and any(map(in_blocks, formulas.values())) else trace
-    work = lowering(dealt, series, time, rows)
+    lengths = set().union(*map(widths, formulas.values()))
+    samples = crowds(trace, lengths, series, time) if samples is None else samples
+    work = lowering(trace, series, time, rows, samples)
+    if series and work.by_blocks and not all(map(work.sparse, lengths)):
+        # dealt by series once: the blocks of a series are then already together
+        work.df = trace.repartition(*map(F.col, series))
     names = {name: work.lower(f) for name, f in formulas.items()}
     return work.df.select(*trace.columns, *[F.col(c).alias(n) for n, c in names.items()])
 
@@ -226,7 +276,7 @@ def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, tim
     if binary:
         counts = trace.groupBy(*series, own.alias("_chunk")).count().groupBy(*series).agg(F.max("count").alias("rows"), F.count(F.lit(1)).alias("chunks"))
         rows, chunks = (x or 0 for x in counts.agg(F.max("rows"), F.max("chunks")).first())
-        values = values.withColumn("_chunk", own)
+        values = values.withColumns(dict(zip(parts, operands(f, *map(F.col, parts))))).withColumn("_chunk", own)
         inner = Lowering(values, keys, time, rows)
         reached, way = inner.scan(parts[0], parts[1], ahead), inner.add(inner.over(f"min(`{parts[0]}`)", "UNBOUNDED PRECEDING AND CURRENT ROW", ahead))
         # a chunk seen from its edge needs no scan: the best psi that phi reaches from there
@@ -269,17 +319,27 @@ def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str
     t = F.col(time)
     first, last = F.floor((t - ahead) / chunk), F.floor((t + back) / chunk)
     spread = trace.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    out = bank(spread, {name: formula}, [*series, "_chunk"], time, rows, lowering)
+    out = bank(spread, {name: formula}, [*series, "_chunk"], time, rows, lowering, crowds(trace, widths(formula), series, time))
     return out.filter(F.floor(t / chunk) == F.col("_chunk")).drop("_chunk")
 
 
+def from_start(trace: DataFrame, series: list[str], time: str = "t", within: float = INF) -> DataFrame:
+    """trace with each series' first time as _start, and only the rows within so much of it.
+
+    The first times are a partial minimum, joined back: rows beyond are gone before anything else is shuffled.
+    """
+    named = [F.col(c).alias(f"_of_{c}") for c in series]
+    starts = trace.groupBy(*series).agg(F.min(time).alias("_start")).select(*named, "_start") if series else trace.agg(F.min(time).alias("_start"))
+    same = F.lit(True)
+    for c in series:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    near = same if within == INF else same & (F.col(time) <= F.col("_start") + (within + SLACK))
+    return trace.join(starts, near).select(*trace.columns, "_start")
+
+
 def at_start(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho") -> DataFrame:
     """One row a series: its first time and the robustness there; only the rows within the horizon are evaluated."""
-    start = F.min(time).over(Window.partitionBy(*series))
-    near = trace.withColumn("_start", start)
-    if formula.horizon() < INF:
-        near = near.filter(F.col(time) <= F.col("_start") + (formula.horizon() + SLACK))
-    out = robustness(near, formula, series, time, name)
+    out = robustness(from_start(trace, series, time, formula.horizon()), formula, series, time, name)
     return out.filter(F.col(time) == F.col("_start")).select(*series, time, name)
 
 

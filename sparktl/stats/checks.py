@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sparktl.operators.formula import Formula
-from sparktl.operators.temporal import at_start
+from sparktl.operators.temporal import from_start, robustness
 from sparktl.stats.noise import Noise, lift
 
 
 def realisations(trace: DataFrame, formula: Formula, noise: dict[str, Noise], members: int, series: list[str], time: str = "t", seed: int = 42) -> DataFrame:
     """(series, member, rho): the robustness at the start of each noisy copy. Partitioned by series and member."""
-    if formula.horizon() < math.inf:
-        start = F.min(time).over(Window.partitionBy(*series))
-        trace = trace.withColumn("_start", start).filter(F.col(time) <= F.col("_start") + (formula.horizon() + 1e-9)).drop("_start")
-    lifted = lift(trace, noise, members, series, time, seed)
-    return at_start(lifted, formula, [*series, "member"], time).select(*series, "member", "rho")
+    # the copies of a series start where it does, so its first time is found once, before it is copied
+    near = from_start(trace, series, time, formula.horizon())
+    lifted = lift(near, noise, members, series, time, seed)
+    out = robustness(lifted, formula, [*series, "member"], time)
+    return out.filter(F.col(time) == F.col("_start")).select(*series, "member", "rho")
 
 
 def z_of(level: float) -> float:

@@ -167,7 +167,8 @@ def test_mining(spark):
 
 
 @pytest.mark.parametrize("wide", [False, True])
-def test_nan_is_passed_over(spark, wide):
+def test_nan_is_passed_over(spark, monkeypatch, wide):
+    monkeypatch.setattr(temporal, "FEW", 0)
     nan, inf = float("nan"), float("inf")
     step = 1.0 if wide else 1e-5
     rows = [(0, k * step, v, w) for k, (v, w) in enumerate([(nan, 2.0), (1.0, nan), (nan, nan), (-3.0, 4.0)])]
@@ -181,8 +182,10 @@ def test_nan_is_passed_over(spark, wide):
     assert got("imp")[:2] == [2.0, 1.0] and got("and_")[:2] == [2.0, 1.0]
 
 
-def test_wide_windows_against_brute_force(spark):
-    """Irregular times, gaps longer than the windows, and windows of many samples."""
+@pytest.mark.parametrize("few", [0, INF])
+def test_wide_windows_against_brute_force(spark, monkeypatch, few):
+    """Irregular times, gaps longer than the windows, and windows of many samples; in blocks and sample by sample."""
+    monkeypatch.setattr(temporal, "FEW", few)
     r, times, t = random.Random(8), [], 0.0
     for _ in range(400):
         t += r.choice([0.001, 0.5, 1.0, 1.0, 1.0, r.random(), 40.0 if r.random() < 0.1 else 1.0])
@@ -258,7 +261,8 @@ def soft(kind, beta, values, least):
 
 @pytest.mark.parametrize("kind", ["lse", "agm"])
 @pytest.mark.parametrize("span", [(0, 3), (2, 11), (0, 1e-4), (0, INF), (4, INF)])
-def test_smooth_against_definition(spark, kind, span):
+def test_smooth_against_definition(spark, monkeypatch, kind, span):
+    monkeypatch.setattr(temporal, "FEW", 0)
     r, times, t = random.Random(5), [], 0.0
     for _ in range(60):
         t += r.choice([0.25, 1.0, 9.0])
@@ -292,3 +296,97 @@ def test_smooth_limits(spark):
             temporal.robustness(data, X().until(X()), ["s"], lowering=make)
     with pytest.raises(ValueError, match="temperature"):
         temporal.robustness(data, f, ["s"], lowering=smooth.log_sum_exp(0))
+
+
+def by_frames(monkeypatch, df, formulas):
+    """The columns of a bank in blocks and sample by sample."""
+    out = []
+    for few in (0, INF):
+        monkeypatch.setattr(temporal, "FEW", few)
+        out.append(temporal.bank(df, formulas, ["s"]).orderBy("s", "t").collect())
+    return out
+
+
+def test_windows_at_epoch_times(spark, monkeypatch):
+    """Seconds since 1970 in steps of half a millisecond: no sample of a window is lost to rounding."""
+    r = random.Random(4)
+    xs = [r.uniform(-3, 3) for _ in range(4000)]
+    df = spark.createDataFrame([(0, 1.75e9 + k / 2000, v) for k, v in zip(range(42_000, 46_000), xs)], "s int, t double, x double")
+    f = {"a": X().always(0.05, 3 * 0.05), "o": X().once(0.05, 3 * 0.05)}
+    blocks, frames = by_frames(monkeypatch, df, f)
+    assert blocks == frames
+    assert [v["a"] for v in blocks[:500]] == [min(xs[k + 100 : k + 301]) for k in range(500)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_equal_frames(spark, monkeypatch, seed):
+    r, rows = random.Random(seed), []
+    step, width, start = r.choice([0.001, 0.002, 0.005]), r.choice([0.02, 0.05, 0.1, 0.2]), r.choice([1.6e9, 1.75e9 + 1 / 3, 2.1e9])
+    for s in (1, 2, 3, None):
+        t = start
+        for _ in range(400):
+            t += step * r.choice([1, 1, 1, 2, 7 * width / step if r.random() < 0.03 else 1, r.random() + 0.01])
+            rows.append((s, t, r.choice([r.uniform(-9, 9), math.nan, INF, -INF, 0.0])))
+    df = spark.createDataFrame(rows, "s int, t double, x double")
+    x = atom(F.col("x"))
+    f = {f"{k}{i}": getattr(x, k)(a, b) for i, (a, b) in enumerate([(0, width), (width, 3 * width), (0.3 * width, 1.4 * width)]) for k in ("always", "eventually", "historically", "once")}
+    blocks, frames = by_frames(monkeypatch, df, f)
+    assert len(blocks) == len(rows) and all(a == b or (a != a and b != b) for p, q in zip(blocks, frames) for a, b in zip(p[3:], q[3:]))
+
+
+def passing(pick, *values):
+    kept = [v for v in values if v == v]
+    return pick(kept) if kept else math.nan
+
+
+def test_nan_in_until_and_since(spark):
+    """By the definition in which a minimum or maximum of a number and NaN is the number."""
+    r = random.Random(6)
+    n = 30
+    xs, ys = ([r.choice([math.nan, r.randint(-5, 5) + 0.5, r.randint(-5, 5) + 0.5]) for _ in range(n)] for _ in "xy")
+    df = spark.createDataFrame([(0, float(k), xs[k], ys[k]) for k in range(n)], "s int, t double, x double, y double")
+    x, y = atom(F.col("x")), atom(F.col("y"))
+    spans = [(0, INF), (0, 3), (1, 2), (2, INF)]
+    out = temporal.bank(df, {f"{k}{i}": getattr(x, k)(y, *span) for i, span in enumerate(spans) for k in ("until", "since")}, ["s"]).orderBy("t").collect()
+    parts = {k: [v["rho"] for v in temporal.in_chunks(df, getattr(x, k)(y), ["s"], 7.0).orderBy("t").collect()] for k in ("until", "since")}
+    for i, (a, b) in enumerate(spans):
+        for k in range(n):
+            best, way = -INF, INF
+            for j in range(k, n):
+                if a <= j - k <= b:
+                    best = passing(max, best, passing(min, ys[j], way))
+                way = passing(min, way, xs[j])
+            if (a, b) == (0, INF):  # from the end: the greater of psi and the lesser of phi and what comes
+                best = -INF
+                for j in range(n - 1, k - 1, -1):
+                    best = passing(max, ys[j], passing(min, xs[j], best))
+            assert out[k][f"until{i}"] == best
+            best, way = -INF, INF
+            for j in range(k, -1, -1):
+                way = passing(min, way, xs[j + 1]) if j < k else way
+                if a <= k - j <= b:
+                    best = passing(max, best, passing(min, ys[j], way))
+            assert out[k][f"since{i}"] == best
+    assert parts["until"] == [v["until0"] for v in out] and parts["since"] == [v["since0"] for v in out]
+
+
+def test_rows_beyond_the_horizon_are_gone_before_the_shuffle(spark):
+    from sparktl.stats import checks
+    from sparktl.stats.noise import Noise
+
+    df = spark.createDataFrame([(s, float(t), float((t * s) % 7)) for s in range(5) for t in range(3 + s, 60)] + [(None, 2.0, 1.0), (None, 3.0, -1.0)], "s int, t double, x double")
+    f = X().always(0, 4)
+    out = temporal.at_start(df, f, ["s"])
+    assert {(r["s"], r["t"], r["rho"]) for r in out.collect()} == {(s, 3.0 + s, float(min((t * s) % 7 for t in range(3 + s, 8 + s)))) for s in range(5)} | {(None, 2.0, -1.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert min(k for k, line in enumerate(plan) if "Window" in line) < min(k for k, line in enumerate(plan) if "Join" in line)  # the join is below
+    runs = checks.realisations(df, f, {"x": Noise("uniform", (0.0, 0.0))}, 3, ["s"])
+    assert {(r["s"], r["member"], r["rho"]) for r in runs.collect()} == {(r["s"], k, r["rho"]) for r in out.collect() for k in range(3)}
+    assert temporal.at_start(df, f, []).count() == 1 and temporal.at_start(df.limit(0), f, ["s"]).count() == 0
+
+
+def test_crowds(spark):
+    df = spark.createDataFrame([(0, float(k)) for k in range(100)] + [(1, 1000 + k / 100) for k in range(100)], "s int, t double")
+    got = temporal.crowds(df, {1.0, 10.0}, ["s"])
+    assert got[1.0] == pytest.approx(50.5) and got[10.0] == pytest.approx(55.0) and temporal.crowds(df, set(), ["s"]) == {}
+    assert temporal.widths(X().always(0, 5) & X().until(Y(), 1, 3) | X().once()) == {5.0, 2.0}
