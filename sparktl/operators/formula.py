@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 
+from sparktl.functions.margins import Term
+
 INF = float("inf")
 UNARY = ("always", "eventually", "historically", "once")
 
@@ -18,7 +20,7 @@ UNARY = ("always", "eventually", "historically", "once")
 class Formula:
     kind: str
     parts: tuple[Formula, ...] = ()
-    margin: Column | None = None
+    margin: Column | Term | None = None
     low: float = 0.0
     high: float = INF
 
@@ -65,6 +67,21 @@ class Formula:
     def has_temporal(self) -> bool:
         return self.kind in (*UNARY, "until", "since", "next") or any(p.has_temporal() for p in self.parts)
 
+    def atoms(self) -> list[Formula]:
+        return [self] if self.kind == "atom" else [a for p in self.parts for a in p.atoms()]
+
+    def variables(self) -> set[str]:
+        """The names of the signals that it reads; its margins are to be Terms."""
+        if not all(isinstance(a.margin, Term) for a in self.atoms()):
+            raise ValueError("a margin that is a Column does not tell its signals; make it of names and signal()")
+        return {name for a in self.atoms() for name in a.margin.signals}
+
+    def expect(self, columns: list[str]) -> None:
+        """Raises for signals that are none of the columns."""
+        missing = {name for a in self.atoms() if isinstance(a.margin, Term) for name in a.margin.signals} - set(columns)
+        if missing:
+            raise ValueError(f"no such signal: {', '.join(sorted(missing))}")
+
     def horizon(self) -> float:
         """How far after a sample its value looks; infinite for unbounded future operators and next."""
         own = self.high if self.kind in ("always", "eventually", "until") else INF if self.kind == "next" else 0.0
@@ -76,5 +93,5 @@ class Formula:
         return own + max((p.memory() for p in self.parts), default=0.0)
 
 
-def atom(margin: Column) -> Formula:
+def atom(margin: Column | Term) -> Formula:
     return Formula("atom", margin=margin)

@@ -72,7 +72,8 @@ def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list
     for s in signals:
         p, n = F.col(f"_p_{s}"), F.col(f"_n_{s}")
         if method != "hold":
-            line = p["v"] + (n["v"] - p["v"]) * (F.col(time) - p["t"]) / (n["t"] - p["t"])
+            # next to an infinity there is no line: the value before holds
+            line = F.when((F.abs(p["v"]) == float("inf")) | (F.abs(n["v"]) == float("inf")), p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * (F.col(time) - p["t"]) / (n["t"] - p["t"]))
             if bends:
                 x, h = F.col(time) - p["t"], n["t"] - p["t"]
                 slope, third = (n["v"] - p["v"]) / h - h * (n["m"] + 2 * p["m"]) / 3, (n["m"] - p["m"]) / (3 * h)

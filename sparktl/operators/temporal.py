@@ -91,6 +91,15 @@ class Lowering:
             return self.over(f"{pick}({self.plain(x)})", f"{self.edge(high + SLACK, False)} AND {self.edge(low - SLACK, False)}")
         return self.window(pick, x, -(high + SLACK), -(low - SLACK))
 
+    def exact(self, pick: str, x: str, low: float, high: float) -> Column:
+        """pick over [t + low, t + high] without slack; one of the two may be infinite."""
+        if high == INF or low == -INF:
+            ahead = high == INF
+            return self.over(f"{pick}({self.plain(x)})", f"UNBOUNDED PRECEDING AND {self.edge(low if ahead else high, not ahead)}", ahead)
+        if self.sparse(high - low):
+            return self.over(f"{pick}({self.plain(x)})", f"{self.edge(low, True)} AND {self.edge(high, True)}")
+        return self.window(pick, x, low, high)
+
     @staticmethod
     def plain(x: str) -> str:
         """The column without NaN, which no minimum or maximum of this library picks."""
@@ -235,6 +244,8 @@ def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time
     rows: the most samples of a series, for until and since; counted from the trace if not given.
     lowering: what evaluates the formulas, see ``smooth`` for others. samples: see crowds().
     """
+    for f in formulas.values():
+        f.expect(trace.columns)
     lengths = set().union(*map(widths, formulas.values()))
     samples = crowds(trace, lengths, series, time) if samples is None else samples
     work = lowering(trace, series, time, rows, samples)

@@ -229,10 +229,20 @@ def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.resample(ev, grid(ev), USER, ["value"], method="hold")
 
 
-@query("resample_cubic")
+# natural cubic splines: the second derivatives by a sweep forward and one back over each user's samples
+@query("resample_cubic", f"""
+WITH RECURSIVE {EV}, {GRID},
+k AS (SELECT user_id, t, value AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, (value - lag(value) OVER w) / (t - lag(t) OVER w) AS s0, (lead(value) OVER w - value) / (lead(t) OVER w - t) AS s1 FROM ev WINDOW w AS ({P} ORDER BY t)),
+f(user_id, i, c, d) AS (SELECT user_id, i, 0::DOUBLE, 0::DOUBLE FROM k WHERE i = 1 UNION ALL
+  SELECT k.user_id, k.i, CASE WHEN k.i < k.n THEN h1 / (2 * (h0 + h1) - h0 * c) ELSE 0 END, CASE WHEN k.i < k.n THEN (3 * (s1 - s0) - h0 * d) / (2 * (h0 + h1) - h0 * c) ELSE 0 END FROM f JOIN k ON k.user_id = f.user_id AND k.i = f.i + 1),
+b(user_id, i, m) AS (SELECT user_id, n, 0::DOUBLE FROM k WHERE i = 1 UNION ALL SELECT f.user_id, f.i, d - c * m FROM b JOIN f ON f.user_id = b.user_id AND f.i = b.i - 1),
+z AS (SELECT k.user_id, k.t, k.v, m FROM k JOIN b USING (user_id, i)),
+x AS (SELECT a.*, q.t AS t1, q.v AS v1, q.m AS m1 FROM (SELECT g.user_id, g.t, p.t AS t0, p.v AS v0, p.m AS m0 FROM g ASOF LEFT JOIN z p ON g.user_id = p.user_id AND g.t >= p.t) a ASOF LEFT JOIN z q ON a.user_id = q.user_id AND a.t <= q.t)
+SELECT user_id, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1
+  ELSE v0 + (t - t0) * (((v1 - v0) / (t1 - t0) - (t1 - t0) * (m1 + 2 * m0) / 3) + (t - t0) * (m0 + (t - t0) * (m1 - m0) / (3 * (t1 - t0)))) END, 6) AS value FROM x""")
 def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return rs.resample(ev, grid(ev), USER, ["value"], method="cubic")
+    return rs.resample(ev, grid(ev), USER, ["value"], method="cubic").withColumn("value", F.round("value", 6))
 
 
 # rounded: sums in another order differ in the last places
@@ -389,6 +399,60 @@ dense("eventually_band", "eventually", "max", "greatest", HOUR, DAY, ahead(HOUR,
 dense("historically_band", "historically", "min", "least", 0.0, DAY, behind(0, DAY), band=True)
 
 
+def read_off(name: str, asked: str, by: str = "ev", value: str = "value") -> str:
+    """The values of by at the asked (user_id, t), on the lines between its rows."""
+    return f"""{name} AS (SELECT user_id, t, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS v FROM (
+  SELECT a.*, n.t AS t1, n.{value} AS v1 FROM (SELECT q.user_id, q.t, p.t AS t0, p.{value} AS v0 FROM ({asked}) q ASOF LEFT JOIN {by} p ON q.user_id = p.user_id AND q.t >= p.t) a
+  ASOF LEFT JOIN {by} n ON a.user_id = n.user_id AND a.t <= n.t))"""
+
+
+def dense_chain(kind: str, low: float, high: float) -> None:
+    """until or since in continuous time; rounded, as the rows between samples are found in another order."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from sparktl.operators import dense as operators
+
+        f = getattr(low_value(), kind)(high_value(), low, high)
+        return operators.robustness(events(spark, sf_dir), f, USER).select("user_id", "t", F.round(finite("rho"), 6).alias("rho"))
+
+    side = 1 if kind == "until" else -1
+    reach, gap, order = (f"s.t >= i.t AND s.t <= i.t + {high + 1e-9!r}::DOUBLE", "s.t - i.t", "s.t") if kind == "until" else (f"s.t <= i.t AND s.t >= i.t - {high + 1e-9!r}::DOUBLE", "i.t - s.t", "s.t DESC")
+    own = "greatest(rho, psi)" if low == 0 else "rho"
+    QUERIES[f"dense_{kind}"] = run
+    ORACLES[f"dense_{kind}"] = f"""
+WITH {EV}, b AS ({BAND}), dom AS (SELECT user_id, min(t) AS low, max(t) AS high FROM ev GROUP BY user_id),
+p AS (SELECT p.user_id, p.t FROM (SELECT user_id, t FROM b UNION SELECT user_id, t + ({side * low!r}::DOUBLE) FROM ev UNION SELECT user_id, t + ({side * high!r}::DOUBLE) FROM ev) p JOIN dom USING (user_id) WHERE p.t BETWEEN dom.low AND dom.high),
+{read_off("g", "SELECT user_id, t FROM p")},
+w AS (SELECT i.user_id, i.t, i.value - 100 AS psi, {gap} AS gap, least(400 - s.v, s.v - 100) AS h, min(400 - s.v) OVER (PARTITION BY i.user_id, i.t ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS way
+  FROM ev i JOIN g s ON i.user_id = s.user_id AND {reach}),
+x AS (SELECT user_id, t, any_value(psi) AS psi, coalesce(max(least(h, coalesce(way, 'inf'::DOUBLE))) FILTER (gap >= {low - 1e-9!r}), '-inf'::DOUBLE) AS rho FROM w GROUP BY user_id, t)
+SELECT user_id, t, round({sql_finite(own)}, 6) AS rho FROM x"""
+
+
+dense_chain("until", 0.0, 2 * DAY)
+dense_chain("since", HOUR, 3 * DAY)
+
+
+@query("dense_always_eventually", f"""
+WITH {EV}, dom AS (SELECT user_id, min(t) AS low, max(t) AS high FROM ev GROUP BY user_id),
+q AS (SELECT q.user_id, q.t, q.t + {DAY!r}::DOUBLE AS u FROM (SELECT user_id, t FROM ev UNION SELECT user_id, t - {DAY!r}::DOUBLE FROM ev UNION SELECT user_id, t + {2 * DAY!r}::DOUBLE FROM ev) q JOIN dom USING (user_id) WHERE q.t BETWEEN dom.low AND dom.high),
+{read_off("r", "SELECT user_id, t FROM q UNION SELECT user_id, u FROM q")},
+e AS (SELECT q.user_id, q.t, q.u, a.v AS low0, b.v AS high0, lead(q.t) OVER w AS t1, lead(a.v) OVER w AS low1, lead(b.v) OVER w AS high1
+  FROM q JOIN r a ON a.user_id = q.user_id AND a.t = q.t JOIN r b ON b.user_id = q.user_id AND b.t = q.u WINDOW w AS (PARTITION BY q.user_id ORDER BY q.t)),
+c AS (SELECT e.user_id, e.t, any_value(e.t1) AS t1, any_value(low0) AS low0, any_value(high0) AS high0, any_value(low1) AS low1, any_value(high1) AS high1,
+  max(ev.value) AS here, max(ev.value) FILTER (ev.t >= e.t1) AS c FROM e LEFT JOIN ev ON ev.user_id = e.user_id AND ev.t BETWEEN e.t AND e.u GROUP BY e.user_id, e.t),
+y AS (SELECT user_id, t, t1, greatest(low0, high0, coalesce(here, low0)) AS y, greatest(coalesce(c, '-inf'::DOUBLE), least(greatest(low0, high0), greatest(low1, high1),
+  CASE WHEN sign(low0 - high0) * sign(low1 - high1) < 0 THEN low0 + (low1 - low0) * (low0 - high0) / ((low0 - high0) - (low1 - high1)) ELSE 'inf'::DOUBLE END)) AS m FROM c)
+SELECT i.user_id, i.t, round(min(least(y.y, CASE WHEN y.t1 <= i.t + {2 * DAY!r}::DOUBLE THEN y.m ELSE 'inf'::DOUBLE END)) - 100, 6) AS rho
+FROM ev i JOIN y ON y.user_id = i.user_id AND y.t >= i.t AND y.t <= i.t + {2 * DAY!r}::DOUBLE GROUP BY i.user_id, i.t""")
+def dense_always_eventually(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window within a window in continuous time: the inner one is a signal with a row at each bend."""
+    from sparktl.operators import dense as operators
+
+    f = high_value().eventually(0, DAY).always(0, 2 * DAY)
+    return operators.robustness(events(spark, sf_dir), f, USER).select("user_id", "t", F.round("rho", 6).alias("rho"))
+
+
 @query("mine_threshold", f"""
 WITH {EV} SELECT round(max(value), 3) AS theta FROM (SELECT *, min(t) OVER ({P}) AS t0 FROM ev) WHERE t <= t0 + {10 * DAY + 1e-9!r}""")
 def mine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,8 @@ class Machine:
 
 
 def _rows(samples: DataFrame, leaves: list[Formula], series: str, time: str, *more: Column) -> DataFrame:
+    for leaf in leaves:
+        leaf.expect(samples.columns)
     margins = [leaf.margin.cast("double").alias(f"m{k}") for k, leaf in enumerate(leaves)]
     return samples.select(F.col(series).cast("string").alias("series"), F.col(time).alias("_ts"), (F.unix_micros(F.col(time)) / F.lit(1e6)).alias("t"), *more, *margins)
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,3 +391,119 @@ def test_crowds(spark):
     got = temporal.crowds(df, {1.0, 10.0}, ["s"])
     assert got[1.0] == pytest.approx(50.5) and got[10.0] == pytest.approx(55.0) and temporal.crowds(df, set(), ["s"]) == {}
     assert temporal.widths(X().always(0, 5) & X().until(Y(), 1, 3) | X().once()) == {5.0, 2.0}
+
+
+class Fine:
+    """A formula in continuous time on a grid of steps of 1/400 s, from the definitions."""
+
+    def __init__(self, times, signals, step=1 / 400):
+        self.step = step
+        self.u = times[0] + step * np.arange(round((times[-1] - times[0]) / step) + 1)
+        self.x = {k: np.interp(self.u, times, v) for k, v in signals.items()}
+
+    def moved(self, v, by):
+        return v[np.clip(np.arange(len(v)) + by, 0, len(v) - 1)]
+
+    def of(self, f, leaf):
+        if f.kind == "atom":
+            return leaf[id(f)](self.x)
+        p = [self.of(q, leaf) for q in f.parts]
+        if f.kind in ("not", "and", "or", "implies"):
+            return {"not": lambda: -p[0], "and": lambda: np.minimum(*p), "or": lambda: np.maximum(*p), "implies": lambda: np.maximum(-p[0], p[1])}[f.kind]()
+        n, low, high = len(self.u), round(f.low / self.step), round(min(f.high / self.step, 10 * len(self.u)))
+        out = []
+        for i in range(n):
+            if f.kind in ("until", "since"):
+                back = f.kind == "since"
+                phi, psi = (v[: i + 1][::-1] if back else v[i:] for v in p)
+                way = np.minimum.accumulate(np.append(INF, phi))[: len(psi)]
+                out.append(np.minimum(psi, way)[low : high + 1].max(initial=-INF))
+                continue
+            a, b = (i + low, i + high) if f.kind in ("always", "eventually") else (i - high, i - low)
+            part = p[0][min(max(a, 0), n - 1) : min(max(b, 0), n - 1) + 1]
+            out.append(part.min() if f.kind in ("always", "historically") else part.max())
+        return np.array(out)
+
+
+def dense_cases():
+    x, y = atom(m.gt("x", 0.25)), atom(m.lt(m.signal("y") * 2 - m.signal("x") / 4, 1))
+    z = atom(m.eq("x", 0.5))
+    return x, y, z, {
+        "nested": x.eventually(0.5, 1.5).always(0, 3), "past": y.historically(0, 2).once(0.25, 1.75), "until": x.until(y, 0, 2), "late": (x | y).until(y, 0.75, 2.5), "ever": y.until(x),
+        "since": y.since(x, 0, 2.25), "far": x.since(y, 1.5), "equal": z.eventually(0, 2), "not_equal": atom(m.ne("x", 0.5)).always(0, 1), "junction": (x & y | ~z).always(0.5, 2), "implies": (x >> y).historically(1, 4),
+        "open": x.always(), "behind": y.once(), "deep": ((x & y).eventually(0, 1) | z).always(0, 2).once(0, 1),
+    }
+
+
+@pytest.mark.parametrize("name", "nested past late ever since equal junction open deep".split())
+def test_dense_against_a_fine_grid(spark, name):
+    from sparktl.operators import dense
+
+    r = random.Random(7)
+    times = [round(k + r.uniform(0, 0.5), 1) for k in range(9)]
+    xs, ys = ([r.uniform(-3, 3) for _ in times] for _ in "xy")
+    x, y, z, cases = dense_cases()
+    leaf = {id(x): lambda v: v["x"] - 0.25, id(y): lambda v: 1 - (2 * v["y"] - v["x"] / 4), id(z): lambda v: -abs(v["x"] - 0.5)}
+    f = cases[name]
+    for a in f.atoms():
+        leaf.setdefault(id(a), lambda v: abs(v["x"] - 0.5))
+    fine = Fine(times, {"x": xs, "y": ys})
+    want = fine.of(f, leaf)
+    at = [int(round((t - times[0]) / fine.step)) for t in times]
+    df = trace(spark, times, x=xs, y=ys)
+    rows = df.unionByName(df.withColumn("s", F.lit(None).cast("int")))
+    out = dense.robustness(rows, f, ["s"])
+    for s in ("s = 1", "s IS NULL"):
+        assert values(out.filter(s)) == pytest.approx([want[k] for k in at], abs=0.06)
+    if "until" not in str(f.kind) and "since" not in str(f.kind):  # between the samples too
+        bends = dense.signal(df, f, ["s"]).orderBy("t").collect()
+        line = np.interp(fine.u, [b["t"] for b in bends], [b["rho"] for b in bends])
+        assert np.abs(line - want).max() < 0.08
+
+
+def test_dense_edges(spark):
+    from sparktl.operators import dense
+
+    x, y = atom(m.gt("x", 0)), atom(m.gt("y", 0))
+    # Published results
+    assert values(dense.robustness(trace(spark, [0, 1, 2], x=[1, 1, -3]), x.always(0, 1.5), ["s"]))[0] == -1
+    assert values(dense.robustness(trace(spark, [0, 2], x=[1, -1]), atom(m.eq("x", 0)).eventually(0, 2), ["s"]))[0] == 0
+    assert values(dense.robustness(trace(spark, [0, 1, 2], x=[10] * 3, y=[-2, 0, 2]), x.until(y, 0, 2), ["s"]))[0] == 2
+    assert values(dense.robustness(trace(spark, [0, 1, 2], x=[10, -5, 10], y=[2] * 3), x.until(y, 1, 2), ["s"]))[0] == -5
+    assert values(dense.robustness(trace(spark, [0, 1, 2], x=[10] * 3, y=[2, 0, -2]), x.since(y, 0, 2), ["s"]))[2] == 2
+    # a window past the last sample has its value, a witness past it does not exist
+    assert values(dense.robustness(trace(spark, [0, 1], x=[1, 2]), x.always(5, 6), ["s"])) == [2, 2]
+    assert values(dense.robustness(trace(spark, [0, 1], x=[1, 2]), x.until(x, 5, 6), ["s"])) == [-INF, -INF]
+    # next to an infinity the value before holds
+    assert values(dense.robustness(trace(spark, [0, 1, 2], x=[1, INF, 3]), x.always(0.5, 0.5), ["s"])) == [1, INF, 3]
+    assert values(dense.robustness(trace(spark, [3], x=[2]), x.eventually(0, 1).always(0, 1), ["s"])) == [2]
+    assert values(dense.robustness(trace(spark, [], x=[]), x.until(x, 0, 1), ["s"])) == []
+
+
+def test_dense_takes_linear_margins_only(spark):
+    from sparktl.operators import dense
+
+    df = trace(spark, [0, 1], x=[1, 2], y=[1, 2])
+    sx, sy = m.signal("x"), m.signal("y")
+    for bad in (sx * sx, sx * sy, 1 / sx, m.absolute(sx) - 1, sx % 2, F.col("x") * F.col("x"), m.exp(sx)):
+        with pytest.raises(ValueError, match="linear"):
+            dense.window(df, bad, "always", 0, 1, ["s"])
+        with pytest.raises(ValueError, match="linear"):
+            dense.robustness(df, atom(m.gt(bad, 0)), ["s"])
+    for good in (sx * 2 + sy / 4 - 1, m.gt(3 * sx, sy), m.sqrt(m.Term(F.lit(4.0))) * sx, F.col("x"), "y", -sx):
+        assert dense.window(df, good, "always", 0, 1, ["s"]).count() == 2
+    with pytest.raises(ValueError, match="next"):
+        dense.robustness(df, atom(m.gt("x", 0)).next(), ["s"])
+
+
+def test_signals_are_named_before_any_job(spark):
+    f = atom(m.gt("x", 0)).until(atom(m.lt(m.signal("speed") + m.ln(m.signal("y")), "z")))
+    assert f.variables() == {"x", "speed", "y", "z"} and len(f.atoms()) == 2
+    df = trace(spark, [0, 1], x=[1, 2], y=[1, 2])
+    for call in (lambda: temporal.robustness(df, f, ["s"]), lambda: temporal.at_start(df, f, ["s"])):
+        with pytest.raises(ValueError, match="no such signal: speed, z"):
+            call()
+    with pytest.raises(ValueError, match="does not tell"):
+        atom(F.col("x") - 1).variables()
+    terms = m.gt(m.signal("x") * 2 + 1, "y")
+    assert df.select(terms.column.alias("v")).first()["v"] == 2 and terms.signals == {"x", "y"} and terms.degree == 1 and m.power(terms, 2).degree is None
