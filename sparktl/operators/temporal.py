@@ -261,61 +261,123 @@ def bounded(f: Formula) -> bool:
 
 
 def splits(f: Formula) -> bool:
-    """Whether a series can be split into chunks of time for the formula."""
-    return bounded(f) or (f.kind in (*UNARY, "until", "since") and (f.low, f.high) == (0, INF) and all(map(bounded, f.parts)))
+    """Whether a series can be split into chunks of time for the formula: all but next can."""
+    return f.kind != "next" and all(map(splits, f.parts))
 
 
-def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, time: str = "t", name: str = "rho") -> DataFrame:
-    """robustness() by chunks of any formula that splits(), an unbounded operator at the top included.
+class Split:
+    """A formula over series in chunks of time: bounded parts by the rows that they reach, operators without an end by what chunks add up to.
 
-    Below such an operator each chunk is evaluated by itself and summed up in one row; a pass over these rows finds what the
-    chunks beyond add, and a join gives it to the samples. Only the summaries of a series meet in one task.
+    An operator without an end is evaluated in each chunk by itself and summed up in one row a chunk; a pass over these
+    rows finds what the chunks beyond add, and a join gives it to the samples. Only the summaries of a series meet in one task.
     """
-    if bounded(f):
-        return robustness(trace, f, series, time, name, chunk)
-    if not splits(f):
-        raise ValueError("chunks need bounded parts below at most one unbounded operator that looks from 0 on")
-    t, keys = F.col(time), [*series, "_chunk"]
-    own = F.floor(t / chunk)
-    ahead, binary = f.kind in ("always", "eventually", "until"), f.kind in ("until", "since")
-    parts = [f"_part{k}" for k in range(len(f.parts))]
-    values = trace
-    for part, column in zip(f.parts, parts):
-        values = robustness(values, part, series, time, column, chunk if part.has_temporal() else None)
-    beyond = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
-    order = Window.partitionBy(*series).orderBy("_chunk")
-    if binary:
-        counts = trace.groupBy(*series, own.alias("_chunk")).count().groupBy(*series).agg(F.max("count").alias("rows"), F.count(F.lit(1)).alias("chunks"))
+
+    def __init__(self, trace: DataFrame, f: Formula, series: list[str], chunk: float, time: str = "t"):
+        self.df, self.trace, self.series, self.chunk, self.time = trace, trace, series, chunk, time
+        self.samples = crowds(trace, widths(f), series, time)
+        self.made = 0
+
+    def name(self) -> str:
+        self.made += 1
+        return f"_s{self.made}"
+
+    def block(self, at: Column) -> Column:
+        return F.floor(at / self.chunk)
+
+    def of(self, f: Formula) -> str:
+        """Adds the column of f and gives its name."""
+        whole = not f.has_temporal()
+        if not bounded(f):
+            f = Formula(f.kind, tuple(Formula("atom", margin=F.col(self.of(p))) for p in f.parts), None, f.low, f.high)
+            whole = f.kind in ("not", "and", "or", "implies")
+            if f.high == INF and not whole:
+                return self.chained(f) if f.kind in ("until", "since") else self.reached(f)
+        name = self.name()
+        self.df = robustness(self.df, f, self.series, self.time, name, None if whole else self.chunk, samples=self.samples)
+        return name
+
+    def reached(self, f: Formula) -> str:
+        ahead, least = f.kind in ("always", "eventually"), f.kind in ("always", "historically")
+        pick, both, empty = ("min", F.least, INF) if least else ("max", F.greatest, -INF)
+        edge = F.col(self.time) + F.lit(f.low - SLACK if ahead else SLACK - f.low)
+        return self.read(f.parts[0].margin, edge, ahead, pick, both, empty)
+
+    def read(self, x: Column, edge: Column, ahead: bool, pick: str, both: Callable[..., Column], empty: float) -> str:
+        """pick of x over the samples from the edge on (ahead) or up to it: in the edge's chunk, and of the chunks beyond.
+
+        Each row is there twice, as a sample at its own time and as a question at its edge.
+        """
+        name, t, asks = self.name(), F.col(self.time), F.col("_asks")
+        rows = self.df.withColumn("_value", F.when(~F.isnan(x), x)).withColumn("_asks", F.explode(F.array(F.lit(False), F.lit(True))))
+        rows = rows.withColumns({"_at": F.when(asks, edge).otherwise(t), "_value": F.when(~asks, F.col("_value"))}).withColumn("_chunk", self.block(F.col("_at")))
+        keys = [*self.series, "_chunk"]
+        # a first value is that of the nearest sample: the last one on the way from the far end to the edge
+        call = {"first": lambda c: F.last(c, ignorenulls=True), "min": F.min, "max": F.max}[pick]
+        along = Window.partitionBy(*keys).orderBy(F.col("_at").desc() if ahead else F.col("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        nearest = F.when(F.col("_value").isNotNull(), F.struct(F.col("_at") if ahead else -F.col("_at"), "_value"))
+        sums = rows.groupBy(*keys).agg((F.min(nearest)["_value"] if pick == "first" else call("_value")).alias("_sum"))
+        beyond = Window.partitionBy(*self.series).orderBy(F.col("_chunk").desc() if ahead else F.col("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = sums.withColumn("_carry", call("_sum").over(beyond))
+        here = rows.withColumn("_reached", call("_value").over(along)).filter("_asks")
+        value = F.coalesce(both(F.col("_reached"), F.col("_carry")), F.lit(empty))
+        self.df = joined(here, carried, keys, "_carry").select(*self.df.columns, value.alias(name))
+        return name
+
+    def chained(self, f: Formula) -> str:
+        """until or since: first as from 0 on, then read at the window's edge and bounded by phi on the way there."""
+        ahead, phi, psi, name = f.kind == "until", self.name(), self.name(), self.name()
+        clean = operands(f, *[p.margin for p in f.parts])
+        self.df = self.df.withColumns({phi: clean[0], psi: clean[1]})
+        self.scanned(ahead, phi, psi, name)
+        if f.low == 0:
+            return name
+        first = self.read(F.col(name), F.col(self.time) + F.lit(f.low - SLACK if ahead else SLACK - f.low), ahead, "first", F.coalesce, -INF)
+        # on the way: from the sample itself to just before the edge
+        way, short = self.name(), max(0.0, math.nextafter(f.low - SLACK, -INF) - SLACK)
+        passed = Formula("always" if ahead else "historically", (Formula("atom", margin=F.col(phi)),), None, 0.0, short)
+        self.df = robustness(self.df, passed, self.series, self.time, way, self.chunk, samples=self.samples | crowds(self.trace, widths(passed), self.series, self.time))
+        out = self.name()
+        self.df = self.df.withColumn(out, F.least(first, way))
+        return out
+
+    def scanned(self, ahead: bool, phi: str, psi: str, name: str) -> None:
+        counts = self.trace.groupBy(*self.series, self.block(F.col(self.time)).alias("_chunk")).count().groupBy(*self.series).agg(F.max("count").alias("rows"), F.count(F.lit(1)).alias("chunks"))
         rows, chunks = (x or 0 for x in counts.agg(F.max("rows"), F.max("chunks")).first())
-        values = values.withColumns(dict(zip(parts, operands(f, *map(F.col, parts))))).withColumn("_chunk", own)
-        inner = Lowering(values, keys, time, rows)
-        reached, way = inner.scan(parts[0], parts[1], ahead), inner.add(inner.over(f"min(`{parts[0]}`)", "UNBOUNDED PRECEDING AND CURRENT ROW", ahead))
+        keys = [*self.series, "_chunk"]
+        values = self.df.withColumn("_chunk", self.block(F.col(self.time)))
+        inner = Lowering(values, keys, self.time, rows)
+        reached, way = inner.scan(phi, psi, ahead), inner.add(inner.over(f"min(`{phi}`)", "UNBOUNDED PRECEDING AND CURRENT ROW", ahead))
         # a chunk seen from its edge needs no scan: the best psi that phi reaches from there
-        inward = Window.partitionBy(*keys).orderBy(F.col(time) if ahead else F.col(time).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        seen = values.withColumn("_way", F.min(parts[0]).over(inward))
-        sums = seen.groupBy(*keys).agg(F.max(F.least(parts[1], "_way")).alias("_p"), F.min(parts[0]).alias("_q"))
-        outer = Lowering(sums, series, "_chunk", chunks)
+        inward = Window.partitionBy(*keys).orderBy(F.col(self.time) if ahead else F.col(self.time).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        seen = values.withColumn("_way", F.min(phi).over(inward))
+        sums = seen.groupBy(*keys).agg(F.max(F.least(psi, "_way")).alias("_p"), F.min(phi).alias("_q"))
+        outer = Lowering(sums, self.series, "_chunk", chunks)
         total = outer.scan("_q", "_p", ahead)
-        carried = outer.df.withColumn("_carry", (F.lead if ahead else F.lag)(total).over(order))
+        carried = outer.df.withColumn("_carry", (F.lead if ahead else F.lag)(total).over(Window.partitionBy(*self.series).orderBy("_chunk")))
         value = F.when(F.col("_carry").isNull(), F.col(reached)).otherwise(F.greatest(F.col(reached), F.least(way, "_carry")))
-    else:
-        least = f.kind in ("always", "historically")
-        pick, both, empty = ("min", F.least, INF) if least else ("max", F.greatest, -INF)
-        near = F.explode(F.sequence(F.floor((t - 2 * SLACK) / chunk), F.floor((t + 2 * SLACK) / chunk)))
-        inner = Lowering(values.withColumn("_chunk", near), keys, time)
-        reached = inner.add((inner.future if ahead else inner.past)(pick, parts[0], 0.0, INF))
-        inner.df = inner.df.filter(own == F.col("_chunk"))
-        sums = values.withColumn("_chunk", own).groupBy(*keys).agg(F.expr(f"{pick}({Lowering.plain(parts[0])})").alias("_sum"))
-        carried = sums.withColumn("_carry", F.expr(f"{pick}(_sum)").over(order.rowsBetween(*beyond)))
-        value = F.coalesce(both(F.col(reached), F.col("_carry")), F.lit(empty))
-    sides = carried.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_carry")
+        self.df = joined(inner.df, carried, keys, "_carry").select(*self.df.columns, value.alias(name))
+
+
+def joined(rows: DataFrame, sides: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """rows with a column of sides, which has a row for each of their keys, nulls among them."""
+    sides = sides.select(*[F.col(k).alias(f"_of_{k}") for k in keys], column)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return inner.df.join(sides, same, "left").select(*trace.columns, value.alias(name))
+    return rows.join(sides, same, "left")
+
+
+def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, time: str = "t", name: str = "rho") -> DataFrame:
+    """robustness() by chunks of any formula that splits(), operators without an end included, wherever they are."""
+    if not splits(f):
+        raise ValueError("next does not split into chunks")
+    f.expect(trace.columns)
+    work = Split(trace, f, series, chunk, time)
+    column = work.of(f)
+    return work.df.select(*trace.columns, F.col(column).alias(name))
 
 
-def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho", chunk: float | None = None, rows: int | None = None, lowering: Callable[..., Lowering] = Lowering) -> DataFrame:
+def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho", chunk: float | None = None, rows: int | None = None, lowering: Callable[..., Lowering] = Lowering, samples: dict[float, float] | None = None) -> DataFrame:
     """trace with the formula's robustness at every sample.
 
     chunk: length in time of the chunks to split each series into; every chunk also gets the rows that
@@ -323,14 +385,14 @@ def robustness(trace: DataFrame, formula: Formula, series: list[str], time: str
     in_chunks() takes more.
     """
     if chunk is None:
-        return bank(trace, {name: formula}, series, time, rows, lowering)
+        return bank(trace, {name: formula}, series, time, rows, lowering, samples)
     ahead, back = formula.horizon() + SLACK, formula.memory() + SLACK
     if INF in (ahead, back):
         raise ValueError("chunks need a formula that looks a bounded way ahead and back")
     t = F.col(time)
     first, last = F.floor((t - ahead) / chunk), F.floor((t + back) / chunk)
     spread = trace.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    out = bank(spread, {name: formula}, [*series, "_chunk"], time, rows, lowering, crowds(trace, widths(formula), series, time))
+    out = bank(spread, {name: formula}, [*series, "_chunk"], time, rows, lowering, crowds(trace, widths(formula), series, time) if samples is None else samples)
     return out.filter(F.floor(t / chunk) == F.col("_chunk")).drop("_chunk")
 
 

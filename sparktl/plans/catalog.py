@@ -141,7 +141,10 @@ def pairwise(low: float, high: float, forward: bool) -> str:
   GROUP BY i.user_id, i.event_id, i.t"""
 
 
-for _name, _low, _high in (("unbounded", 0, INF), ("bounded", 0, 2 * DAY), ("offset", HOUR, 3 * DAY)):
+OPEN = frame("1e-9::DOUBLE PRECEDING", "UNBOUNDED FOLLOWING")
+register("always_eventually_unbounded", lambda: high_value().eventually().always(), nested("max", OPEN, "-inf", "min", OPEN, "inf", "value - 100"))
+
+for _name, _low, _high in (("unbounded", 0, INF), ("late", DAY, INF), ("bounded", 0, 2 * DAY), ("offset", HOUR, 3 * DAY)):
     register(f"until_{_name}", lambda a=_low, b=_high: low_value().until(high_value(), a, b), pairwise(_low, _high, True))
     register(f"since_{_name}", lambda a=_low, b=_high: low_value().since(high_value(), a, b), pairwise(_low, _high, False))
 

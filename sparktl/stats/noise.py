@@ -7,6 +7,7 @@ repeat every draw.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -21,6 +22,35 @@ def uniform(*key: Column | str | int) -> Column:
     return (F.conv(hashed, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
+# Numerators and denominators of the rational approximations of the normal quantile (Wichura 1988,
+# algorithm AS 241), lowest power first: near the middle, in the tails, and far out in them.
+QUANTILE = (
+    ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+     (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3)),
+    ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+     (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+     (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+)
+
+
+def quantile(p: Column) -> Column:
+    """The standard normal quantile of probabilities in (0, 1), to a double's precision."""
+
+    def ratio(k: int, x: Column) -> Column:
+        top, bottom = (functools.reduce(lambda sofar, c: sofar * x + c, reversed(cs), F.lit(0.0)) for cs in QUANTILE[k])
+        return top / bottom
+
+    q = p - 0.5
+    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    tail = F.signum(q) * F.when(r <= 5, ratio(1, r - 1.6)).otherwise(ratio(2, r - 5))
+    return F.when(F.abs(q) <= 0.425, q * ratio(0, 0.180625 - q * q)).otherwise(tail)
+
+
+def normal_cdf(x: float) -> float:
+    return math.erfc(-x / math.sqrt(2)) / 2
+
+
 def shares(family: str, p: tuple[float, ...]) -> list[float]:
     """Probabilities of 0, 1, ... of a counting family: all of them, or up to a tail below 1e-15."""
     if family == "binomial":
@@ -36,7 +66,7 @@ class Noise:
     """draw(u1, u2) gives the noise from two independent uniforms; additive, or a factor.
 
     mixture: weight, mean, deviation of each normal part in turn. student: degrees of freedom, place, scale.
-    gamma: shape, scale. beta: two shapes. poisson: rate. binomial: trials, probability; a table of at most MOST_COUNTS counts is looked up.
+    gamma: shape, scale. beta: two shapes. truncated: mean and deviation of a normal, and the two ends it is kept within. poisson: rate. binomial: trials, probability; a table of at most MOST_COUNTS counts is looked up.
     """
 
     MOST_COUNTS = 4096
@@ -86,6 +116,26 @@ class Noise:
         x, y = self.squeezed(self.params[0], u, v, "x"), self.squeezed(self.params[1], u, v, "y")
         return x / (x + y)
 
+    def standard(self) -> tuple[float, float, float, float]:
+        """Of a truncated normal: its ends in deviations, the density at both ends, each over the share between them."""
+        mean, deviation, low, high = self.params
+        if not (low < high and deviation > 0):
+            raise ValueError(f"not a truncated normal: {self.params}")
+        a, b = (low - mean) / deviation, (high - mean) / deviation
+        # the same share, from the side on which the tails are small
+        share = normal_cdf(b) - normal_cdf(a) if a <= 0 else normal_cdf(-a) - normal_cdf(-b)
+        density = lambda x: math.exp(-x * x / 2) / math.sqrt(2 * math.pi) / share if math.isfinite(x) else 0.0
+        return a, b, density(a), density(b)
+
+    def between(self, u: Column) -> Column:
+        """A normal kept within two ends, by its quantile; above the mean it is mirrored, where tails keep their digits."""
+        mean, deviation, low, high = self.params
+        a, b, _, _ = self.standard()
+        side = 1.0 if a <= 0 else -1.0
+        start, end = (normal_cdf(a), normal_cdf(b)) if a <= 0 else (normal_cdf(-a), normal_cdf(-b))
+        p = F.least(F.greatest(F.lit(start) + u * F.lit(end - start), F.lit(2.0**-1022)), F.lit(1 - 2.0**-53))
+        return F.least(F.greatest(F.lit(mean) + quantile(p) * F.lit(side * deviation), F.lit(low)), F.lit(high))
+
     def draw(self, u: Column, v: Column) -> Column:
         p = [float(x) for x in self.params]
         normal = F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * math.pi) * v)
@@ -104,6 +154,7 @@ class Noise:
             "mixture": lambda: self.mixed(u, v),
             "gamma": lambda: F.lit(p[1]) * self.squeezed(p[0], u, v, "x"),
             "beta": lambda: self.shared(u, v),
+            "truncated": lambda: self.between(u),
             "poisson": lambda: self.counted(u),
             "binomial": lambda: self.counted(u),
         }
@@ -116,6 +167,9 @@ class Noise:
 
     def mean(self) -> float | None:
         p = self.params
+        if self.family == "truncated":
+            _, _, low, high = self.standard()
+            return p[0] + p[1] * (low - high)
         return {
             "dirac": lambda: p[0], "gaussian": lambda: p[0], "uniform": lambda: (p[0] + p[1]) / 2, "lognormal": lambda: math.exp(p[0] + p[1] ** 2 / 2),
             "exponential": lambda: 1 / p[0], "weibull": lambda: p[1] * math.gamma(1 + 1 / p[0]), "rayleigh": lambda: p[0] * math.sqrt(math.pi / 2),
@@ -126,6 +180,10 @@ class Noise:
 
     def variance(self) -> float | None:
         p = self.params
+        if self.family == "truncated":
+            a, b, low, high = self.standard()
+            edges = (a * low if low else 0.0) - (b * high if high else 0.0)
+            return p[1] ** 2 * (1 + edges - (low - high) ** 2)
         return {
             "dirac": lambda: 0.0, "gaussian": lambda: p[1] ** 2, "uniform": lambda: (p[1] - p[0]) ** 2 / 12, "lognormal": lambda: (math.exp(p[1] ** 2) - 1) * math.exp(2 * p[0] + p[1] ** 2),
             "exponential": lambda: 1 / p[0] ** 2, "weibull": lambda: p[1] ** 2 * (math.gamma(1 + 2 / p[0]) - math.gamma(1 + 1 / p[0]) ** 2), "rayleigh": lambda: (2 - math.pi / 2) * p[0] ** 2,

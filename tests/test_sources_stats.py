@@ -173,3 +173,33 @@ def test_cubic(spark):
                     slope = (v[i + 1] - v[i]) / h[i] - h[i] * (m[i + 1] + 2 * m[i]) / 3
                     want = v[i] + slope * x + m[i] * x**2 + (m[i + 1] - m[i]) / (3 * h[i]) * x**3
                 assert got == pytest.approx(want, rel=1e-8, abs=1e-8)
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from sparktl.stats.noise import quantile
+
+    ps = [1e-300, 1e-20, 1e-9, 0.01, 0.07, 0.075, 0.3, 0.5, 0.92, 0.925, 0.99, 1 - 1e-12]
+    got = [r["q"] for r in spark.createDataFrame([(k, p) for k, p in enumerate(ps)], "k int, p double").select("k", quantile(F.col("p")).alias("q")).orderBy("k").collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-14, abs=1e-14)
+
+
+@pytest.mark.parametrize("params", [(1.0, 2.0, -0.5, 3.0), (0.0, 1.0, 4.0, 9.0), (0.0, 1.0, -30.0, -8.0), (5.0, 2.0, float("-inf"), float("inf")), (0.0, 1.0, 0.5, float("inf"))])
+def test_truncated_normal(spark, params):
+    from sparktl.stats.noise import Noise, uniform
+
+    noise, n = Noise("truncated", params), 40_000
+    draw = noise.draw(uniform("s", F.col("id"), 0), uniform("s", F.col("id"), 1))
+    row = spark.range(n).select(draw.alias("x")).agg(F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).first()
+    assert row["n"] == n and params[2] <= row["low"] and row["high"] <= params[3]
+    assert row["mean"] == pytest.approx(noise.mean(), abs=5 * (noise.variance() / n) ** 0.5)
+    assert row["variance"] == pytest.approx(noise.variance(), rel=0.06)
+
+
+def test_truncated_normal_is_refused(spark):
+    from sparktl.stats.noise import Noise
+
+    for params in ((0.0, 1.0, 2.0, 2.0), (0.0, 0.0, -1.0, 1.0)):
+        with pytest.raises(ValueError):
+            Noise("truncated", params).mean()

@@ -217,10 +217,31 @@ def test_unbounded_in_chunks(spark, kind):
     assert len(got) == len(rows) and got == want
 
 
-def test_only_the_top_splits(spark):
-    assert temporal.splits(X().always()) and not temporal.splits(X().always(1)) and not temporal.splits(X().always() & Y())
+ANYWHERE = {
+    "always_eventually": lambda x, y: x.eventually().always(),
+    "late_past": lambda x, y: x.once(5),
+    "late_future": lambda x, y: x.always(3) & y.eventually(2.5),
+    "below_a_window": lambda x, y: (x.historically(1) | y).eventually(0, 6),
+    "late_until": lambda x, y: x.until(y, 4),
+    "late_since": lambda x, y: x.since(y, 2.5) >> y.until(x),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ANYWHERE))
+def test_unbounded_anywhere_in_chunks(spark, name):
+    r = random.Random(12)
+    rows = [(s, k + r.uniform(0, 0.9), r.uniform(-5, 5) if r.random() < 0.95 else math.nan, r.uniform(-5, 5)) for s in (1, 2, None) for k in range(60) if r.random() < 0.8 and not (s == 2 and 15 < k < 45)]
+    df = spark.createDataFrame(rows, "s int, t double, x double, y double")
+    f = ANYWHERE[name](X(), Y())
+    got = {(v["s"], v["t"]): v["rho"] for v in temporal.in_chunks(df, f, ["s"], 7.0).collect()}
+    want = {(v["s"], v["t"]): v["rho"] for v in temporal.robustness(df, f, ["s"]).collect()}
+    assert len(got) == len(rows) and got == want
+
+
+def test_next_does_not_split(spark):
+    assert temporal.splits(X().always()) and temporal.splits(X().always(1) & Y()) and not temporal.splits(X().next().always())
     with pytest.raises(ValueError):
-        temporal.in_chunks(trace(spark, [0, 1], x=[1, 2]), X().always(1), ["s"], 5.0)
+        temporal.in_chunks(trace(spark, [0, 1], x=[1, 2]), X().next(), ["s"], 5.0)
 
 
 def test_dense_junctions(spark):
