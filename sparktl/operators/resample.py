@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,12 +49,13 @@ def bent(trace: DataFrame, series: list[str], signals: list[str], time: str, run
     return kept.select(*series, time, *[F.when(F.col("_k") == k, F.col(x)).alias(n) for k, s in enumerate(signals) for x, n in (("_v", s), ("_m", f"_m_{s}"))])
 
 
-def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list[str], time: str = "t", method: str = "linear", carry: tuple[str, ...] = ()) -> DataFrame:
+def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list[str], time: str = "t", method: str = "linear", carry: tuple[str, ...] = (), chunk: float | None = None) -> DataFrame:
     """The signals at the grid's times (series and t columns), by "linear" or natural "cubic" interpolation or sample and "hold".
 
     Grid rows and samples share one sorted window, so there is one shuffle and no join. Outside the
     samples the nearest end is held; before the first sample "hold" gives the first. Null samples are
     passed over (cubic: NaN too); a series without samples gives nulls, one sample a constant. carry: columns of the grid to keep.
+    chunk: the length of chunks of time that a series is split into; what lies before and after each is joined from one row a chunk.
     """
     if method not in ("linear", "hold", "cubic"):
         raise ValueError(f"no such method: {method}")
@@ -60,14 +63,17 @@ def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list
     samples = (bent(trace, series, signals, time) if bends else trace).select(*series, time, *signals, *bends, *[F.lit(None).cast(grid.schema[c].dataType).alias(f"_c_{c}") for c in carry], F.lit(False).alias("_grid"))
     wanted = grid.select(*series, time, *[F.lit(None).cast("double").alias(s) for s in [*signals, *bends]], *[F.col(c).alias(f"_c_{c}") for c in carry], F.lit(True).alias("_grid"))
     rows = samples.unionByName(wanted)
-    order = Window.partitionBy(*series).orderBy(time)
+    keys = [*series, "_chunk"] if chunk else series
+    rows = rows.withColumn("_chunk", F.floor(F.col(time) / chunk)) if chunk else rows
     # range frames hold samples at the grid's own time on both sides
-    before, after = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*series).orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = (Window.partitionBy(*keys).orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow) for t in (F.col(time), F.col(time).desc()))
     out = rows
     for s in signals:
         point = F.when(F.col(s).isNotNull(), F.struct(F.col(time).alias("t"), F.col(s).cast("double").alias("v"), *[F.col(f"_m_{s}").alias("m")] * bool(bends)))
         out = out.withColumn(f"_{s}", point)
         out = out.withColumns({f"_p_{s}": F.last(f"_{s}", ignorenulls=True).over(before), f"_n_{s}": F.last(f"_{s}", ignorenulls=True).over(after)})
+    if chunk:
+        out = _beyond(out, series, signals, time)
     values = []
     for s in signals:
         p, n = F.col(f"_p_{s}"), F.col(f"_n_{s}")
@@ -85,6 +91,20 @@ def resample(trace: DataFrame, grid: DataFrame, series: list[str], signals: list
     return out.filter("_grid").select(*series, time, *[F.col(f"_c_{c}").alias(c) for c in carry], *values)
 
 
+def _beyond(rows: DataFrame, series: list[str], signals: list[str], time: str) -> DataFrame:
+    """rows of chunks, the nearest samples before and after filled in from the chunks on both sides."""
+    keys = [*series, "_chunk"]
+    back, ahead = (Window.partitionBy(*series).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.col("_chunk"), F.col("_chunk").desc()))
+    at = lambda s, pick: pick(f"_{s}", F.when(F.col(f"_{s}").isNotNull(), F.col(time)))
+    sums = rows.groupBy(*keys).agg(*[at(s, F.max_by).alias(f"_l_{s}") for s in signals], *[at(s, F.min_by).alias(f"_f_{s}") for s in signals])
+    sums = sums.withColumns({f"_l_{s}": F.last(f"_l_{s}", ignorenulls=True).over(back) for s in signals})
+    sums = sums.withColumns({f"_f_{s}": F.last(f"_f_{s}", ignorenulls=True).over(ahead) for s in signals})
+    sums = sums.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    out = rows.join(sums, same, "left")
+    return out.withColumns({f"_p_{s}": F.coalesce(f"_p_{s}", f"_l_{s}") for s in signals} | {f"_n_{s}": F.coalesce(f"_n_{s}", f"_f_{s}") for s in signals})
+
+
 def recent(trace: DataFrame, series: list[str], signal: str, capacity: int, time: str = "t") -> DataFrame:
     """trace with count, mean, variance, deviation, least and greatest of each sample's last ``capacity`` ones."""
     w = Window.partitionBy(*series).orderBy(time).rowsBetween(1 - capacity, 0)

@@ -416,10 +416,25 @@ def at_start(trace: DataFrame, formula: Formula, series: list[str], time: str =
     return out.filter(F.col(time) == F.col("_start")).select(*series, time, name)
 
 
-def violations(signal: DataFrame, series: list[str], time: str = "t", name: str = "rho") -> DataFrame:
-    """Maximal runs of samples with negative robustness: series, start, end and their lowest value."""
-    w = Window.partitionBy(*series).orderBy(time)
-    bad = F.col(name) < 0
-    changed = signal.withColumn("_bad", bad).withColumn("_new", (F.col("_bad") & ~F.coalesce(F.lag("_bad").over(w), F.lit(False))).cast("long"))
-    runs = changed.withColumn("_run", F.sum("_new").over(w)).filter("_bad")
-    return runs.groupBy(*series, "_run").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.min(name).alias("lowest")).drop("_run")
+def violations(signal: DataFrame, series: list[str], time: str = "t", name: str = "rho", chunk: float | None = None) -> DataFrame:
+    """Maximal runs of samples with negative robustness: series, start, end and their lowest value.
+
+    chunk: the length of chunks of time that a series is split into. Runs inside one are settled there; of a series, only
+    those at an edge of a chunk, two at most, and one row for each chunk meet in one task.
+    """
+    keys = [*series, "_chunk"]
+    parts = signal.withColumns({"_chunk": F.floor(F.col(time) / chunk) if chunk else F.lit(0), "_bad": F.coalesce(F.col(name) < 0, F.lit(False))})
+    w = Window.partitionBy(*keys).orderBy(time)
+    before = F.lag("_bad").over(w)
+    marked = parts.withColumns({"_new": (F.col("_bad") & ~F.coalesce(before, F.lit(False))).cast("long"), "_first": before.isNull(), "_last": F.lead("_bad").over(w).isNull()})
+    runs = marked.withColumn("_run", F.sum("_new").over(w)).filter("_bad").groupBy(*keys, "_run").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.min(name).alias("lowest"), F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    if not chunk:
+        return runs.select(*series, "start", "end", "lowest")
+    order = Window.partitionBy(*series).orderBy("_chunk")
+    sums = parts.groupBy(*keys).agg(F.max_by("_bad", time).alias("_ends")).withColumn("_before", F.coalesce(F.lag("_ends").over(order), F.lit(False)))
+    edges = joined(runs.filter("_first OR _last"), sums, keys, "_before")
+    along = Window.partitionBy(*series).orderBy("start")
+    edges = edges.withColumn("_run", F.sum((~(F.col("_first") & F.col("_before"))).cast("long")).over(along))
+    merged = edges.groupBy(*series, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("lowest").alias("lowest"))
+    out = [*series, "start", "end", "lowest"]
+    return runs.filter("NOT (_first OR _last)").select(*out).unionByName(merged.select(*out))

@@ -196,7 +196,7 @@ y AS (SELECT *, rho < 0 AS bad, coalesce(lag(rho < 0) OVER ({P} ORDER BY t), fal
 z AS (SELECT *, sum((bad AND NOT was)::INT) OVER ({P} ORDER BY t) AS run FROM y)
 SELECT user_id, min(t) AS "start", max(t) AS "end", min(rho) AS lowest FROM z WHERE bad GROUP BY user_id, run""")
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.violations(temporal.robustness(events(spark, sf_dir), atom(m.lt("value", 300)).historically(0, DAY), USER), USER)
+    return temporal.violations(temporal.robustness(events(spark, sf_dir), atom(m.lt("value", 300)).historically(0, DAY), USER, chunk=CHUNK), USER, chunk=CHUNK)
 
 
 @query("bank_multi", f"""
@@ -221,7 +221,7 @@ c AS (SELECT b.*, e.t AS t1, e.value AS v1 FROM b ASOF LEFT JOIN ev e ON b.user_
 SELECT user_id, t, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS value FROM c""")
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return rs.resample(ev, grid(ev), USER, ["value"])
+    return rs.resample(ev, grid(ev), USER, ["value"], chunk=CHUNK)
 
 
 @query("resample_hold", f"""
@@ -229,7 +229,7 @@ WITH {EV}, {GRID}, b AS (SELECT g.user_id, g.t, e.value AS v0 FROM g ASOF LEFT J
 SELECT user_id, t, coalesce(v0, first) AS value FROM b JOIN (SELECT user_id, arg_min(value, t) AS first FROM ev GROUP BY user_id) USING (user_id)""")
 def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return rs.resample(ev, grid(ev), USER, ["value"], method="hold")
+    return rs.resample(ev, grid(ev), USER, ["value"], method="hold", chunk=CHUNK)
 
 
 # natural cubic splines: the second derivatives by a sweep forward and one back over each user's samples

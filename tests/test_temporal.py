@@ -528,3 +528,25 @@ def test_signals_are_named_before_any_job(spark):
         atom(F.col("x") - 1).variables()
     terms = m.gt(m.signal("x") * 2 + 1, "y")
     assert df.select(terms.column.alias("v")).first()["v"] == 2 and terms.signals == {"x", "y"} and terms.degree == 1 and m.power(terms, 2).degree is None
+
+
+def test_violations_in_chunks(spark):
+    r = random.Random(13)
+    rows = [(s, k + r.uniform(0, 0.9), r.choice([-1, -1, -1, 1]) * r.uniform(0, 5)) for s in (1, None) for k in range(80) if r.random() < 0.8 and not 30 < k < 45]
+    rows += [(3, float(k), -1.0) for k in range(30)] + [(4, float(k), 1.0) for k in range(30)] + [(5, 2.0, None), (5, 3.0, -2.0)]
+    df = spark.createDataFrame(rows, "s int, t double, rho double")
+    found = lambda **o: sorted(map(str, temporal.violations(df, ["s"], **o).collect()))
+    assert found(chunk=4.0) == found(chunk=1000.0) == found() and len(found()) > 10
+
+
+def test_resampling_in_chunks(spark):
+    from sparktl.operators import resample as rs
+
+    r = random.Random(14)
+    rows = [(s, k + r.uniform(0, 0.9), r.uniform(-5, 5) if r.random() < 0.9 else None, r.choice([INF, 1.0, 2.0])) for s in (1, None) for k in range(60) if r.random() < 0.7 and not 20 < k < 40]
+    df = spark.createDataFrame([*rows, (2, 1.0, None, 4.0)], "s int, t double, x double, y double")
+    grid = spark.createDataFrame([(s, k * 0.75) for s in (1, 2, None) for k in range(-4, 90)], "s int, t double")
+    for method in ("linear", "hold", "cubic"):
+        signals = ["x"] if method == "cubic" else ["x", "y"]
+        whole, parts = (sorted(map(str, rs.resample(df, grid, ["s"], signals, method=method, chunk=c).collect())) for c in (None, 5.0))
+        assert whole == parts and len(whole) == 282
