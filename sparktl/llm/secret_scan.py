@@ -2,9 +2,10 @@
 
 Random strings split into many short tokens. A candidate is a run of SHORT or more characters of
 ``[A-Za-z0-9+/_=-]``; known digests (whole runs of 32, 40, 56, 64, 96 or 128 hexadecimal digits), UUIDs
-and hyphen- or slash-separated identifiers of words and numbers are left out; what is left is a finding
-when it has fewer than MAX_RATIO characters a token. Runs under LONG characters are held to a stricter
-ratio, the strictest where letters and digits are not mixed, as rare words are short runs of letters.
+and hyphen- or slash-separated identifiers of words and numbers are left out, unless the letters of the words are LONG or more
+and themselves split into tokens as no words do; what is left is a finding when it has fewer than MAX_RATIO characters a
+token. Runs under LONG characters are held to a stricter ratio, the strictest where they are letters in the case of a word,
+as rare words are short runs of letters.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; texts
 are scanned whole, however long; repeated rows are scanned one by one; other columns are kept as they
@@ -34,6 +35,8 @@ UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]
 ONLY_HEX = re.compile(r"[0-9a-fA-F]+")
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 MAX_RATIO = 2.0
+#: The share of MAX_RATIO from which the parts of a slug are words.
+WORDS = 0.85
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -49,25 +52,36 @@ def encoding(vocabulary: str):
     return held((vocabulary, "tiktoken"), make)
 
 
-def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, paths or slugs whose parts are words or numbers, and runs of signs alone."""
+def is_identifier(run: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
+    """Digests, UUIDs, paths or slugs whose parts are words (by case, and by their tokens where they are long) or numbers, and runs of signs alone."""
     if UUID.fullmatch(run) or (ONLY_HEX.fullmatch(run) and len(run) in DIGESTS):
         return True
     parts = [p for p in re.split(r"[-/_=+]", run) if p]
-    return len(parts) != 1 and all(p.isalpha() and (p.islower() or p.istitle() or p.isupper()) or p.isdigit() for p in parts)
+    if len(parts) == 1 or not all(p.isdigit() or (p.isalpha() and cased(p)) for p in parts):
+        return False
+    words = [p for p in parts if p.isalpha()]
+    letters = sum(map(len, words))
+    return letters < LONG or letters >= WORDS * max_ratio * sum(len(encoding(vocabulary).encode_ordinary(p)) for p in words)
+
+
+def cased(run: str) -> bool:
+    return run.islower() or run.istitle() or run.isupper()
 
 
 def ratio_limit(run: str, max_ratio: float = MAX_RATIO) -> float:
     """The characters a token that a run must stay under: max_ratio from LONG characters on, less for shorter runs."""
     if len(run) >= LONG:
         return max_ratio
-    if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+    letters = run.isalpha()
+    if letters and not cased(run):
+        return 0.95 * max_ratio
+    if not letters and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
         return 0.9 * max_ratio
     return (0.5 + len(run) / 64) * max_ratio
 
 
 def is_random(run: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
-    if len(run) < SHORT or is_identifier(run):
+    if len(run) < SHORT or is_identifier(run, vocabulary, max_ratio):
         return False
     return len(run) < ratio_limit(run, max_ratio) * len(encoding(vocabulary).encode_ordinary(run))
 
