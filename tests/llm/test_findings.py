@@ -114,3 +114,84 @@ def test_repeated_rows_do_not_push_ids_out(spark):
     assert [i for _, i in top] == [49, 48, 47]
     out = nearest.nearest(df.filter("vec_id < 40"), df.filter("vec_id = 5"), k=20).collect()
     assert [i for _, i in sorted((r["rank"], r["id"]) for r in out)] == [k for k in range(1, 22) if k != 5]
+
+
+def plain_base(text):
+    """The base spans of op2 by a plain scan from left to right, without regular expressions."""
+    names, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower, found, i = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text), [], 0
+    while i < len(text):
+        name = next((n for n in names if lower.startswith(n, i)), None)
+        j = i + len(name or "")
+        ok = name is not None
+        if ok:
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            while text[j : j + 1] == " ":
+                j += 1
+            ok = text[j : j + 1] in (":", "=") and j < len(text)
+        if ok:
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            k = j
+            while k < len(text) and text[k] in value:
+                k += 1
+            ok = k > j
+        if not ok:
+            i += 1
+            continue
+        if k - j >= 6:
+            found.append((i, 0, k))
+        i = k
+    for kind, begin, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            k = i + len(begin)
+            while text.startswith(begin, i) and k < len(text) and text[k] in chars:
+                k += 1
+            if text.startswith(begin, i) and k > i + len(begin):
+                found += [(i, kind, k)] * (k - i >= least)
+                i = k
+            else:
+                i += 1
+    return sorted(found)
+
+
+def test_base_secrets_against_a_plain_scan(spark):
+    import hashlib
+    import random
+
+    from sparktl.llm import secret_scan
+
+    r = random.Random(3)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", ":", "=", " ", "'", '"', "AKIA", "Z9X8", "0f3a", "abc.def", "é", "\n", "-", "K" * 20, "a1" * 13, "ſecret", "x"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    for text in texts:
+        assert [s for s in secret_scan.spans(text) if s[1] < 3] == plain_base(text), text
+    # the query's columns, for repeated rows, null ids and null texts too
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts[:40])] + [(1, texts[1])] * 2 + [(99, None), (100, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    from unittest import mock
+
+    with mock.patch.object(secret_scan, "table", lambda *_: docs):
+        out = secret_scan.op2_secret_scans(spark, "").collect()
+    want = sorted((i, ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in plain_base(t or ""))) for i, t in [((x[0] is not None, x[0] or 0), x[1]) for x in rows])
+    assert sorted(((v["doc_id"] is not None, v["doc_id"] or 0), v["base_sha256"]) for v in out) == sorted((i, hashlib.sha256(s.encode()).hexdigest()) for i, s in want)
+
+
+def test_random_strings_of_letters_and_in_halves():
+    import random
+    import string
+
+    from sparktl.llm import secret_scan
+
+    r = random.Random(1)
+    share = lambda make: sum(secret_scan.is_random(make()) for _ in range(300)) / 300
+    drawn = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    assert share(lambda: drawn(string.ascii_letters, 8)) > 0.85 and share(lambda: drawn(string.ascii_letters, 12)) > 0.95
+    assert share(lambda: drawn(string.ascii_lowercase, 20)) > 0.85 and share(lambda: drawn(string.ascii_lowercase + string.digits, 12)) > 0.85
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert share(lambda: f"{drawn(letters, 12)}-{drawn(letters, 12)}") > 0.4
+    plain = "getUserName XMLHttpRequest MERCHANTABILITY some-long-slug-of-words-2024 understand-recommendation parseHTMLDocument ArrayIndexOutOfBoundsException quick-brown-fox-jumps-over-lazy-dog LICENSE-APACHE-VERSION 2024-11-28".split()
+    assert not [w for w in plain if secret_scan.is_random(w)]
