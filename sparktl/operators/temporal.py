@@ -20,6 +20,7 @@ row a chunk.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,9 @@ SLACK = 1e-9
 #: Windows narrower than this are read sample by sample, whatever they hold: their edges are near a double's step.
 NARROW = 1e-3
 #: Windows with fewer samples than this, as one around a sample has on average, are read sample by sample.
-FEW = 64
+FEW = 160
+#: Samples from which a series is more than one task should sort.
+HEAVY = 1_000_000
 #: A block's share of the window's length: no window lies within a block, however times are rounded.
 SHARE = 0.75
 NAN = "CAST('NaN' AS DOUBLE)"
@@ -224,18 +227,35 @@ def widths(f: Formula) -> set[float]:
     return own.union(*map(widths, f.parts))
 
 
+#: What crowds() found, by the plan that it was asked about; it only ever chooses between plans with one result.
+_known: OrderedDict[tuple, float] = OrderedDict()
+
+
 def crowds(trace: DataFrame, lengths: set[float], series: list[str], time: str = "t") -> dict[float, float]:
     """How many samples a window of each length has around a sample, on average: one pass over keys and times.
 
-    Bursts count as often as they have samples. Where it is known, give it to bank() and spare the pass.
+    Bursts, and for an infinite length long series, count as often as they have samples. Found again without a pass
+    for the same plan; where it is known, give it to bank() and spare the first one.
     """
     if not lengths:
         return {}
-    ordered = sorted(lengths)
-    cell = F.posexplode(F.array(*[F.floor(F.col(time) / w) for w in ordered]))
-    cells = trace.select(*series, cell.alias("_width", "_cell")).groupBy(*series, "_width", "_cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    found = cells.groupBy("_width").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).collect()
-    return {ordered[r["_width"]]: r["crowd"] for r in found}
+    narrow = trace.select(*series, time)
+    plan = narrow.semanticHash()
+    missing = sorted(w for w in lengths if (plan, w) not in _known)
+    if missing:
+        cell = F.posexplode(F.array(*[F.floor(F.col(time) / w) if w < INF else F.lit(0).cast("long") for w in missing]))
+        cells = narrow.select(*series, cell.alias("_width", "_cell")).groupBy(*series, "_width", "_cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        found = {r["_width"]: r["crowd"] for r in cells.groupBy("_width").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).collect()}
+        _known.update({(plan, w): found.get(k, 0.0) for k, w in enumerate(missing)})
+    out = {w: _known[plan, w] for w in lengths}
+    while len(_known) > 1024:
+        _known.popitem(last=False)
+    return out
+
+
+def heavy(trace: DataFrame, series: list[str], time: str = "t") -> bool:
+    """Whether a sample's series has HEAVY samples or more, on average, so that series should be split into chunks."""
+    return crowds(trace, {INF}, series, time)[INF] >= HEAVY
 
 
 def bank(trace: DataFrame, formulas: dict[str, Formula], series: list[str], time: str = "t", rows: int | None = None, lowering: Callable[..., Lowering] = Lowering, samples: dict[float, float] | None = None) -> DataFrame:
@@ -412,7 +432,8 @@ def from_start(trace: DataFrame, series: list[str], time: str = "t", within: flo
 
 def at_start(trace: DataFrame, formula: Formula, series: list[str], time: str = "t", name: str = "rho") -> DataFrame:
     """One row a series: its first time and the robustness there; only the rows within the horizon are evaluated."""
-    out = robustness(from_start(trace, series, time, formula.horizon()), formula, series, time, name)
+    near = from_start(trace, series, time, formula.horizon())
+    out = robustness(near, formula, series, time, name, samples=crowds(trace, widths(formula), series, time))
     return out.filter(F.col(time) == F.col("_start")).select(*series, time, name)
 
 

@@ -50,9 +50,9 @@ def register(name: str, formula: Callable[[], Formula], sql: str, chunk: float |
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = formula()
-        # one user with a third of all events is several tasks where the formula can be split
-        split = f.has_temporal() and temporal.splits(f)
+        # one user with a third of very many events is several tasks where the formula can be split
         ev = events(spark, sf_dir)
+        split = f.has_temporal() and temporal.splits(f) and (chunk or temporal.heavy(ev, USER))
         out = temporal.in_chunks(ev, f, USER, chunk or CHUNK) if split else temporal.robustness(ev, f, USER)
         return out.select("user_id", "event_id", "t", finite("rho").alias("rho"))
 
@@ -149,6 +149,11 @@ for _name, _low, _high in (("unbounded", 0, INF), ("late", DAY, INF), ("bounded"
     register(f"since_{_name}", lambda a=_low, b=_high: low_value().since(high_value(), a, b), pairwise(_low, _high, False))
 
 
+def chunked(ev: DataFrame) -> float | None:
+    """The length of chunks where users have so many events that one is more than a task should sort."""
+    return CHUNK if temporal.heavy(ev, USER) else None
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -196,7 +201,8 @@ y AS (SELECT *, rho < 0 AS bad, coalesce(lag(rho < 0) OVER ({P} ORDER BY t), fal
 z AS (SELECT *, sum((bad AND NOT was)::INT) OVER ({P} ORDER BY t) AS run FROM y)
 SELECT user_id, min(t) AS "start", max(t) AS "end", min(rho) AS lowest FROM z WHERE bad GROUP BY user_id, run""")
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.violations(temporal.robustness(events(spark, sf_dir), atom(m.lt("value", 300)).historically(0, DAY), USER, chunk=CHUNK), USER, chunk=CHUNK)
+    ev = events(spark, sf_dir)
+    return temporal.violations(temporal.robustness(ev, atom(m.lt("value", 300)).historically(0, DAY), USER, chunk=chunked(ev)), USER, chunk=chunked(ev))
 
 
 @query("bank_multi", f"""
@@ -221,7 +227,7 @@ c AS (SELECT b.*, e.t AS t1, e.value AS v1 FROM b ASOF LEFT JOIN ev e ON b.user_
 SELECT user_id, t, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 WHEN t1 = t THEN v1 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS value FROM c""")
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return rs.resample(ev, grid(ev), USER, ["value"], chunk=CHUNK)
+    return rs.resample(ev, grid(ev), USER, ["value"], chunk=chunked(ev))
 
 
 @query("resample_hold", f"""
@@ -229,7 +235,7 @@ WITH {EV}, {GRID}, b AS (SELECT g.user_id, g.t, e.value AS v0 FROM g ASOF LEFT J
 SELECT user_id, t, coalesce(v0, first) AS value FROM b JOIN (SELECT user_id, arg_min(value, t) AS first FROM ev GROUP BY user_id) USING (user_id)""")
 def resample_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return rs.resample(ev, grid(ev), USER, ["value"], method="hold", chunk=CHUNK)
+    return rs.resample(ev, grid(ev), USER, ["value"], method="hold", chunk=chunked(ev))
 
 
 # natural cubic splines: the second derivatives by a sweep forward and one back over each user's samples

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sparktl.operators.formula import Formula
-from sparktl.operators.temporal import from_start, robustness
+from sparktl.operators.temporal import crowds, from_start, robustness, widths
 from sparktl.stats.noise import Noise, lift
 
 
@@ -20,7 +20,7 @@ def realisations(trace: DataFrame, formula: Formula, noise: dict[str, Noise], me
     # the copies of a series start where it does, so its first time is found once, before it is copied
     near = from_start(trace, series, time, formula.horizon())
     lifted = lift(near, noise, members, series, time, seed)
-    out = robustness(lifted, formula, [*series, "member"], time)
+    out = robustness(lifted, formula, [*series, "member"], time, samples=crowds(trace, widths(formula), series, time))
     return out.filter(F.col(time) == F.col("_start")).select(*series, "member", "rho")
 
 
@@ -126,17 +126,17 @@ def bayesian(runs: DataFrame, series: list[str], threshold: float, factor: float
     """Sequential test by the posterior of the probability under a uniform prior, members in order.
 
     Holds once the posterior odds of p >= threshold reach ``factor`` times the prior odds; fails the
-    other way round. Counts run in one window; the posterior is an Arrow function of distinct counts.
+    other way round. Counts run in one window; the posterior is computed once for each distinct pair of them and joined back.
     """
     w = Window.partitionBy(*series).orderBy("member")
 
     @pandas_udf("double")
     def above(k: pd.Series, n: pd.Series) -> pd.Series:
-        pairs = pd.DataFrame({"k": k, "n": n}).drop_duplicates()
-        known = {(a, b): 1 - beta_cdf(threshold, a + 1, b - a + 1) for a, b in pairs.itertuples(index=False)}
-        return pd.Series([known[x] for x in zip(k, n)])
+        return pd.Series([1 - beta_cdf(threshold, a + 1, b - a + 1) for a, b in zip(k, n)])
 
-    steps = runs.withColumns({"_k": F.count_if(F.col("rho") >= 0).over(w), "_n": F.count(F.lit(1)).over(w)}).withColumn("_p", above("_k", "_n"))
+    steps = runs.withColumns({"_k": F.count_if(F.col("rho") >= 0).over(w), "_n": F.count(F.lit(1)).over(w)})
+    known = steps.select("_k", "_n").distinct().withColumn("_p", above("_k", "_n"))
+    steps = steps.join(known, ["_k", "_n"])
     p, theta = F.col("_p"), F.lit(float(threshold))
     verdict = F.when(p * theta >= factor * (1 - p) * (1 - theta), F.lit("holds")).when((1 - p) * (1 - theta) >= factor * p * theta, F.lit("fails"))
     first = steps.withColumn("_v", verdict).groupBy(*series).agg(F.min(F.when(F.col("_v").isNotNull(), F.struct("_n", "_v"))).alias("_x"), F.max("_n").alias("_all"))
