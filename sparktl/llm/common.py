@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -65,9 +66,11 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster shares, spark.checkpoint.dir; where that is unset a temporary one, for local sessions only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -195,3 +195,18 @@ def test_random_strings_of_letters_and_in_halves():
         assert share(lambda: f"{drawn(letters, 12)}-{drawn(letters, 12)}") > 0.4
     plain = "getUserName XMLHttpRequest MERCHANTABILITY some-long-slug-of-words-2024 understand-recommendation parseHTMLDocument ArrayIndexOutOfBoundsException quick-brown-fox-jumps-over-lazy-dog LICENSE-APACHE-VERSION 2024-11-28".split()
     assert not [w for w in plain if secret_scan.is_random(w)]
+
+
+def test_a_cluster_names_its_folder():
+    from types import SimpleNamespace
+
+    from sparktl.llm import common
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+        assert common.shared_dir(session(master, "hdfs:///shared/")) == "hdfs:///shared"
+    assert common.shared_dir(session("local[4]")).startswith("file://")
