@@ -5,7 +5,8 @@ as the temperature grows. ``arithmetic_geometric`` is the geometric mean of posi
 sum of the values that are not positive over the number of all, so its sign tells whether the formula holds.
 
 Give one of them to ``temporal.robustness(..., lowering=)`` or ``temporal.bank``, with chunks or without. Both take
-atoms, junctions, next and the four windows; until and since, whose smooth forms are no window sums, raise.
+all operators. until and since have no form in sums: the mean of phi up to each sample of a window starts at the window's own, so
+each window is folded sample by sample, and their cost grows with the samples in it.
 An empty window is as in ``temporal``, infinite values count as the limit that they are, and NaN is passed over.
 """
 
@@ -18,14 +19,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktl.operators.formula import INF, Formula
-from sparktl.operators.temporal import SLACK, Lowering
+from sparktl.operators.temporal import SLACK, Lowering, operands
+
+
+#: Slack of the edges of smooth until and since.
+CHAIN_SLACK = 1e-12
 
 
 class Smooth(Lowering):
     by_blocks = True
 
     def between(self, f: Formula, phi: str, psi: str) -> Column:
-        raise ValueError(f"{f.kind} has no smooth robustness here")
+        """The mean, over the samples of the window, of psi there and the mean of phi on the way; -Infinity for an empty one."""
+        ahead, t = f.kind == "until", F.col(self.time)
+        p, q = (self.add(c) for c in operands(f, F.col(phi), F.col(psi)))
+        reach = "UNBOUNDED FOLLOWING" if f.high == INF else self.edge(f.high + CHAIN_SLACK, True)
+        near = self.add(self.over(f"collect_list(struct(`{self.time}` AS t, `{p}` AS p, `{q}` AS q))", f"CURRENT ROW AND {reach}", not ahead))
+        edge = t + F.lit(f.low - CHAIN_SLACK) if ahead else t - F.lit(f.low - CHAIN_SLACK)
+        inside = (lambda x: x["t"] >= edge) if ahead else (lambda x: x["t"] <= edge)
+        return F.coalesce(F.aggregate(F.col(near), self.start(), lambda sofar, x: self.step(sofar, x, inside(x)), self.finish), F.lit(-INF))
 
 
 class LogSumExp(Smooth):
@@ -44,6 +56,18 @@ class LogSumExp(Smooth):
         alone = a.isNull() | b.isNull() | (F.abs(near) == INF)
         return F.when(alone, near).otherwise(near - more if pick == "min" else near + more)
 
+    @staticmethod
+    def start() -> Column:
+        return F.struct(F.lit(None).cast("double").alias("way"), F.lit(None).cast("double").alias("best"))
+
+    def step(self, sofar: Column, x: Column, inside: Column) -> Column:
+        best = F.when(inside, self.pair("max", sofar["best"], self.pair("min", x["q"], sofar["way"]))).otherwise(sofar["best"])
+        return F.struct(self.pair("min", sofar["way"], x["p"]).alias("way"), best.alias("best"))
+
+    @staticmethod
+    def finish(sofar: Column) -> Column:
+        return sofar["best"]
+
     def doubled(self, pick: str, x: str, keys: list[str], descending: bool, rows: int) -> Column:
         w = Window.partitionBy(*keys).orderBy(F.col(self.time).desc() if descending else F.col(self.time))
         out, k = self.add(F.expr(self.plain(x))), 1
@@ -107,6 +131,24 @@ class ArithmeticGeometric(Smooth):
         value = F.when(n == 0, F.lit(INF)).when(least > 0, F.exp(logs / n)).otherwise(low / n)
         return value if pick == "min" else -value
 
+    @staticmethod
+    def start() -> Column:
+        none = F.struct(*[F.lit(None).cast("double").alias(c) for c in "ynlw"])
+        return F.struct(none.alias("way"), none.alias("best"))
+
+    def joined(self, sofar: Column, pick: str, x: Column) -> Column:
+        y, *more = self.parts(pick, x)
+        sums = [F.coalesce(sofar[c] + v, sofar[c], v).alias(c) for c, v in zip("nlw", more)]
+        return F.struct(F.least(sofar["y"], y).alias("y"), *sums)
+
+    def step(self, sofar: Column, x: Column, inside: Column) -> Column:
+        way = self.mean("min", *[sofar["way"][c] for c in "ynlw"])
+        best = F.when(inside, self.joined(sofar["best"], "max", self.pair("min", x["q"], way))).otherwise(sofar["best"])
+        return F.struct(self.joined(sofar["way"], "min", x["p"]).alias("way"), best.alias("best"))
+
+    def finish(self, sofar: Column) -> Column:
+        return self.mean("max", *[sofar["best"][c] for c in "ynlw"])
+
     def windowed(self, read: Callable[[str, str], Column], pick: str, x: str) -> Column:
         names = [self.add(p) for p in self.parts(pick, F.col(x))]
         least = self.add(read("least", names[0]))

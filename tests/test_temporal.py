@@ -314,8 +314,6 @@ def test_smooth_limits(spark):
         whole, parts = (values(temporal.robustness(data, f, ["s"], chunk=c, lowering=make)) for c in (None, 6.0))
         assert whole == pytest.approx(parts)
         assert temporal.robustness(data.limit(0), f, ["s"], lowering=make).count() == 0
-        with pytest.raises(ValueError, match="until"):
-            temporal.robustness(data, X().until(X()), ["s"], lowering=make)
     with pytest.raises(ValueError, match="temperature"):
         temporal.robustness(data, f, ["s"], lowering=smooth.log_sum_exp(0))
 
@@ -550,3 +548,27 @@ def test_resampling_in_chunks(spark):
         signals = ["x"] if method == "cubic" else ["x", "y"]
         whole, parts = (sorted(map(str, rs.resample(df, grid, ["s"], signals, method=method, chunk=c).collect())) for c in (None, 5.0))
         assert whole == parts and len(whole) == 282
+
+
+@pytest.mark.parametrize("kind", ["lse", "agm"])
+def test_smooth_until_and_since(spark, kind):
+    r, times, t = random.Random(15), [], 0.0
+    for _ in range(25):
+        t += r.choice([0.25, 1.0, 4.0])
+        times.append(t)
+    xs, ys = ([r.choice([r.uniform(-2, 5), r.uniform(1, 5), INF]) for _ in times] for _ in "xy")
+    data = trace(spark, times, x=xs, y=ys)
+    make = smooth.log_sum_exp(3.0) if kind == "lse" else smooth.arithmetic_geometric()
+    x, y, spans = atom(F.col("x")), atom(F.col("y")), [(0, INF), (1, 6)]
+    out = temporal.bank(data, {f"{k}{i}": getattr(x, k)(y, *span) for i, span in enumerate(spans) for k in ("until", "since")}, ["s"], lowering=make).orderBy("t").collect()
+    for i, (a, b) in enumerate(spans):
+        for k, row in enumerate(out):
+            later = [soft(kind, 3.0, [ys[j], soft(kind, 3.0, xs[k:j], True)], True) for j in range(k, 25) if times[k] + a <= times[j] <= times[k] + b]
+            earlier = [soft(kind, 3.0, [ys[j], soft(kind, 3.0, xs[j + 1 : k + 1], True)], True) for j in range(k, -1, -1) if times[k] - b <= times[j] <= times[k] - a]
+            assert row[f"until{i}"] == pytest.approx(soft(kind, 3.0, later, False), rel=1e-9, abs=1e-9)
+            assert row[f"since{i}"] == pytest.approx(soft(kind, 3.0, earlier, False), rel=1e-9, abs=1e-9)
+    if kind == "lse":  # the hotter, the nearer to the plain one
+        f = x.until(y, 0, 6)
+        finite = trace(spark, times, x=[min(v, 9) for v in xs], y=[min(v, 9) for v in ys])
+        near, hard = (values(temporal.robustness(finite, f, ["s"], **o)) for o in ({"lowering": smooth.log_sum_exp(1e4)}, {}))
+        assert near == pytest.approx(hard, abs=1e-2)
