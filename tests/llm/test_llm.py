@@ -38,12 +38,12 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
-    key = ours.columns[0]
-    ours, theirs = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True) for x in (ours, theirs))
+    order = sorted(ours.columns)
+    ours, theirs = (x[order].sort_values([ours.columns[0], *order]).reset_index(drop=True) for x in (ours, theirs))
     for c in ours.columns:
         a, b = ours[c], theirs[c]
         assert ((a == b) | (a.isna() & b.isna())).all(), c
