@@ -3,10 +3,10 @@
 A word's input has three parts: its evidence (how many standard errors its share of toxic training
 documents is from even, by hashed word), a learned vector of the hashed word (if FAMILIAR documents have it), and the mean of learned
 vectors of its hashed character trigrams. Two recurrent networks read a window of WINDOW words in both
-directions, attention pools their states, and a linear layer gives the window's logit. Windows of a whole
-text are scored in two passes: one starts at every STRIDE-th word, so these overlap by half, then one at
-every word beside the best of them. The text's score is that of its most toxic window, calibrated on the
-training documents.
+directions, attention pools their states, and a linear layer gives the window's logit. A text has a window
+at every word that WINDOW words follow, itself included; a shorter text is one window. All are scored, in
+training as in use, and the text's score is that of its most toxic window, calibrated on the training
+documents.
 
 Labels are of documents, not of windows: windows of toxic documents start as those with the strongest
 evidence and are chosen anew by the network's own scores between rounds. Evidence for one half of the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sparktl.llm.common import table
 from sparktl.llm.language import few_of_each, held_out
 
-WINDOW, STRIDE = 16, 8
+WINDOW = 8
 WORDS, GRAMS = 1 << 15, 1 << 12
 VECTOR, LETTERS, HIDDEN = 4, 4, 8
 PER_CLASS, LONGEST = 800, 1 << 17
@@ -126,6 +126,39 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, states, share, pooled, real, kept) if keep else logit
 
+    def sweep(self, x: list[np.ndarray], ids: np.ndarray, part: int = 2048) -> np.ndarray:
+        """run() of the window at each place of a text (row numbers of x), whose steps are slices of one array."""
+        h, half, out = HIDDEN, np.float32(0.5), np.empty(len(ids) - WINDOW + 1, np.float32)
+        for at in range(0, len(out), part):
+            m = min(part, len(out) - at)
+            score, value = np.zeros((WINDOW, m), np.float32), np.zeros((WINDOW, m), np.float32)
+            for d, (name, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
+                a, u = np.ascontiguousarray(x[d][ids[at : at + m + WINDOW - 1]].T), self.p[f"{name}_state"].T
+                a[: 2 * h] *= half  # a logistic function is a tangent of half its argument
+                gates, state = u[: 2 * h] * half, np.ascontiguousarray(u[2 * h :])
+                query, last = self.p["query"][d * h : d * h + h], self.p["out"][d * h : d * h + h]
+                s = np.zeros((h, m), np.float32)
+                for t in order:
+                    g = gates @ s
+                    g += a[: 2 * h, t : t + m]
+                    np.tanh(g, out=g)
+                    g *= half
+                    g += half
+                    g[h:] *= s
+                    c = state @ g[h:]
+                    c += a[2 * h :, t : t + m]
+                    np.tanh(c, out=c)
+                    c -= s
+                    c *= g[:h]
+                    s += c
+                    value[t] += last @ s
+                    score[t] += query @ np.tanh(s)
+            score -= score.max(0)
+            np.exp(score, out=score)
+            value *= score
+            out[at : at + m] = value.sum(0) / score.sum(0) + self.p["bias"][0]
+        return out
+
     def project(self, inputs: np.ndarray) -> list[np.ndarray]:
         return [np.ascontiguousarray(inputs @ self.p[f"{d}_in"] + self.p[f"{d}_bias"], np.float32) for d in "fb"]
 
@@ -166,11 +199,21 @@ class Network:
         return g, dx, float(loss)
 
 
-def windows(count: int) -> np.ndarray:
-    """(windows, WINDOW) word numbers of a text of count words; -1 past its end."""
-    starts = np.arange(0, max(1, count - STRIDE), STRIDE)
-    at = starts[:, None] + np.arange(WINDOW)
-    return np.where(at < count, at, -1)
+def windows(net: Network, x: list[np.ndarray], flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of every window of texts that follow one another in flat, and where each text's begin."""
+    sizes = np.maximum(counts - WINDOW + 1, 1)
+    long, base = counts >= WINDOW, np.append(0, np.cumsum(counts)[:-1])
+    out, of_long = np.empty(sizes.sum(), np.float32), np.repeat(long, sizes)
+    if long.any():
+        n = counts[long]
+        place = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+        inside = place < np.repeat(sizes[long], n)  # the others reach into the next text
+        out[of_long] = net.sweep(x, flat[np.repeat(long, counts)])[inside[: 1 - WINDOW]]
+    if not long.all():
+        at = np.arange(WINDOW)
+        steps = np.append(flat, -1)[np.where(at < counts[~long, None], base[~long, None] + at, -1)]
+        out[~of_long] = net.run(x, steps)
+    return out, np.append(0, np.cumsum(sizes)[:-1])
 
 
 def evidence_of(docs: list[set[int]], labels: np.ndarray) -> np.ndarray:
@@ -222,15 +265,28 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 5, rate: float | N
     halves = [evidence_of([sets[i] for i in np.flatnonzero(fold != k)], labels[fold != k]) for k in (0, 1)]
     familiar = (np.bincount([b for s in sets for b in s], minlength=WORDS) >= FAMILIAR).astype(np.float32)
     net = Network.new(evidence_of(sets, labels), familiar, seed)
-    grid = [np.where(w >= 0, t[w], -1) if len(t) else np.full((1, WINDOW), -1) for t, w in ((t, windows(len(t))) for t in tokens)]
     counts = np.diff(np.append(starts, len(grams)))
+    lengths = np.array([len(t) for t in tokens])
 
     def strength(i: int) -> np.ndarray:
-        known = halves[fold[i]][bucket] if len(bucket) else np.zeros(0)
-        return np.where(grid[i] >= 0, np.append(known, 0)[grid[i]], -9).max(1)
+        known = np.append(halves[fold[i]][bucket[tokens[i]]] if len(bucket) else [], [-9] * max(0, WINDOW - len(tokens[i])))
+        return np.lib.stride_tricks.sliding_window_view(known, WINDOW).max(1)
+
+    def scores() -> list[np.ndarray]:
+        """Of each text, the logits of its windows, by the evidence of the other half."""
+        out: list = [None] * len(texts)
+        for k in (0, 1):
+            mine = np.flatnonzero(fold == k)
+            if len(mine):
+                x = net.project(net.inputs(names, halves[k])) if names else [np.zeros((1, 3 * HIDDEN), np.float32)] * 2
+                logit, first = windows(net, x, np.concatenate([tokens[i] for i in mine]), lengths[mine])
+                for i, part in zip(mine, np.split(logit, first[1:])):
+                    out[i] = part
+        return out
 
-    def scores(i: int) -> np.ndarray:
-        return net.run(x[fold[i]], grid[i])
+    def steps_of(i: int, chosen: list[int]) -> np.ndarray:
+        at = np.array(chosen)[:, None] + np.arange(WINDOW)
+        return np.append(tokens[i], -1)[np.where(at < lengths[i], at, -1)]
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -245,16 +301,15 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 5, rate: float | N
     while step < STEPS and epoch < MOST_EPOCHS:
         epoch += 1
         own = 3 * step >= STEPS or 3 * epoch >= MOST_EPOCHS
-        if own:
-            x = [net.project(net.inputs(names, e)) for e in halves]
+        own_scores = scores() if own else None
         rows, sides, targets = [], [], []
         for i in range(len(texts)):
-            s = scores(i) if own else strength(i)
+            s = own_scores[i] if own else strength(i)
             if labels[i]:
                 chosen = [int(s.argmax())]
             else:
                 chosen = list({int(s.argmax()), *r.integers(0, len(s), 5).tolist()})
-            rows.append(grid[i][chosen])
+            rows.append(steps_of(i, chosen))
             sides += [fold[i]] * len(chosen)
             targets += [labels[i]] * len(chosen)
         rows, sides, targets = np.concatenate(rows), np.array(sides), np.array(targets)
@@ -284,8 +339,7 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 5, rate: float | N
                 for k in ("word", "gram"):
                     net.p[k] *= 1 - RATE * DECAY
     # calibration: logistic regression on the best window of each training document
-    x = [net.project(net.inputs(names, e)) for e in halves]
-    best = np.array([scores(i).max() for i in range(len(texts))])
+    best = np.array([s.max() for s in scores()])
     a, b, share = 1.0, 0.0, labels.mean()
     weight = np.where(labels == 1, (rate or share) / share, (1 - (rate or share)) / (1 - share))
     for _ in range(50):
@@ -324,9 +378,6 @@ class Scorer:
             x[len(self.number) : end] = m
         self.number.update(zip(new, range(len(self.number), end)))
 
-    def logits(self, steps: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.net.run(self.x, steps[i : i + 8192]) for i in range(0, len(steps), 8192)])
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if len(self.number) > MAX_CACHE:
             self.clear()
@@ -336,28 +387,11 @@ class Scorer:
         except KeyError:
             self.add([w for ws in split for w in ws])
             tokens = [list(map(self.number.__getitem__, ws)) for ws in split]
-        grid = [windows(len(t)) for t in tokens]
-        base = np.append(0, np.cumsum([len(t) for t in tokens]))
-        flat = np.array([k for t in tokens for k in t] + [-1], np.int64)
-        steps = np.concatenate([np.where(w >= 0, w + b, -1) for w, b in zip(grid, base)])
-        steps = flat[steps]
-        logit = self.logits(steps)
-        first = np.append(0, np.cumsum([len(w) for w in grid])[:-1])
-        best = np.maximum.reduceat(logit, first)
-        # every start beside a text's best window, up to the next ones of the coarse pass
         counts = np.array([len(t) for t in tokens])
-        place = np.arange(len(logit)) - np.repeat(first, [len(w) for w in grid])
-        at = np.where(logit == np.repeat(best, [len(w) for w in grid]), place, len(logit))
-        centre = np.minimum.reduceat(at, first) * STRIDE
-        starts = centre[:, None] + np.append(np.arange(1 - STRIDE, 0), np.arange(1, STRIDE))
-        text, k = np.nonzero((starts >= 0) & (starts < np.maximum(counts - 1, 1)[:, None]) & (counts > 1)[:, None])
-        if len(text):
-            w = starts[text, k][:, None] + np.arange(WINDOW)
-            fine = self.logits(flat[np.where(w < counts[text][:, None], w + base[text][:, None], -1)])
-            np.maximum.at(best, text, fine)
+        logit, first = windows(self.net, self.x, np.array([k for t in tokens for k in t], np.int64), counts)
+        best = np.maximum.reduceat(logit, first)
         score = sigmoid(self.net.slope * best + self.net.shift)
-        empty = np.array([not t for t in tokens])
-        return np.where(empty, np.minimum(score, THRESHOLD / 2), score)
+        return np.where(counts == 0, np.minimum(score, THRESHOLD / 2), score)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Network | None:
