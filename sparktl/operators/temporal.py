@@ -12,9 +12,8 @@ every minimum and maximum; where there is nothing else, or gives NaN and a windo
 since it bounds nothing: a NaN psi counts as +Infinity, but in an until without bounds as -Infinity.
 
 ``robustness(..., chunk=...)`` splits long series into chunks of time that carry the rows their windows
-reach into, so one huge series is many tasks; it needs a bounded formula. ``in_chunks`` also takes one unbounded
-operator that looks from 0 on, at the top of bounded ones: its chunks are settled by a second pass over one
-row a chunk.
+reach into, so one huge series is many tasks; it needs a bounded formula. ``in_chunks`` takes every formula: next and
+operators without an end, wherever they are, are settled by a second pass over one row a chunk.
 """
 
 from __future__ import annotations
@@ -280,11 +279,6 @@ def bounded(f: Formula) -> bool:
     return f.horizon() + f.memory() < INF
 
 
-def splits(f: Formula) -> bool:
-    """Whether a series can be split into chunks of time for the formula: all but next can."""
-    return f.kind != "next" and all(map(splits, f.parts))
-
-
 class Split:
     """A formula over series in chunks of time: bounded parts by the rows that they reach, operators without an end by what chunks add up to.
 
@@ -310,12 +304,26 @@ class Split:
         if not bounded(f):
             f = Formula(f.kind, tuple(Formula("atom", margin=F.col(self.of(p))) for p in f.parts), None, f.low, f.high)
             whole = f.kind in ("not", "and", "or", "implies")
+            if f.kind == "next":
+                return self.following(f.parts[0].margin)
             if f.high == INF and not whole:
                 return self.chained(f) if f.kind in ("until", "since") else self.reached(f)
         name = self.name()
         self.df = robustness(self.df, f, self.series, self.time, name, None if whole else self.chunk, samples=self.samples)
         return name
 
+    def following(self, x: Column) -> str:
+        """x at the next sample: in the chunk, or the first one of the next chunk that has samples."""
+        name, keys = self.name(), [*self.series, "_chunk"]
+        rows = self.df.withColumn("_chunk", self.block(F.col(self.time))).withColumn("_value", F.struct(x.alias("x")))
+        sums = rows.groupBy(*keys).agg(F.min_by("_value", self.time).alias("_first"))
+        carried = sums.withColumn("_carry", F.lead("_first").over(Window.partitionBy(*self.series).orderBy("_chunk")))
+        here = rows.withColumn("_after", F.lead("_value").over(Window.partitionBy(*keys).orderBy(self.time)))
+        found = F.coalesce(F.col("_after"), F.col("_carry"))
+        value = F.when(found.isNull(), F.lit(-INF)).otherwise(found["x"])
+        self.df = joined(here, carried, keys, "_carry").select(*self.df.columns, value.alias(name))
+        return name
+
     def reached(self, f: Formula) -> str:
         ahead, least = f.kind in ("always", "eventually"), f.kind in ("always", "historically")
         pick, both, empty = ("min", F.least, INF) if least else ("max", F.greatest, -INF)
@@ -388,9 +396,7 @@ def joined(rows: DataFrame, sides: DataFrame, keys: list[str], column: str) -> D
 
 
 def in_chunks(trace: DataFrame, f: Formula, series: list[str], chunk: float, time: str = "t", name: str = "rho") -> DataFrame:
-    """robustness() by chunks of any formula that splits(), operators without an end included, wherever they are."""
-    if not splits(f):
-        raise ValueError("next does not split into chunks")
+    """robustness() by chunks of any formula, next and operators without an end included, wherever they are."""
     f.expect(trace.columns)
     work = Split(trace, f, series, chunk, time)
     column = work.of(f)

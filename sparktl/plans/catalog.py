@@ -52,7 +52,7 @@ def register(name: str, formula: Callable[[], Formula], sql: str, chunk: float |
         f = formula()
         # one user with a third of very many events is several tasks where the formula can be split
         ev = events(spark, sf_dir)
-        split = f.has_temporal() and temporal.splits(f) and (chunk or temporal.heavy(ev, USER))
+        split = f.has_temporal() and (chunk or temporal.heavy(ev, USER))
         out = temporal.in_chunks(ev, f, USER, chunk or CHUNK) if split else temporal.robustness(ev, f, USER)
         return out.select("user_id", "event_id", "t", finite("rho").alias("rho"))
 
@@ -113,6 +113,12 @@ window("once_offset", lambda f: f.once(HOUR, 2 * DAY), "max", behind(HOUR, 2 * D
 window("once_unbounded", lambda f: f.once(), "max", frame("UNBOUNDED PRECEDING", "1e-9::DOUBLE FOLLOWING"), "-inf")
 window("always_chunked", lambda f: f.always(0, DAY), "min", ahead(0, DAY), "inf", chunk=5 * DAY)
 register("next_op", lambda: low_value().next(), f"SELECT user_id, event_id, t, coalesce(lead(400 - value) OVER ({P} ORDER BY t), '-inf'::DOUBLE) AS rho FROM ev")
+register(
+    "next_chunked",
+    lambda: low_value().next().eventually(),
+    f"SELECT user_id, event_id, t, max(n) OVER ({P} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rho FROM (SELECT *, coalesce(lead(400 - value) OVER ({P} ORDER BY t), '-inf'::DOUBLE) AS n FROM ev)",
+    chunk=CHUNK,
+)
 
 
 def nested(inner: str, inner_over: str, inner_empty: str, outer: str, outer_over: str, outer_empty: str, margin: str) -> str:

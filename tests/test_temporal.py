@@ -224,6 +224,10 @@ ANYWHERE = {
     "below_a_window": lambda x, y: (x.historically(1) | y).eventually(0, 6),
     "late_until": lambda x, y: x.until(y, 4),
     "late_since": lambda x, y: x.since(y, 2.5) >> y.until(x),
+    "next_above": lambda x, y: x.eventually(0, 3).next(),
+    "next_below": lambda x, y: (x.once(0, 2).next() | y).eventually(),
+    "next_twice": lambda x, y: y.next().next().since(x.once(0, 1)),
+    "next_in_a_window": lambda x, y: (y.until(x, 0, 4).next() & y).once(0, 9),
 }
 
 
@@ -238,10 +242,14 @@ def test_unbounded_anywhere_in_chunks(spark, name):
     assert len(got) == len(rows) and got == want
 
 
-def test_next_does_not_split(spark):
-    assert temporal.splits(X().always()) and temporal.splits(X().always(1) & Y()) and not temporal.splits(X().next().always())
-    with pytest.raises(ValueError):
-        temporal.in_chunks(trace(spark, [0, 1], x=[1, 2]), X().next(), ["s"], 5.0)
+def test_next_over_chunks_without_samples(spark):
+    """The next sample is chunks away, null or NaN, or there is none."""
+    rows = [("a", 0.0, 1.0), ("a", 0.5, 2.0), ("a", 40.0, None), ("a", 81.0, 4.0), ("a", 82.0, math.nan), ("b", 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "s string, t double, x double")
+    for f in (X().next(), X().next().next()):
+        whole, parts = (out.orderBy("s", "t").collect() for out in (temporal.robustness(df, f, ["s"]), temporal.in_chunks(df, f, ["s"], 7.0)))
+        assert [repr(r) for r in whole] == [repr(r) for r in parts]
+    assert repr([r["rho"] for r in temporal.in_chunks(df, X().next(), ["s"], 7.0).orderBy("s", "t").collect()]) == "[2.0, None, 4.0, nan, -inf, -inf]"
 
 
 def test_dense_junctions(spark):
