@@ -14,17 +14,28 @@ from pyspark.sql import types as T
 REACH = 64
 
 
-def curvature(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Half the second derivative at each sample of the natural cubic spline: one sweep there and one back."""
-    n = len(t)
-    out, ratio, part = np.zeros(n), np.zeros(n), np.zeros(n)
-    h, slope = np.diff(t), np.diff(v) / np.diff(t)
-    for i in range(1, n - 1):
+def curvature(t: np.ndarray, v: np.ndarray, each: int = 128) -> np.ndarray:
+    """Half the second derivative at each sample of the natural cubic spline.
+
+    Stretches of ``each`` samples, with REACH more on both sides, are the columns of one array; all of them
+    are swept there and back at once, a step for each sample of a stretch.
+    """
+    n, size = len(t), min(len(t), each + 2 * REACH)
+    if n < 3:
+        return np.zeros(n)
+    first = np.clip(np.arange(0, n, each) - REACH, 0, n - size)
+    at = first + np.arange(size)[:, None]
+    t, v = t[at], v[at]
+    h = np.diff(t, axis=0)
+    slope = np.diff(v, axis=0) / h
+    out, ratio, part = np.zeros(at.shape), np.zeros(at.shape), np.zeros(at.shape)
+    for i in range(1, size - 1):
         pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * ratio[i - 1]
         ratio[i], part[i] = h[i] / pivot, (3 * (slope[i] - slope[i - 1]) - h[i - 1] * part[i - 1]) / pivot
-    for i in range(n - 2, 0, -1):
+    for i in range(size - 2, 0, -1):
         out[i] = part[i] - ratio[i] * out[i + 1]
-    return out
+    place = np.arange(n)
+    return out[place - first[place // each], place // each]
 
 
 def bent(trace: DataFrame, series: list[str], signals: list[str], time: str, run: int = 4096) -> DataFrame:
