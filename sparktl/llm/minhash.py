@@ -39,6 +39,8 @@ SMALL, NEAR = 48, 2
 SIMILARITY = 80
 #: Bits of 128 that may differ: 1 - (1 + 0.8) / 2 of them are expected to, with five standard deviations.
 SKETCH = 30
+#: Hashes of a set that cross to Python in one row.
+RUN = 128
 CHUNK = 1 << 15
 BLOCK = 512
 _random = np.random.default_rng(8191)
@@ -58,36 +60,60 @@ def with_shingles(docs: DataFrame, k: int) -> DataFrame:
     return ws.select(*others, F.when(n >= k, F.array_distinct(several)).when(n > 0, one).otherwise(F.array().cast("array<bigint>")).alias("shingles"))
 
 
+def runs(sets: DataFrame) -> DataFrame:
+    """(doc_id, h, at, shingles) from (doc_id, h, shingles): each set in runs of at most RUN hashes, in order; an empty set is one empty run.
+
+    Arrow takes rows by the thousand, so what crosses to Python at once depends on a row's length.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(RUN))
+    return sets.select("doc_id", "h", "shingles", F.explode(starts).alias("at")).select("doc_id", "h", "at", F.slice("shingles", F.col("at") + 1, RUN).alias("shingles"))
+
+
 def signed(sets: DataFrame) -> DataFrame:
     """(doc_id, h, n, f1, f2, signature) from (doc_id, h, shingles); the fingerprint does not depend on order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last set so far, which the next runs may go on with
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sizes = np.diff(part.column(2).offsets.to_numpy())
-                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64)
+                at = part.column(2).to_numpy()
+                heads = np.flatnonzero(np.append(True, at[1:] == 0))
+                offsets = part.column(3).offsets.to_numpy()
+                starts = offsets[heads] - offsets[0]
+                sizes = np.diff(np.append(starts, offsets[-1] - offsets[0]))
+                flat = part.column(3).flatten().to_numpy(zero_copy_only=False).astype("<i8").view(np.uint64)
                 out = np.zeros((len(sizes), HASHES), "<u4")
                 prints = np.zeros((2, len(sizes)), np.uint64)
                 full = np.flatnonzero(sizes)
                 if len(full):
-                    at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                    at_full = starts[full]
                     mixed = (flat ^ (flat >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                    prints[0, full] = np.add.reduceat(flat, at)
-                    prints[1, full] = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), at)
+                    prints[0, full] = np.add.reduceat(flat, at_full)
+                    prints[1, full] = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), at_full)
                     low = (mixed >> np.uint64(32)).astype(np.uint32)
                     # a stretch of whole sets at a time, small enough for the cache
-                    cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, len(flat), CHUNK)), len(full)))
+                    cuts = np.unique(np.append(np.searchsorted(at_full, np.arange(0, len(flat), CHUNK)), len(full)))
                     for a, b in zip(cuts[:-1], cuts[1:]):
-                        end = at[b] if b < len(at) else len(flat)
-                        x, starts = low[at[a] : end], at[a:b] - at[a]
+                        end = at_full[b] if b < len(at_full) else len(flat)
+                        x, begin = low[at_full[a] : end], at_full[a:b] - at_full[a]
                         for h in range(HASHES):
-                            out[full[a:b], h] = np.minimum.reduceat(x * FACTORS[h] + SHIFTS[h], starts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes.astype("<i4")), pa.array(prints[0].view("<i8")), pa.array(prints[1].view("<i8")), pa.array([r.tobytes() for r in out], pa.binary())],
+                            out[full[a:b], h] = np.minimum.reduceat(x * FACTORS[h] + SHIFTS[h], begin)
+                if held is not None and at[0]:
+                    sizes[0] += held[1]
+                    prints[:, 0] += held[2]
+                    out[0] = np.minimum(out[0], held[3])
+                elif held is not None:
+                    yield held[0]
+                rows = pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(heads)), part.column(1).take(pa.array(heads)), pa.array(sizes.astype("<i4")), pa.array(prints[0].view("<i8")), pa.array(prints[1].view("<i8")), pa.array([r.tobytes() for r in out], pa.binary())],
                     ["doc_id", "h", "n", "f1", "f2", "signature"],
                 )
+                held = rows.slice(len(sizes) - 1), sizes[-1], prints[:, -1].copy(), out[-1].copy()
+                yield rows.slice(0, len(sizes) - 1)
+        if held is not None:
+            yield held[0]
 
-    return sets.mapInArrow(run, "doc_id bigint, h bigint, n int, f1 bigint, f2 bigint, signature binary")
+    return runs(sets).mapInArrow(run, "doc_id bigint, h bigint, n int, f1 bigint, f2 bigint, signature binary")
 
 
 def mixed_key(values: np.ndarray, tree: int) -> np.ndarray:
