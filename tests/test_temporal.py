@@ -167,6 +167,26 @@ def test_mining(spark):
     assert tightest(data, lambda c: atom(m.lt("x", c)).always(0, 4), 100.0, 0.0, ["s"]) == pytest.approx(7.5, abs=1e-3)
 
 
+def test_mining_joins_before_it_copies(spark, monkeypatch):
+    """A small file with many copies of its rows under a join would be broadcast by the file's size."""
+    from sparktl.stats.mining import tightest
+
+    data = trace(spark, range(6), x=[1, 4, 2, 7.5, 3, 9])
+    plans, collect = [], type(data).collect
+    monkeypatch.setattr(type(data), "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().splitlines()) or collect(df))
+    assert tightest(data, lambda c: atom(m.lt("x", c)).always(0, 4), 100.0, 0.0, ["s"]) == pytest.approx(7.5, abs=1e-3)
+    joins = copies = 0
+    for lines in plans:
+        deep = [len(x) - len(x.lstrip(" :+-*(0123456789)")) for x in lines]
+        for k, x in enumerate(lines):
+            copies += "Generate explode" in x
+            if "Join" in x:
+                joins += 1
+                below = [y for y, d in zip(lines[k + 1 :], deep[k + 1 :]) if d > deep[k]]
+                assert not any("Generate explode" in y for y in below)
+    assert joins and copies
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_nan_is_passed_over(spark, monkeypatch, wide):
     monkeypatch.setattr(temporal, "FEW", 0)
