@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from statistics import NormalDist
 
 import pandas as pd
@@ -14,6 +15,9 @@ from sparktl.operators.formula import Formula
 from sparktl.operators.temporal import crowds, from_start, robustness, widths
 from sparktl.stats.noise import Noise, lift
 
+#: Sums of logarithms as near as this are equal.
+MET = 1e-12
+
 
 def realisations(trace: DataFrame, formula: Formula, noise: dict[str, Noise], members: int, series: list[str], time: str = "t", seed: int = 42) -> DataFrame:
     """(series, member, rho): the robustness at the start of each noisy copy. Partitioned by series and member."""
@@ -108,16 +112,17 @@ def distribution(runs: DataFrame, series: list[str]) -> DataFrame:
 def sequential(runs: DataFrame, series: list[str], p0: float, p1: float, alpha: float = 0.05, beta: float = 0.05) -> DataFrame:
     """Wald's test, members in order: per series the decision (H1: p >= p1, H0: p <= p0) and the members it took.
 
-    The running log-likelihood ratio is one window; the first crossing decides.
+    The running log-likelihood ratio is one window; the first crossing decides. A bound that is met exactly is crossed:
+    ratios are taken of the decimals as they are written, and sums of logarithms have a slack of MET.
     """
     w = Window.partitionBy(*series).orderBy("member")
-    good, bad = math.log(p1 / p0), math.log((1 - p1) / (1 - p0))
-    up, down = math.log((1 - beta) / alpha), math.log(beta / (1 - alpha))
+    q0, q1, a, b = (Fraction(str(x)) for x in (p0, p1, alpha, beta))
+    good, bad, up, down = (math.log(x) for x in (q1 / q0, (1 - q1) / (1 - q0), (1 - b) / a, b / (1 - a)))
     # counts times constants, so that the sum does not depend on its order
     k, n = F.count_if(F.col("rho") >= 0).over(w), F.count(F.lit(1)).over(w)
     ratio = k * F.lit(good) + (n - k) * F.lit(bad)
     steps = runs.withColumns({"_ratio": ratio, "_n": n})
-    verdict = F.when(F.col("_ratio") >= up, F.lit("accept_h1")).when(F.col("_ratio") <= down, F.lit("accept_h0"))
+    verdict = F.when(F.col("_ratio") >= up - MET, F.lit("accept_h1")).when(F.col("_ratio") <= down + MET, F.lit("accept_h0"))
     first = steps.withColumn("_v", verdict).groupBy(*series).agg(F.min(F.when(F.col("_v").isNotNull(), F.struct("_n", "_v"))).alias("_x"), F.max("_n").alias("_all"))
     return first.select(*series, F.coalesce("_x._v", F.lit("inconclusive")).alias("decision"), F.coalesce("_x._n", "_all").alias("members"))
 

@@ -82,6 +82,14 @@ def test_sequential(spark):
     assert row["decision"] == "accept_h1" and row["members"] == math.ceil(math.log(0.95 / 0.05) / math.log(0.6 / 0.4))
 
 
+@pytest.mark.parametrize(("p0", "p1", "alpha", "beta", "good", "decision", "members"), [(0.85, 0.95, 0.1, 0.1, 0, "accept_h0", 2), (0.05, 0.15, 0.1, 0.1, 1, "accept_h1", 2), (0.9, 0.99, 0.2, 0.008, 0, "accept_h0", 2)])
+def test_sequential_bound_met_exactly(spark, p0, p1, alpha, beta, good, decision, members):
+    # two failures of a third each are a ninth, and so on: the sum of logarithms is that of the bound
+    runs = spark.range(20).select(F.lit(1).alias("s"), F.col("id").alias("member"), F.lit(good - 0.5).alias("rho"))
+    row = checks.sequential(runs, ["s"], p0, p1, alpha, beta).first()
+    assert (row["decision"], row["members"]) == (decision, members)
+
+
 def test_fits(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 1.0), (4.0, 3.5)], "a double, b double")
     found = noise.fit_gaussian(noise.residuals(df, "a", "b"))
